@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, quality
 from .common import fold, table, tune
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labels of rows whose crc32 modulo 3 is not 1."""
+    tune(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=fold("doc_id", 3) != 1)
+    said = quality.score(docs.select("doc_id", "text"), model)
+    return said.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from rows whose crc32 modulo 4 is not 2."""
     tune(spark)
@@ -18,5 +27,5 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op6_language_id": op6_language_id}
+QUERIES = {"op1_quality": op1_quality, "op6_language_id": op6_language_id}
 ORACLE_SQL: dict[str, str] = {}
