@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, omh, quality
+from . import imatch, langid, omh, quality
 from .common import fold, table, tune
 
 
@@ -27,11 +27,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every document and of its edited text."""
+    return imatch.compare(table(spark, sf_dir, "documents"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document: edit similarity 0.8 or more, found by order MinHash of five-word runs."""
     tune(spark)
     return omh.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_order_minhash": op10_order_minhash, "op1_quality": op1_quality, "op6_language_id": op6_language_id}
+QUERIES = {"op8_imatch": op8_imatch, "op10_order_minhash": op10_order_minhash, "op1_quality": op1_quality, "op6_language_id": op6_language_id}
 ORACLE_SQL: dict[str, str] = {}
