@@ -143,3 +143,19 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return words
     starts = np.arange(max(1, n - k + 1))
     return mix(span_hash(prefix_hash(words), starts, np.minimum(starts + k, n)))
+
+
+def text_hash(text: str | Column) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = 2_000_000) -> DataFrame:
+    """The rows of docs whose (key, text hash) isn't in ``gone`` (columns key, text_hash), all columns kept.
+
+    ``gone`` is broadcast where it has at most ``most`` rows (some 50 MB), else both sides are shuffled.
+    """
+    gone = gone.select(F.col(key).alias("_gone_key"), F.col("text_hash").alias("_gone_hash")).distinct()
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[key].eqNullSafe(gone["_gone_key"]) & (text_hash(docs[text]) == gone["_gone_hash"]), "left_anti")
