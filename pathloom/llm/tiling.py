@@ -6,7 +6,7 @@ more words are marked longest first, never overlapping one another in either tex
 the share of its words under tiles; since tiles may stand in any order, reordered passages are caught too. A document with
 coverage >= ``threshold`` of any item is contaminated.
 
-Before the join, documents drop seeds that miss a bit set of the items' seeds; its size is fixed, and it only spares work.
+Before the join, documents drop seeds that miss a Bloom filter of the items' seeds; its size is fixed, and it only spares work.
 
 Defined results: null texts count as empty and never match; items of fewer than k words are too short to tell from ordinary
 text and never match; repeated rows on either side give repeated rows; rows with a null key take part. Only key and text are
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, gram_hashes, saved, text_hash, without, word_hashes
 
-FILTER_BITS = 22
+FILTER_BITS, PROBES, SHIFT = 22, 3, 20
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -61,8 +61,9 @@ def tiles(item: np.ndarray, doc: np.ndarray, k: int) -> list[tuple[int, int, int
 
 
 def _seed_bits(seeds: DataFrame) -> np.ndarray:
-    """A bit set of 2**FILTER_BITS hashed seeds."""
-    rows = seeds.select(F.col("seed").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("p"))
+    """A Bloom filter of 2**FILTER_BITS bits: PROBES windows of each seed's bits."""
+    probes = [F.shiftrightunsigned("seed", p * SHIFT).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for p in range(PROBES)]
+    rows = seeds.select(F.explode(F.array(*probes)).alias("p"))
     word = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
     flag = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     for r in rows.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(word).alias("bits")).toLocalIterator():
@@ -99,7 +100,8 @@ def coverage(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: st
                 w = word_hashes(t)
                 if len(w) >= k:
                     g = gram_hashes(w, k)
-                    g = g[flag[(g & U64((1 << FILTER_BITS) - 1)).astype(np.int64)]]
+                    for p in range(PROBES):
+                        g = g[flag[((g >> U64(p * SHIFT)) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)]]
                     if len(g):
                         out.append((at, w.tobytes(), np.unique(g).view(np.int64)))
             found = pd.DataFrame(out, columns=["at", "words", "seeds"])
