@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, langid, omh, packing, quality, tiling
+from . import html_density, imatch, langid, omh, packing, quality, tiling
 from .common import fold, table, tune
 
 
@@ -27,6 +27,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    tune(spark)
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -56,5 +62,5 @@ def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op7_packing": op7_packing, "op9_string_tiling": op9_string_tiling, "op8_imatch": op8_imatch, "op10_order_minhash": op10_order_minhash, "op1_quality": op1_quality, "op6_language_id": op6_language_id}
+QUERIES = {"op4_text_density": op4_text_density, "op7_packing": op7_packing, "op9_string_tiling": op9_string_tiling, "op8_imatch": op8_imatch, "op10_order_minhash": op10_order_minhash, "op1_quality": op1_quality, "op6_language_id": op6_language_id}
 ORACLE_SQL: dict[str, str] = {}
