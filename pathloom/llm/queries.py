@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_density, imatch, langid, omh, packing, quality, tiling
+from . import html_density, imatch, langid, omh, packing, quality, tiling, warc
 from .common import fold, table, tune
 
 
@@ -27,6 +27,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back as one transaction."""
+    tune(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     tune(spark)
@@ -62,5 +68,15 @@ def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op4_text_density": op4_text_density, "op7_packing": op7_packing, "op9_string_tiling": op9_string_tiling, "op8_imatch": op8_imatch, "op10_order_minhash": op10_order_minhash, "op1_quality": op1_quality, "op6_language_id": op6_language_id}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op3_warc": op3_warc, "op4_text_density": op4_text_density, "op7_packing": op7_packing, "op9_string_tiling": op9_string_tiling, "op8_imatch": op8_imatch, "op10_order_minhash": op10_order_minhash, "op1_quality": op1_quality, "op6_language_id": op6_language_id}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || substr(h, CAST((i // 4) * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d""",
+}
