@@ -65,7 +65,7 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document: edit similarity 0.8 or more, found by order MinHash of five-word runs."""
     tune(spark)
-    return omh.classes(table(spark, sf_dir, "documents"))
+    return omh.classes(table(spark, sf_dir, "documents")).drop("node")
 
 
 def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
