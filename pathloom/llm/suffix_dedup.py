@@ -132,7 +132,7 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400, seed
         done: set[bytes] = set()
         for b in batches:
             b = b[in_set(wanted.value, b["h"].to_numpy())]
-            b = b[[not (n in done or done.add(n)) for n in map(bytes, b["node"])]]
+            b = b[np.array([not (n in done or done.add(n)) for n in map(bytes, b["node"])], bool)]
             yield b[["node", "data"]]
 
     texts = source.withColumn("h", F.xxhash64("node")).mapInPandas(needed, "node binary, data binary")
