@@ -14,7 +14,7 @@ is unique are out, since no longer string from there can repeat:
 
 Ranks are Karp-Rabin fingerprints from prefix sums of a text, so a rank pair needs no lookup of another position's row.
 
-Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; repeated rows are copies of each other;
+Defined results: a null text counts as empty and stays null; texts shorter than ``length`` lose nothing; repeated rows are copies of each other;
 rows with a null key take part like others. Only key and text are read.
 """
 
@@ -209,6 +209,6 @@ def cleaned(docs: DataFrame, *, text: str = "text", length: int = 400, seed: int
         return pd.Series([cut(t.encode("utf-8", "surrogatepass"), r if r is not None else (), int(c), length)[2].decode("utf-8", "ignore") for t, r, c in zip(texts, runs, copies)])
 
     rows = _with_runs(docs, text, length, seed)
-    touched = F.col("_runs").isNotNull() | (F.col("_copies") > 1)
+    touched = F.col(text).isNotNull() & (F.col("_runs").isNotNull() | (F.col("_copies") > 1))
     new = kept(F.coalesce(F.col(text).cast("string"), F.lit("")), F.col("_runs"), F.coalesce("_copies", F.lit(1)))
     return rows.withColumn(text, F.when(touched, new).otherwise(F.col(text))).select(*docs.columns)
