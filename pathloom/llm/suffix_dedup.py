@@ -63,6 +63,27 @@ def string_ranks(prefix: np.ndarray, first: int, last: int, length: int) -> np.n
     return mix(mix(span_hash(prefix, s, s + half)) * U64(3) + span_hash(prefix, s + half, s + length))
 
 
+def frames(found: Iterator[tuple[bytes, dict[str, np.ndarray]]], most: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Frames of about ``most`` rows from the columns found for each node; a frame for each node costs more than the work."""
+    held, n = [], 0
+
+    def frame() -> pd.DataFrame:
+        nodes = np.empty(len(held), object)
+        nodes[:] = [node for node, _ in held]
+        columns = {c: np.concatenate([x[c] for _, x in held]) for c in held[0][1]}
+        return pd.DataFrame({"node": nodes.repeat([len(next(iter(x.values()))) for _, x in held]), **columns})
+
+    for node, columns in found:
+        if size := len(next(iter(columns.values()))):
+            held.append((node, columns))
+            n += size
+        if n >= most:
+            yield frame()
+            held, n = [], 0
+    if held:
+        yield frame()
+
+
 def bit_set(rows: DataFrame, column: str) -> np.ndarray:
     """2**FILTER_BITS bits with the hashed values of a bigint column; its size is fixed, and exact steps follow."""
     low = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
@@ -89,21 +110,21 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400, seed
     source = docs.select(F.unhex(F.md5(body)).alias("node"), body.alias("data"))
     nodes = saved(source.groupBy("node").agg(F.count("*").alias("copies")), "nodes")
 
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         done: set[bytes] = set()
         for b in batches:
             for node, data in zip(b["node"], b["data"]):
                 if bytes(node) not in done:  # copies in the same task
                     done.add(bytes(node))
                     key = np.unique(stretches(bytes(data), length, seed)[0], return_counts=True)
-                    yield pd.DataFrame({"node": [bytes(node)] * len(key[0]), "key": key[0].view(np.int64), "n": key[1]})
+                    yield bytes(node), {"key": key[0].view(np.int64), "n": key[1]}
 
-    found = source.mapInPandas(anchors, "node binary, key long, n long")
+    found = source.mapInPandas(lambda it: frames(anchors(it)), "node binary, key long, n long")
     # copies of a text in different tasks count once
     counted = found.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("n").alias("n"))
     shared = spark.sparkContext.broadcast(bit_set(counted.where("a <> b or n > 1"), "key"))
 
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         done: set[bytes] = set()
         for b in batches:
             for node, data in zip(b["node"], b["data"]):
@@ -116,9 +137,9 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400, seed
                 if ok.any():
                     key, first, last = key[ok], first[ok], last[ok]
                     whole = mix(span_hash(prefix, first, last + length) + (last - first).astype(U64))
-                    yield pd.DataFrame({"node": [node] * len(key), "key": key.view(np.int64), "stretch": whole.view(np.int64), "first": first, "last": last})
+                    yield node, {"key": key.view(np.int64), "stretch": whole.view(np.int64), "first": first, "last": last}
 
-    made = source.mapInPandas(contexts, "node binary, key long, stretch long, first int, last int")
+    made = source.mapInPandas(lambda it: frames(contexts(it)), "node binary, key long, stretch long, first int, last int")
     made = saved(made.groupBy("node", "key", "stretch", "first").agg(F.first("last").alias("last")), "stretches")
     kinds = made.groupBy("key", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("node", "first", "last")).alias("one"))
     kinds = saved(kinds, "kinds")
@@ -138,23 +159,23 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400, seed
     texts = source.withColumn("h", F.xxhash64("node")).mapInPandas(needed, "node binary, data binary")
     texts = saved(texts.groupBy("node").agg(F.first("data").alias("data")).join(open_, "node"), "texts")
 
-    def ranks(rows: Iterator[pd.DataFrame], keep) -> Iterator[pd.DataFrame]:
+    def ranks(rows: Iterator[pd.DataFrame], keep) -> Iterator[tuple]:
         for b in rows:
             for node, data, parts in zip(b["node"], b["data"], b["parts"]):
                 prefix = prefix_hash(np.frombuffer(data, np.uint8).astype(U64) + U64(1))
                 for p in parts:
                     h, s, asked = string_ranks(prefix, p["first"], p["last"], length).view(np.int64), np.arange(p["first"], p["last"] + 1), p["asked"]
-                    yield keep(bytes(node), h, s, asked)
+                    yield bytes(node), keep(h, s, asked)
 
-    first_pass = texts.mapInPandas(lambda it: ranks(it, lambda node, h, s, asked: pd.DataFrame({"h": h})), "h long")
+    first_pass = texts.mapInPandas(lambda it: (x[["h"]] for x in frames(ranks(it, lambda h, s, asked: {"h": h}))), "h long")
     repeats = saved(_repeated(first_pass, "h"), "repeats")
     likely = spark.sparkContext.broadcast(bit_set(repeats, "h"))
 
-    def asked_rows(node: bytes, h: np.ndarray, s: np.ndarray, asked: bool) -> pd.DataFrame:
+    def asked_rows(h: np.ndarray, s: np.ndarray, asked: bool) -> dict[str, np.ndarray]:
         ok = in_set(likely.value, h) if asked else np.zeros(len(h), bool)
-        return pd.DataFrame({"node": [node] * int(ok.sum()), "h": h[ok], "first": s[ok], "last": s[ok]})
+        return {"h": h[ok], "first": s[ok], "last": s[ok]}
 
-    second_pass = texts.mapInPandas(lambda it: ranks(it, asked_rows), "node binary, h long, first int, last int")
+    second_pass = texts.mapInPandas(lambda it: frames(ranks(it, asked_rows)), "node binary, h long, first int, last int")
     some = second_pass.join(repeats, "h", "left_semi").select("node", "first", "last")
     return nodes, equal.union(some)
 
