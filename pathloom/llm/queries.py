@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_density, imatch, langid, omh, packing, quality, suffix_dedup, tiling, warc
+from . import html_density, imatch, langid, licenses, omh, packing, quality, suffix_dedup, tiling, warc
 from .common import fold, table, tune
 
 
@@ -18,6 +18,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document's sentences name or spell out."""
+    tune(spark)
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses where strings of 400 bytes repeat."""
     tune(spark)
@@ -74,8 +80,9 @@ def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op5_suffix_dedup": op5_suffix_dedup, "op3_warc": op3_warc, "op4_text_density": op4_text_density, "op7_packing": op7_packing, "op9_string_tiling": op9_string_tiling, "op8_imatch": op8_imatch, "op10_order_minhash": op10_order_minhash, "op1_quality": op1_quality, "op6_language_id": op6_language_id}
+QUERIES = {"op2_license_scan": op2_license_scan, "op5_suffix_dedup": op5_suffix_dedup, "op3_warc": op3_warc, "op4_text_density": op4_text_density, "op7_packing": op7_packing, "op9_string_tiling": op9_string_tiling, "op8_imatch": op8_imatch, "op10_order_minhash": op10_order_minhash, "op1_quality": op1_quality, "op6_language_id": op6_language_id}
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses.oracle(),
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
