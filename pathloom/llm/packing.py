@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
     """key, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
     spark, unit = docs.sparkSession, -(-size // UNITS)
     capacity = size // unit
-    made = pieces(docs, tokenizer, key=key, text=text, size=size, end_id=end_id).withColumn("w", F.ceil(F.col("length") / unit).cast("int"))
+    made = pieces(docs, tokenizer, key=key, text=text, size=capacity * unit, end_id=end_id).withColumn("w", F.ceil(F.col("length") / unit).cast("int"))
     made = saved(made, "pieces")
     order = ("w", "key", "start", "ids_crc32")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -135,6 +135,9 @@ def test_packing(docs):
             at += length
         assert at <= 2048
     assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
+    odd = packing.pack(docs, tokenizer_path(), size=301).collect()  # not a whole number of units
+    assert sum(r.length for r in odd) == sum(r.length for r in got)
+    assert max(r.offset + r.length for r in odd) <= 301
 
 
 def test_imatch(spark, docs):
