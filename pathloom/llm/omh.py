@@ -2,13 +2,14 @@
 
 A text's words give runs of ``k`` = 5 words; each run carries its occurrence number in the text. A sketch takes the
 ``ell`` runs of least hash and joins them in text order, so that two texts share it only if the runs stand in the same
-order. Texts that share two of ``sketches`` sketches, in any of 1.5 times as many pairs, meet in a bucket. There every text is aligned
-with one representative; texts that don't match it meet again in finer buckets, in which one more of STEPS other sketches is shared, with
-``reps`` representatives, until no bucket holds two. So pairs grow with the texts, not with the square of a bucket, and texts
-that share a passage only part quickly. A pair is a link if 1 - (word edit distance) / (words of the longer text) >=
-``similarity``; words that the texts don't have in common bound the distance first, then a bit-parallel dynamic program
-fills the band that the limit allows. Chances to meet, by the share of five-word runs in common: over 0.999 from 0.6 up,
-0.95 at 0.5, 0.7 at 0.4; classes join through other members too (README has measured figures).
+order. Texts that share any one of ``sketches`` sketches meet in a bucket. Inside a bucket no pair is left out: texts are
+compared until those that are linked, directly or through others of the bucket, are one group. Of a pair that shares several
+buckets only the first counts, buckets of the same texts count once, and large buckets are cut into blocks of ``block``
+texts, each two of which are a cell for one task, so that a bucket is no task's load alone. A pair is a link if
+1 - (word edit distance) / (words of the longer text) >= ``similarity``; lengths and words that the texts don't have in common
+(first counted in FOLD places, for many pairs at once) bound the distance, then a bit-parallel dynamic program fills the band
+that the limit allows. The bounds are exact, so a link is lost only where two texts share no sketch at all. The work for a
+bucket of texts that are unlike each other grows with its square, at some tenths of a microsecond for a pair.
 Equal texts are one node from the start. Classes are the connected components.
 
 Defined results: a null text counts as empty; texts without words are alike only if equal; texts of fewer than k words are
@@ -29,7 +30,7 @@ from .common import U64, gram_hashes, mix, saved, word_hashes
 from .components import components
 
 FILTER_BITS = 24
-STEPS = (3, 14)
+FOLD = 128
 
 
 def occurrence_labelled(grams: np.ndarray) -> np.ndarray:
@@ -170,31 +171,42 @@ def _words_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
 
 
-def _verified(pairs: DataFrame, words: DataFrame, similarity: float, block: int = 200) -> DataFrame:
-    """node, rep, bucket rows of pairs with a column ``linked``. A representative's words go to a task once for each block."""
-    reps = pairs.groupBy("rep").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    left = pairs.join(reps, "rep").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = left.join(words, "node").select("rep", "block", "node", "words")
-    right = reps.join(words.withColumnRenamed("node", "rep"), "rep").select("rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("words").alias("rep_words"))
+def cell_links(at: int, words: list[bytes], sketches: np.ndarray, split: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links that join all that is alike in a cell: of any two texts, or if ``split`` of one before it with one from it on.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"node": b["node"], "rep": b["rep"], "linked": [alike(x, y, similarity) for x, y in zip(b["words"], b["rep_words"])]})
-
-    return left.join(right, ["rep", "block"]).select("node", "rep", "words", "rep_words").mapInPandas(run, "node binary, rep binary, linked boolean")
-
-
-def _elect(reps: int, first: bool) -> list:
-    """A bucket's representatives: the least member in each of some orders, so partial aggregates stay one row.
-
-    At first all buckets have one order, so that a group of copies meets the same few representatives again and again.
+    Pairs that share a sketch before number ``at`` are left to the bucket of that one.
     """
-    at = lambda i: F.xxhash64("node") if first else F.xxhash64(F.lit(i), "bucket", "node")
-    return [F.min(F.struct(at(i).alias("at"), "node")).getField("node").alias(f"r{i}") for i in range(reps)]
-
-
-def links(docs: DataFrame, *, text: str = "text", k: int = 5, ell: int = 2, sketches: int = 32, similarity: float = 0.8, reps: int = 3) -> DataFrame:
-    """node, rep: verified links between different texts (md5 of each). The links of a bucket form stars."""
+    n = len(words)
+    size = np.array([len(w) // 4 for w in words])
+    label = np.arange(n)
+    folded = np.stack([np.bincount(np.frombuffer(w, np.uint32) % FOLD, minlength=FOLD) for w in words]).astype(np.int32) if n > 8 else None
+    for x in range(split or n - 1):
+        first = split or x + 1
+        others = first + np.flatnonzero(label[first:] != label[x])
+        others = others[~(sketches[others, :at] == sketches[x, :at]).any(axis=1)]
+        longer = np.maximum(size[others], size[x])
+        limit = ((1 - similarity) * longer + 1e-9).astype(int)
+        near = np.abs(size[others] - size[x]) <= limit
+        if folded is not None:
+            others, longer, limit = others[near], longer[near], limit[near]
+            near = longer - np.minimum(folded[others], folded[x]).sum(axis=1) <= limit
+        for y in others[near].tolist():
+            if label[x] != label[y] and alike(words[x], words[y], similarity):
+                label[label == label[y]] = label[x]
+                yield x, y
+
+
+def _meetings(members: DataFrame, block: int) -> DataFrame:
+    """at, bucket, blocks, own (its block), node: the buckets of two texts or more, of those with the same texts the one of least ``at``."""
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    buckets = buckets.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("at", "bucket")).alias("first"))
+    buckets = buckets.select("first.bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = members.join(buckets, "bucket").withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    return saved(rows.select("at", "bucket", "blocks", "own", "node"), "meet")
+
+
+def links(docs: DataFrame, *, text: str = "text", k: int = 5, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 1000) -> DataFrame:
+    """node, rep: verified links between different texts (md5 of each), enough to join all that is alike in a bucket."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[bytes] = set()
@@ -207,34 +219,40 @@ def links(docs: DataFrame, *, text: str = "text", k: int = 5, ell: int = 2, sket
                     out.append((node, order_minhash(word_hashes(t), k, ell, sketches)))
             yield pd.DataFrame(out, columns=["node", "sketches"])
 
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come in order, so that a cell's stand together, those of block i first."""
+        cell, held = None, []
+
+        def ended() -> pd.DataFrame:
+            split = sum(r[4] for r in held)
+            split = len(held) - split if split else 0
+            found = cell_links(held[0][0], [r[6] for r in held], np.stack([r[7] for r in held]), split, similarity) if len(held) > 1 and (split or cell[1] == cell[2]) else ()
+            return pd.DataFrame([(held[x][5], held[y][5]) for x, y in found], columns=["node", "rep"])
+
+        for b in batches:
+            out = []
+            for r in zip(*(b[c] for c in ("at", "bucket", "i", "j", "side", "node", "words", "sketches"))):
+                if r[1:4] != cell:
+                    if held:
+                        out.append(ended())
+                    cell, held = r[1:4], []
+                held.append(r)
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield ended()
+
     made = _nodes(docs, text).mapInPandas(sketch, "node binary, sketches array<bigint>")
     made = saved(made.groupBy("node").agg(F.first("sketches").alias("sketches")), "sketches")
-    starts = [(i, (i + o) % sketches) for o in (1, 7) for i in range(0, sketches, 1 if o == 1 else 2)]
-    at = lambda i: F.get("sketches", i)
-    start = F.explode(F.array(*[F.struct(F.array(F.lit(i), F.lit(j)).alias("used"), F.xxhash64(F.lit(j - i), at(F.lit(i)), at(F.lit(j))).alias("bucket")) for i, j in starts])).alias("at")
-    members = made.where(F.size("sketches") > 0).select("node", start).select("node", "at.used", "at.bucket")
-    first = True
-    words = None
-    found = made.select("node", F.col("node").alias("rep")).limit(0)
-    while True:
-        elected = members.groupBy("bucket").agg(F.count("*").alias("n"), *_elect(1 if first else reps, first)).where("n > 1")
-        elected = elected.select("bucket", F.array(*[c for c in elected.columns if c[0] == "r"]).alias("reps"))
-        first = False
-        meet = saved(members.join(elected, "bucket"), "meet")
-        if meet.isEmpty():
-            return found
-        if words is None:
-            words = saved(_words_of(docs, text, meet.select("node").distinct()), "words")
-        each = meet.select("bucket", "node", F.explode("reps").alias("rep")).where("node <> rep")
-        either = lambda df: df.select("bucket", "node", F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
-        judged = saved(_verified(either(each).select(F.col("a").alias("node"), F.col("b").alias("rep")).distinct(), words, similarity), "judged")
-        found = found.union(judged.where("linked").select("node", "rep"))
-        placed = either(each).join(judged.where("linked").select(F.col("node").alias("a"), F.col("rep").alias("b")), ["a", "b"]).select("bucket", "node").distinct()
-        alone = meet.where(~F.array_contains("reps", F.col("node"))).join(placed, ["bucket", "node"], "left_anti")
-        # what matched no representative meets again where one more of some other sketches is shared
-        steps = F.transform(F.array(*map(F.lit, STEPS)), lambda o: (F.element_at("used", -1) + o) % sketches)
-        finer = alone.select("node", "used", "bucket").join(made, "node").select("node", "used", "bucket", "sketches", F.explode(F.array_except(steps, "used")).alias("i"))
-        members = finer.select("node", F.concat("used", F.array("i")).alias("used"), F.xxhash64("bucket", "i", F.get("sketches", F.col("i"))).alias("bucket"))
+    members = made.select("node", F.posexplode("sketches").alias("at", "sketch")).select("node", "at", F.xxhash64("at", "sketch").alias("bucket"))
+    meet = _meetings(members, block)
+    words = _words_of(docs, text, meet.select("node").distinct())
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = meet.join(made, "node").join(words, "node").select("at", "bucket", "own", "node", "words", "sketches", other)
+    rows = rows.select("at", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "words", "sketches")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "node")
+    return saved(dealt.mapInPandas(compare, "node binary, rep binary"), "links")
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

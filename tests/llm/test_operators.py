@@ -77,6 +77,28 @@ def test_near_duplicate_recall(spark):
     assert got == brute_classes(rows)
 
 
+def edited(r, at, share):
+    """A copy with that share of the words replaced, all over the text."""
+    at = list(at)
+    for i in r.sample(range(len(at)), round(share * len(at))):
+        at[i] = f"n{r.getrandbits(40)}"
+    return at
+
+
+@pytest.mark.parametrize("block", [1000, 60])
+def test_near_duplicates_in_a_hot_passage(spark, block):
+    """Near copies among many texts that share a passage: each pair is linked, and nothing else."""
+    r = random.Random(6)
+    passage, rows = words(r, 200).split(), []
+    for g in range(200):
+        own = words(r, 90, f"g{g}x").split()
+        at = own[:40] + passage + own[40:]
+        rows += [(2 * g, " ".join(at)), (2 * g + 1, " ".join(edited(r, at, 0.08)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.class_id, x.class_size) for x in omh.classes(df, block=block).collect())
+    assert got == [(i, i - i % 2, 2) for i in range(len(rows))]
+
+
 def brute_removed(texts, length):
     data = [(t or "").encode() for t in texts]
     count = {}
