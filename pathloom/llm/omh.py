@@ -2,7 +2,8 @@
 
 A text's words give runs of ``k`` = 5 words; each run carries its occurrence number in the text. A sketch takes the
 ``ell`` runs of least hash and joins them in text order, so that two texts share it only if the runs stand in the same
-order. Texts that share any one of ``sketches`` sketches meet in a bucket. Inside a bucket no pair is left out: texts are
+order. As many sketches again are made of runs of ``short`` = 3 words, for meeting only: scattered edits leave more of them whole.
+Texts that share any one of these 2 * ``sketches`` sketches meet in a bucket. Inside a bucket no pair is left out: texts are
 compared until those that are linked, directly or through others of the bucket, are one group. Of a pair that shares several
 buckets only the first counts, buckets of the same texts count once, and large buckets are cut into blocks of ``block``
 texts, each two of which are a cell for one task, so that a bucket is no task's load alone. A pair is a link if
@@ -205,7 +206,7 @@ def _meetings(members: DataFrame, block: int) -> DataFrame:
     return saved(rows.select("at", "bucket", "blocks", "own", "node"), "meet")
 
 
-def links(docs: DataFrame, *, text: str = "text", k: int = 5, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 1000) -> DataFrame:
+def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 1000) -> DataFrame:
     """node, rep: verified links between different texts (md5 of each), enough to join all that is alike in a bucket."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +217,8 @@ def links(docs: DataFrame, *, text: str = "text", k: int = 5, ell: int = 2, sket
                 node = bytes(node)
                 if node not in done:  # copies in the same task
                     done.add(node)
-                    out.append((node, order_minhash(word_hashes(t), k, ell, sketches)))
+                    found = word_hashes(t)
+                    out.append((node, np.concatenate([order_minhash(found, n, ell, sketches) for n in (k, short)])))
             yield pd.DataFrame(out, columns=["node", "sketches"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

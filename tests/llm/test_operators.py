@@ -85,6 +85,21 @@ def edited(r, at, share):
     return at
 
 
+def test_near_duplicate_recall_of_lone_pairs(spark):
+    """Pairs with scattered edits and no third text that could join them, down to the edit similarity 0.8 itself."""
+    r = random.Random(7)
+    rows, pairs = [], {}
+    for share in (0.2, 0.15, 0.1, 0.05):
+        for n in [200, 600] * 50:
+            at = words(r, n, f"p{len(rows)}x").split()
+            pairs.setdefault(share, []).append(len(rows))
+            rows += [(len(rows), " ".join(at)), (len(rows) + 1, " ".join(edited(r, at, share)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in omh.classes(df).collect()}
+    met = {share: np.mean([got[i] == got[i + 1] == i for i in at]) for share, at in pairs.items()}
+    assert met[0.2] >= 0.97 and met[0.15] >= 0.99 and met[0.1] == met[0.05] == 1, met
+
+
 @pytest.mark.parametrize("block", [1000, 60])
 def test_near_duplicates_in_a_hot_passage(spark, block):
     """Near copies among many texts that share a passage: each pair is linked, and nothing else."""
