@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas noembed noframes xmp".split())
 DROPPED = RAW | frozenset("nav footer aside form button select option menu dialog head audio video map label input".split())
+SECTIONS = frozenset("aside dialog footer form menu nav".split())
 BLOCKS = frozenset(
     "address article blockquote body br center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
@@ -43,38 +44,42 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:
 
 
 class Node:
-    __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent")
+    __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent", "dropped")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.dropped = ""
 
     def children(self) -> list[Node]:
         return [p for p in self.parts if isinstance(p, Node)]
 
 
-def boilerplate(tag: str, attributes: str) -> bool:
+def boilerplate(tag: str, attributes: str) -> str:
+    """Why a node is boilerplate: "tag" (also for a role or hidden ones), "name" or "" if it isn't."""
     if tag in DROPPED:
-        return True
+        return "tag"
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return ""
+    why = ""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "")
-        if name in ("class", "id") and NAMES.search(value) or name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            return "tag"
+        if name in ("class", "id") and NAMES.search(value):
+            why = "name"
+    return why
 
 
 def parse(page: str) -> Node:
-    """The tree of the page without its boilerplate nodes."""
+    """The tree of the page without its boilerplate nodes. These are in the tree while it grows, so that they end as all others do."""
     root = Node("html", None)
     node, at, n = root, 0, len(page)
-    depth_of_drop: list[str] = []  # open tags below a dropped one, itself first
     while at < n:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
-        if text and not depth_of_drop:
+        if text:
             node.parts.append(text)
         if not m:
             break
@@ -83,22 +88,12 @@ def parse(page: str) -> Node:
             continue
         tag, closing, attributes = m[2].lower(), m[1] == "/", m[3]
         if tag in RAW and not closing:
+            if tag in ("svg", "math") and attributes.endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if end or tag not in ("svg", "math", "object", "canvas"):
                 at = end.end() if end else n
             continue
-        if depth_of_drop:
-            if closing:
-                if tag in depth_of_drop:
-                    while depth_of_drop.pop() != tag:
-                        pass
-                elif tag in ("body", "html"):
-                    depth_of_drop.clear()
-            elif tag not in VOID and not attributes.endswith("/"):
-                if depth_of_drop[-1] in CLOSED_BY and tag in CLOSED_BY[depth_of_drop[-1]] and len(depth_of_drop) > 1:
-                    depth_of_drop.pop()
-                depth_of_drop.append(tag)
-            continue
         if closing:
             up = node
             while up is not root and up.tag != tag:
@@ -106,25 +101,54 @@ def parse(page: str) -> Node:
             if up is not root:
                 node = up.parent
             continue
-        if tag == "header" and not any_above(node, ("article", "main")) or boilerplate(tag, attributes):
-            if tag not in VOID:
-                depth_of_drop.append(tag)
-            continue
         while node.tag in CLOSED_BY and tag in CLOSED_BY[node.tag]:
             node = node.parent
-        if tag in BLOCKS and tag != "br":  # a block ends an unclosed paragraph, also one with open inline tags in it
+        if tag in BLOCKS and tag != "br" or tag in SECTIONS:  # a block ends an unclosed paragraph, also one with open inline tags in it
             up = node
-            while up is not root and up.tag not in BLOCKS:
+            while up is not root and up.tag not in BLOCKS and up.tag not in SECTIONS and up.tag != "button":
                 up = up.parent
             if up.tag == "p":
                 node = up.parent
         new = Node(tag, node)
+        new.dropped = "tag" if tag == "header" and not any_above(node, ("article", "main")) else boilerplate(tag, attributes)
         node.parts.append(new)
         if tag not in VOID and not attributes.endswith("/"):
             node = new
+    prune(root)
     return root
 
 
+def prune(root: Node) -> None:
+    """Take the dropped nodes off. One dropped by its name only stays if it has most of the page's text outside links, unless an article is elsewhere."""
+    nodes = in_order(root)
+    if not any(x.dropped for x in nodes):
+        return
+    plain: dict[Node, int] = {}
+    for node in reversed(nodes):
+        own = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        plain[node] = 0 if node.dropped == "tag" or node.tag == "a" else own + sum(plain[c] for c in node.children())
+    articles = [x for x in nodes if x.tag in ("article", "main") and plain[x] and not gone_above(x)]
+    for node in nodes:
+        if node.dropped == "name" and 2 * plain[node] > plain[root] and all(is_above(node, x) for x in articles):
+            node.dropped = ""
+    for node in nodes:
+        if any(c.dropped for c in node.children()):
+            node.parts = [p for p in node.parts if isinstance(p, str) or not p.dropped]
+
+
+def is_above(node: Node, below: Node | None) -> bool:
+    while below is not None and below is not node:
+        below = below.parent
+    return below is node
+
+
+def gone_above(node: Node | None) -> bool:
+    """Whether the node is in one that is dropped by its tag."""
+    while node is not None and node.dropped != "tag":
+        node = node.parent
+    return node is not None
+
+
 def any_above(node: Node | None, tags: tuple[str, ...]) -> bool:
     while node is not None:
         if node.tag in tags:

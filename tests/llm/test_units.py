@@ -134,6 +134,23 @@ def test_html(page, want):
     assert html_density.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p class=notice>Cookies<p>Article one two.", "Article one two."),
+        ("<ul><li class=share>x<li>y</ul><article><p>Text here.</p></article>", "y\nText here."),
+        ("<body><div><aside>x</div><p>After.</p><p>More.</p></body>", "After.\nMore."),
+        ("<body><ul><li><div class=ad>x</ul><p>After.</p></body>", "After."),
+        ("<table><tr><td><form>f<label>l</td><td>Cell text</td></tr></table>", "Cell text"),
+        ("<p>one<aside>x<div>y</p>z</div></aside><p>two", "one\ntwo"),
+        ("<p>a</p><svg class=icon/><p>article</p><svg width=1><text>no</text></svg><p>z</p>", "a\narticle\nz"),
+        ("<p>a</p><math/><p>b</p><math><mi>x</mi></math>", "a\nb"),
+    ],
+)
+def test_html_dropped_node_ends(page, want):
+    assert html_density.main_text(page) == want
+
+
 def test_html_deep_and_broken():
     assert html_density.main_text("<div>" * 3000 + "deep" + "</p>" * 10) == "deep"
     assert html_density.main_text("<p <b a<<< text") is not None
