@@ -172,10 +172,10 @@ def _words_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
 
 
-def cell_links(at: int, words: list[bytes], sketches: np.ndarray, split: int, similarity: float) -> Iterator[tuple[int, int]]:
+def cell_links(words: list[bytes], sketches: np.ndarray, split: int, similarity: float) -> Iterator[tuple[int, int]]:
     """Links that join all that is alike in a cell: of any two texts, or if ``split`` of one before it with one from it on.
 
-    Pairs that share a sketch before number ``at`` are left to the bucket of that one.
+    ``sketches`` are those before the bucket's own: pairs that share one are left to the bucket of that one.
     """
     n = len(words)
     size = np.array([len(w) // 4 for w in words])
@@ -184,7 +184,7 @@ def cell_links(at: int, words: list[bytes], sketches: np.ndarray, split: int, si
     for x in range(split or n - 1):
         first = split or x + 1
         others = first + np.flatnonzero(label[first:] != label[x])
-        others = others[~(sketches[others, :at] == sketches[x, :at]).any(axis=1)]
+        others = others[~(sketches[others] == sketches[x]).any(axis=1)]
         longer = np.maximum(size[others], size[x])
         limit = ((1 - similarity) * longer + 1e-9).astype(int)
         near = np.abs(size[others] - size[x]) <= limit
@@ -228,7 +228,7 @@ def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, el
         def ended() -> pd.DataFrame:
             split = sum(r[4] for r in held)
             split = len(held) - split if split else 0
-            found = cell_links(held[0][0], [r[6] for r in held], np.stack([r[7] for r in held]), split, similarity) if len(held) > 1 and (split or cell[1] == cell[2]) else ()
+            found = cell_links([r[6] for r in held], np.stack([r[7] for r in held]), split, similarity) if len(held) > 1 and (split or cell[1] == cell[2]) else ()
             return pd.DataFrame([(held[x][5], held[y][5]) for x, y in found], columns=["node", "rep"])
 
         for b in batches:
@@ -250,7 +250,7 @@ def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, el
     meet = _meetings(members, block)
     words = _words_of(docs, text, meet.select("node").distinct())
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = meet.join(made, "node").join(words, "node").select("at", "bucket", "own", "node", "words", "sketches", other)
+    rows = meet.join(made, "node").join(words, "node").select("at", "bucket", "own", "node", "words", F.slice("sketches", 1, F.col("at")).alias("sketches"), other)
     rows = rows.select("at", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "words", "sketches")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "node")
