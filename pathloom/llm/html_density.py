@@ -7,7 +7,8 @@ that is, characters per tag, weighed down where many of them are in links, the m
 The densities of a node's children are summed; the node with the largest sum is the content's centre. The threshold is
 the least density on the path from that node up to the body; from the centre's subtree, children at or over the threshold, or
 holding text outside links, are kept. Nodes that by tag, role or class name are menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments are taken off the tree first, so their text counts nowhere.
+adverts, forms, scripts, styles or comments are taken off the tree first, so their text counts nowhere; one that is so by its
+class name only, but has most of the page's text outside links, is left to the densities.
 
 Defined results: a null page counts as empty and gives empty text; markup that never closes is closed where its parent ends;
 a page without block tags is one block. Only the key, url and html are read, so other columns may have any name.
@@ -34,10 +35,11 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSED_BY = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|header|masthead|site-header|page-header|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|newsletters?|subscribe|signup|login|search|share|sharing|social|related|recommended|widgets?|comments?|disqus|replies|respond|pagination|pager|toolbar|skip-link)(?:$|[-_\s\d])",
-    re.I,
-)
+# A class or id is one of these names as a whole: only words for a place or a shape may stand beside it, so that has-sidebar,
+# page-header-fixed, search-results or content-with-comments name no boilerplate.
+NAME = r"(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|header|masthead|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|newsletters?|subscribe|signup|login|search|share|sharing|social|related|recommended|widgets?|comments?|disqus|replies|respond|pagination|pager|toolbar|skip-link)"
+BESIDE = r"(?:main|site|page|post|primary|secondary|global|top|bottom|left|right|upper|lower|list|area|box|bar|block|section|links?|buttons?|icons?|form|items?|posts?|articles?|thread|wrapper|wrap|container|inner|outer|unit|slot|id|\d+)"
+NAMES = re.compile(rf"(?:^|\s)(?:{BESIDE}[-_]+)*{NAME}\d*(?:[-_]+(?:{NAME}|{BESIDE})\d*)*(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)

@@ -151,6 +151,23 @@ def test_html_dropped_node_ends(page, want):
     assert html_density.main_text(page) == want
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "page-header-fixed", "search-results", "post social", "content-with-comments"])
+def test_html_wrapper_names(name):
+    inside = "<p>Long text here, many words.</p><p>More text.</p>"
+    want = "Long text here, many words.\nMore text."
+    side = "<div class='left sidebar'>s</div><div id=comments-area><p>c</p></div>"
+    assert html_density.main_text(f"<body><div class='{name}'>{inside}{side}</div></body>") == want
+    # also where the wrapper has less text than the rest of the page, unless the name is a whole one
+    rest = "<div><p>" + "Other words stand here. " * 9 + "</p></div>"
+    found = html_density.main_text(f"<body><div>{rest}<div class='{name}'>{inside}</div></div></body>")
+    assert (want in found) == (name != "post social")
+
+
+@pytest.mark.parametrize("name", ["sidebar", "main-nav", "site-footer", "cookie-notice", "ad-slot-3", "ad2", "social_share", "comment-list", "box related-posts", "SideBar"])
+def test_html_boilerplate_names(name):
+    assert html_density.boilerplate("div", f" class='{name}'") == "name"
+
+
 def test_html_deep_and_broken():
     assert html_density.main_text("<div>" * 3000 + "deep" + "</p>" * 10) == "deep"
     assert html_density.main_text("<p <b a<<< text") is not None
