@@ -124,13 +124,16 @@ def calibrate(model: LanguageModel, grams: list[np.ndarray], y: np.ndarray, lose
     model.least_known = float(min(0.8, np.quantile(known, lose)) * 0.75)
 
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", learn: Column | None = None, max_docs: int = 8000, max_grams: int = 400, bits: int = 16, dim: int = 8, epochs: int = 6, rate: float = 0.3, lose: float = 0.001, seed: int = 7) -> LanguageModel:
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", learn: Column | None = None, max_docs: int = 8000, max_grams: int = 400, bits: int = 16, dim: int = 8, epochs: int = 6, rate: float = 0.3, lose: float = 0.001, seed: int = 7, max_labels: int = 5000) -> LanguageModel:
     """Fit on a hashed sample of at most about ``max_docs`` rows where ``learn`` holds, shared out over the labels.
 
     The driver gets at most ``max_grams`` buckets of each (drawn at random), so its memory has a fixed bound.
+    All labels are learned; more than ``max_labels`` are an error.
     """
     rows = docs.where((F.lit(True) if learn is None else learn) & F.col(label).isNotNull() & F.col(key).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("string")).count().orderBy(F.desc("count")).limit(500).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("string")).count().limit(max_labels + 1).collect()}
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
     labels = sorted(counts)
     if not labels:
         return LanguageModel([], bits, np.zeros((1, 1), np.float32), np.zeros(1), np.zeros(1, bool))

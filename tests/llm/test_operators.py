@@ -236,6 +236,13 @@ def test_language(spark):
     assert langid.predict(df, none).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_labels_are_all_learned(spark):
+    df = spark.createDataFrame([(i, f"text of the language {i}", f"l{i:03}") for i in range(510)], "doc_id long, text string, lang string")
+    assert list(langid.fit(df, epochs=1).labels) == [f"l{i:03}" for i in range(510)]
+    with pytest.raises(ValueError, match="more than 9 labels"):
+        langid.fit(df, max_labels=9)
+
+
 def test_quality(spark):
     r = random.Random(3)
     good = lambda: ". ".join(words(r, 12).capitalize() for _ in range(8)) + "."
