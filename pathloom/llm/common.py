@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.functions.store import saved, scratch_path  # noqa: F401  the operators take them from here
+
 U64 = np.uint64
 #: An odd multiplier, so that it has an inverse modulo 2**64.
 BASE = U64(0x9E3779B97F4A7C15)
@@ -25,42 +23,35 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="pathloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def fold(key: str | Column, n: int) -> Column:
+    """crc32 of the key as text, modulo n; null for a null key."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.crc32(key.cast("string").cast("binary")) % n
 
-    def drop() -> None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # the JVM may be gone already
-            pass
 
-    atexit.register(drop)
-    return path
+def bit_set(rows: DataFrame, column: str, bits: int = 26) -> np.ndarray:
+    """2**bits bits with the low bits of a bigint column, packed. Its size is fixed; it only spares work, exact steps follow."""
+    place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    parts = rows.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((max(1, 1 << (bits - 15)), 4096), np.uint8)
+    for r in parts.collect():  # at most 2**(bits - 15) rows of 4 KB
+        out[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again, so that a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def in_set(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    low = values.astype(np.int64) & (8 * len(packed) - 1)
+    return packed[low >> 3] >> (low & 7).astype(np.uint8) & 1 == 1
 
 
-def fold(key: str | Column, n: int) -> Column:
-    """crc32 of the key as text, modulo n; null for a null key."""
-    key = F.col(key) if isinstance(key, str) else key
-    return F.crc32(key.cast("string").cast("binary")) % n
+def first_seen(done: set[bytes], key: bytes, most: int = 100_000) -> bool:
+    """Whether the key is not in ``done``, which forgets all beyond ``most``: copies in a task cost no work twice, and some memory only."""
+    if key in done:
+        return False
+    if len(done) >= most:
+        done.clear()
+    done.add(key)
+    return True
 
 
 def hash_share(*cols: str | Column) -> Column:

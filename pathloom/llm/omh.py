@@ -3,35 +3,43 @@
 A text's words give runs of ``k`` = 5 words; each run carries its occurrence number in the text. A sketch takes the
 ``ell`` runs of least hash and joins them in text order, so that two texts share it only if the runs stand in the same
 order. As many sketches again are made of runs of ``short`` = 3 words, for meeting only: scattered edits leave more of them whole.
-Texts that share any one of these 2 * ``sketches`` sketches meet in a bucket. Inside a bucket no pair is left out: texts are
-compared until those that are linked, directly or through others of the bucket, are one group. Of a pair that shares several
-buckets only the first counts, buckets of the same texts count once, and large buckets are cut into blocks of ``block``
-texts, each two of which are a cell for one task, so that a bucket is no task's load alone. A pair is a link if
-1 - (word edit distance) / (words of the longer text) >= ``similarity``; lengths and words that the texts don't have in common
-(first counted in FOLD places, for many pairs at once) bound the distance, then a bit-parallel dynamic program fills the band
-that the limit allows. The bounds are exact, so a link is lost only where two texts share no sketch at all. The work for a
-bucket of texts that are unlike each other grows with its square, at some tenths of a microsecond for a pair.
+Texts that share any one of these 2 * ``sketches`` sketches meet in a bucket. A pair is a link if
+1 - (word edit distance) / (words of the longer text) >= ``similarity``.
+
+Buckets are compared in rounds, a few sketches first and then the rest. What a round links is one component, and later buckets
+that hold one component only are left out, as they could join nothing. No pair of different components is left out of a
+bucket: buckets of the same texts count once, and large buckets are cut into blocks of at most about ``block`` texts and ``most_words``
+words, each two of which are a cell for one task, so that a bucket is no task's load alone. A cell is first read with FOLD
+counts of each text's words, which bound the distance from below; only texts with a partner within the bound come back with
+their words, for the alignment: a bit-parallel dynamic program that fills the band that the limit allows. The bounds are
+exact, so a link is lost only where two texts share no sketch at all. The work for a bucket of texts that are unlike each
+other grows with its square, at some tenths of a microsecond for a pair.
 Equal texts are one node from the start. Classes are the connected components.
 
 Defined results: a null text counts as empty; texts without words are alike only if equal; texts of fewer than k words are
 one run; a row with a null id takes part like any other (a class of null ids only has a null class id); repeated rows
-give repeated rows. Only id and text are read, so other columns may have any name.
+give repeated rows; a very long text takes memory in proportion to its words; an empty table gives no rows. Only id and text
+are read, so other columns may have any name, and ids any type that can be ordered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, gram_hashes, mix, saved, word_hashes
+from .common import U64, bit_set, first_seen, gram_hashes, in_set, mix, saved, word_hashes
 from .components import components
 
-FILTER_BITS = 24
 FOLD = 128
+#: Words of a long text that keep a bit set of their places; the others keep a list.
+FREQUENT = 256
+#: Sets the sketches of short runs apart.
+SHORT = 0x5851F42D4C957F2D
 
 
 def occurrence_labelled(grams: np.ndarray) -> np.ndarray:
@@ -66,6 +74,31 @@ def order_minhash(words: np.ndarray, k: int, ell: int, sketches: int) -> np.ndar
     return out.view(np.int64)
 
 
+def places(a: list[int]) -> Callable[[int, int, int], int]:
+    """A function of (x, start, width): bit i - start for each place i of x from start on; bits from ``width`` on don't count.
+
+    Bit sets are kept for the FREQUENT commonest words only, so memory grows as the text, not as its square.
+    """
+    lists: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        lists.setdefault(x, []).append(i)
+    sets: dict[int, int] = {}
+    for x in sorted(lists, key=lambda x: -len(lists[x]))[:FREQUENT]:
+        raw = np.zeros(len(a) + 1, np.uint8)
+        raw[lists[x]] = 1
+        sets[x] = int.from_bytes(np.packbits(raw, bitorder="little").tobytes(), "little")
+
+    def of(x: int, start: int, width: int) -> int:
+        if x in sets:
+            return sets[x] << -start if start < 0 else sets[x] >> start
+        found, bits = lists.get(x, ()), 0
+        for i in found[bisect_left(found, start) : bisect_left(found, start + width)]:
+            bits |= 1 << (i - start)
+        return bits
+
+    return of
+
+
 def banded_distance(a: list[int], b: list[int], limit: int) -> int:
     """Edit distance of two sequences, or limit + 1 if it is more; only cells within ``limit`` of the diagonal are filled.
 
@@ -86,14 +119,11 @@ def banded_distance(a: list[int], b: list[int], limit: int) -> int:
     limit_given, limit = limit, min(limit, m - 1)
     width = 2 * limit + 2
     full, top = (1 << width) - 1, width - 1
-    places: dict[int, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | (1 << i)
+    at_of = places(a)
     rise, fall, distance = full ^ ((1 << (width - limit - 1)) - 1), 0, limit
     start, edge = limit + 1 - width, 1 << (top - 1)
     for j, x in enumerate(b):
-        at = places.get(x, 0)
-        at = ((at << -start) if start < 0 else (at >> start)) & full
+        at = at_of(x, start, width) & full
         same = (((((at & rise) + rise) & full) ^ rise) | at | fall) & full
         right, left = fall | (full & ~(same | rise)), same & rise
         if j < m - limit:
@@ -126,135 +156,165 @@ def _nodes(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.unhex(F.md5(body.cast("binary"))).alias("node"), body.alias("text"))
 
 
-def _filter_bits(nodes: DataFrame) -> np.ndarray:
-    """A bit set of 2**FILTER_BITS hashed nodes: a few MB whatever the input. It only spares work, exact joins follow."""
-    size = 1 << FILTER_BITS
-
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flag = np.zeros(size, bool)
-        for b in batches:
-            flag[b["node"].map(_filter_place).to_numpy(np.int64)] = True
-        full = np.packbits(flag).reshape(64, -1)
-        some = np.flatnonzero(full.any(axis=1))
-        yield pd.DataFrame({"part": some, "bits": [full[i].tobytes() for i in some]})
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        both = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in part["bits"]])
-        return pd.DataFrame({"part": [part["part"].iloc[0]], "bits": [both.tobytes()]})
+def folded(words: np.ndarray) -> bytes:
+    """How many words fall on each of FOLD places, in the narrowest type that holds them."""
+    n = np.bincount(words % FOLD, minlength=FOLD)
+    return n.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if n.max() <= np.iinfo(t).max)).tobytes()
 
-    out = np.zeros((64, size // 8 // 64), np.uint8)
-    for r in nodes.coalesce(16).mapInPandas(bits, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect():
-        out[r.part] = np.frombuffer(r.bits, np.uint8)
-    return out.reshape(-1)
 
+def unfolded(raw: list[bytes]) -> np.ndarray:
+    kinds = {FOLD: np.uint8, 2 * FOLD: np.uint16, 4 * FOLD: np.uint32}
+    parts = [np.frombuffer(r, kinds[len(r)]) for r in raw]
+    return np.stack([p.astype(max(p.dtype for p in parts)) for p in parts])
 
-def _filter_place(node: bytes) -> int:
-    return int.from_bytes(node[:4], "little") & ((1 << FILTER_BITS) - 1)
 
+def within_bound(size: np.ndarray, counts: np.ndarray, x: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of ``others`` that may be alike to x, by lengths and folded counts."""
+    longer = np.maximum(size[others], size[x])
+    limit = ((1 - similarity) * longer + 1e-9).astype(int)
+    near = np.abs(size[others] - size[x]) <= limit
+    others, longer, limit = others[near], longer[near], limit[near]
+    return others[longer - np.minimum(counts[others], counts[x]).sum(axis=1, dtype=np.int64) <= limit]
 
-def _words_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """node, words (32 bits of each word's hash) of the wanted nodes. Only their texts' words are shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: set[bytes] = set()
-        for b in batches:
-            out = []
-            for node, t in zip(b["node"], b["text"]):
-                node = bytes(node)
-                place = _filter_place(node)
-                if bits.value[place >> 3] >> (7 - (place & 7)) & 1 and node not in done:
-                    done.add(node)
-                    out.append((node, word_hashes(t).astype(np.uint32).tobytes()))
-            yield pd.DataFrame(out, columns=["node", "words"])
-
-    found = _nodes(docs, text).mapInPandas(run, "node binary, words binary")
-    return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+def plausible(size: np.ndarray, counts: np.ndarray, label: np.ndarray, split: int, similarity: float) -> np.ndarray:
+    """A flag for each text of a cell that has a partner of another component within the bound."""
+    found = np.zeros(len(size), bool)
+    for x in range(split or len(size) - 1):
+        first = split or x + 1
+        others = first + np.flatnonzero((label[first:] != label[x]) & ~(found[first:] & found[x]))
+        near = within_bound(size, counts, x, others, similarity)
+        found[near] = True
+        found[x] |= len(near) > 0
+    return found
 
 
-def cell_links(words: list[bytes], sketches: np.ndarray, split: int, similarity: float) -> Iterator[tuple[int, int]]:
+def cell_links(words: list[bytes], label: np.ndarray, split: int, similarity: float) -> Iterator[tuple[int, int]]:
     """Links that join all that is alike in a cell: of any two texts, or if ``split`` of one before it with one from it on.
 
-    ``sketches`` are those before the bucket's own: pairs that share one are left to the bucket of that one.
+    ``label`` tells the components so far, which need no link inside.
     """
-    n = len(words)
+    label = label.copy()
     size = np.array([len(w) // 4 for w in words])
-    label = np.arange(n)
-    folded = np.stack([np.bincount(np.frombuffer(w, np.uint32) % FOLD, minlength=FOLD) for w in words]).astype(np.int32) if n > 8 else None
-    for x in range(split or n - 1):
+    counts = unfolded([folded(np.frombuffer(w, np.uint32)) for w in words])
+    for x in range(split or len(words) - 1):
         first = split or x + 1
-        others = first + np.flatnonzero(label[first:] != label[x])
-        others = others[~(sketches[others] == sketches[x]).any(axis=1)]
-        longer = np.maximum(size[others], size[x])
-        limit = ((1 - similarity) * longer + 1e-9).astype(int)
-        near = np.abs(size[others] - size[x]) <= limit
-        if folded is not None:
-            others, longer, limit = others[near], longer[near], limit[near]
-            near = longer - np.minimum(folded[others], folded[x]).sum(axis=1) <= limit
-        for y in others[near].tolist():
+        for y in within_bound(size, counts, x, first + np.flatnonzero(label[first:] != label[x]), similarity).tolist():
             if label[x] != label[y] and alike(words[x], words[y], similarity):
                 label[label == label[y]] = label[x]
                 yield x, y
 
 
-def _meetings(members: DataFrame, block: int) -> DataFrame:
-    """at, bucket, blocks, own (its block), node: the buckets of two texts or more, of those with the same texts the one of least ``at``."""
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    buckets = buckets.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("at", "bucket")).alias("first"))
-    buckets = buckets.select("first.bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = members.join(buckets, "bucket").withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
-    return saved(rows.select("at", "bucket", "blocks", "own", "node"), "meet")
+def _in_cells(rows: DataFrame, work: Callable[[list[tuple], np.ndarray, int], list[tuple]], payload: tuple[str, ...], out: str) -> DataFrame:
+    """Deal rows by (bucket, i, j) and call ``work`` (rows, labels, split) for each cell; a row is bucket, i, j, node, then ``payload``."""
+    names = [f.split()[0] for f in out.split(", ")]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held = None, []
 
-def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 1000) -> DataFrame:
-    """node, rep: verified links between different texts (md5 of each), enough to join all that is alike in a bucket."""
+        def ended() -> list[tuple]:
+            split = sum(r[4] for r in held)
+            split = len(held) - split if split else 0
+            if len(held) < 2 or not split and cell[1] != cell[2]:
+                return []
+            label = np.unique(np.array([r[5] for r in held], object), return_inverse=True)[1]
+            return work([(*r[:4], *r[6:]) for r in held], label, split) if label.any() else []
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = []
+            for r in zip(b["bucket"], b["i"], b["j"], b["node"], b["side"], b["root"], *(b[c] for c in payload)):
+                if r[:3] != cell:
+                    made += ended()
+                    cell, held = r[:3], []
+                held.append(r)
+            if made:
+                yield pd.DataFrame(made, columns=names)
+        if made := ended():
+            yield pd.DataFrame(made, columns=names)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "node").mapInPandas(run, out)
+
+
+def _words_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """node, words (32 bits of each word's hash) of the wanted nodes. Only their texts' words are shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(wanted.select(F.xxhash64("node").alias("h")), "h"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set[bytes] = set()
+        for b in batches:
+            b = b[in_set(bits.value, b["h"].to_numpy())]
+            b = b[np.array([first_seen(done, bytes(n)) for n in b["node"]], bool)]
+            yield pd.DataFrame({"node": b["node"], "words": [word_hashes(t).astype(np.uint32).tobytes() for t in b["text"]]})
+
+    found = _nodes(docs, text).withColumn("h", F.xxhash64("node")).mapInPandas(run, "node binary, words binary")
+    return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+
+
+def _sketched(docs: DataFrame, text: str, k: int, short: int, ell: int, sketches: int) -> DataFrame:
+    """node, n_words, folded, sketches (of long and short runs in turn); a text with copies in several tasks has a row in each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[bytes] = set()
         for b in batches:
             out = []
             for node, t in zip(b["node"], b["text"]):
-                node = bytes(node)
-                if node not in done:  # copies in the same task
-                    done.add(node)
-                    found = word_hashes(t)
-                    out.append((node, np.concatenate([order_minhash(found, n, ell, sketches) for n in (k, short)])))
-            yield pd.DataFrame(out, columns=["node", "sketches"])
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come in order, so that a cell's stand together, those of block i first."""
-        cell, held = None, []
+                if first_seen(done, node := bytes(node)) and len(found := word_hashes(t)):
+                    both = [order_minhash(found, k, ell, sketches), order_minhash(found, short, ell, sketches) ^ SHORT]
+                    out.append((node, len(found), folded(found.astype(np.uint32)), np.stack(both, axis=1).reshape(-1)))
+            yield pd.DataFrame(out, columns=["node", "n_words", "folded", "sketches"])
 
-        def ended() -> pd.DataFrame:
-            split = sum(r[4] for r in held)
-            split = len(held) - split if split else 0
-            found = cell_links([r[6] for r in held], np.stack([r[7] for r in held]), split, similarity) if len(held) > 1 and (split or cell[1] == cell[2]) else ()
-            return pd.DataFrame([(held[x][5], held[y][5]) for x, y in found], columns=["node", "rep"])
+    return saved(_nodes(docs, text).mapInPandas(run, "node binary, n_words int, folded binary, sketches array<bigint>"), "sketches")
 
+
+def _meetings(made: DataFrame, bits, roots: DataFrame | None, low: int, high: int, block: int, most_words: int) -> DataFrame:
+    """bucket, i, j, side, node, root, n_words: the cells of the buckets of sketches ``low`` to ``high`` - 1 that hold two components or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for r in zip(*(b[c] for c in ("at", "bucket", "i", "j", "side", "node", "words", "sketches"))):
-                if r[1:4] != cell:
-                    if held:
-                        out.append(ended())
-                    cell, held = r[1:4], []
-                held.append(r)
-            if out:
-                yield pd.concat(out)
-        if held:
-            yield ended()
-
-    made = _nodes(docs, text).mapInPandas(sketch, "node binary, sketches array<bigint>")
-    made = saved(made.groupBy("node").agg(F.first("sketches").alias("sketches")), "sketches")
-    members = made.select("node", F.posexplode("sketches").alias("at", "sketch")).select("node", "at", F.xxhash64("at", "sketch").alias("bucket"))
-    meet = _meetings(members, block)
-    words = _words_of(docs, text, meet.select("node").distinct())
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = meet.join(made, "node").join(words, "node").select("at", "bucket", "own", "node", "words", F.slice("sketches", 1, F.col("at")).alias("sketches"), other)
-    rows = rows.select("at", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "words", "sketches")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "node")
-    return saved(dealt.mapInPandas(compare, "node binary, rep binary"), "links")
+            if len(b):
+                bucket, n = np.concatenate(b["s"].to_list()), b["s"].map(len)
+                ok = in_set(bits.value, bucket)
+                yield pd.DataFrame({"node": b["node"].repeat(n).to_numpy()[ok], "n_words": b["n_words"].repeat(n).to_numpy()[ok], "bucket": bucket[ok]})
+
+    rows = made.select("node", "n_words", F.slice("sketches", low + 1, high - low).alias("s")).mapInPandas(run, "node binary, n_words int, bucket long").distinct()
+    rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = saved(rows, "meet")
+    buckets = rows.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum("n_words").alias("w"), F.min("root").alias("a"), F.max("root").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    ).where("a < b")
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.first("w").alias("w"))  # of buckets of the same texts one
+    buckets = buckets.select("bucket", F.ceil(F.greatest(F.col("n") / block, F.col("w") / most_words)).cast("int").alias("blocks"))
+    rows = rows.join(buckets, "bucket").withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root", "n_words")
+
+
+def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 1000, most_words: int = 4_000_000, first: int = 4) -> DataFrame:
+    """node, rep: verified links between different texts (md5 of each), enough to join all that is alike in a bucket."""
+    made = _sketched(docs, text, k, short, ell, sketches)
+    repeated = made.select(F.explode("sketches").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(repeated, "bucket"))
+    found, roots = None, None
+
+    def flagged(rows: list[tuple], label: np.ndarray, split: int) -> list[tuple]:
+        keep = plausible(np.array([r[4] for r in rows]), unfolded([r[5] for r in rows]), label, split, similarity)
+        return [(*r[:3], int(split > 0 and at >= split), r[3], r[6]) for at, (r, ok) in enumerate(zip(rows, keep)) if ok]
+
+    def linked(rows: list[tuple], label: np.ndarray, split: int) -> list[tuple]:
+        return [(rows[x][3], rows[y][3]) for x, y in cell_links([r[4] for r in rows], label, split, similarity)]
+
+    for low, high in ((0, first), (first, 2 * sketches)):
+        cells = saved(_meetings(made, bits, roots, low, high, block, most_words), "cells")
+        counts = made.join(cells.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("folded").alias("folded"))
+        near = _in_cells(cells.join(counts, "node").withColumn("root2", F.col("root")), flagged, ("n_words", "folded", "root2"), "bucket long, i int, j int, side int, node binary, root binary")
+        near = saved(near, "near")
+        words = _words_of(docs, text, near.select("node").distinct())
+        new = saved(_in_cells(near.join(words, "node"), linked, ("words",), "node binary, rep binary"), "links")
+        found = new if found is None else found.union(new)
+        if high < 2 * sketches:
+            roots = components(found, "node", "rep")
+    return found
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
