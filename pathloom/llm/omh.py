@@ -79,10 +79,14 @@ def places(a: list[int]) -> Callable[[int, int, int], int]:
 
     Bit sets are kept for the FREQUENT commonest words only, so memory grows as the text, not as its square.
     """
+    sets: dict[int, int] = {}
+    if len(a) <= 8 * FREQUENT:
+        for i, x in enumerate(a):
+            sets[x] = sets.get(x, 0) | 1 << i
+        return lambda x, start, width: sets.get(x, 0) << -start if start < 0 else sets.get(x, 0) >> start
     lists: dict[int, list[int]] = {}
     for i, x in enumerate(a):
         lists.setdefault(x, []).append(i)
-    sets: dict[int, int] = {}
     for x in sorted(lists, key=lambda x: -len(lists[x]))[:FREQUENT]:
         raw = np.zeros(len(a) + 1, np.uint8)
         raw[lists[x]] = 1
@@ -140,13 +144,25 @@ def banded_distance(a: list[int], b: list[int], limit: int) -> int:
     return min(distance, limit_given + 1)
 
 
-def alike(a: bytes, b: bytes, similarity: float) -> bool:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    limit = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+def labelled(words: np.ndarray) -> np.ndarray:
+    """Sorted hashes of (word, occurrence number)."""
+    return np.sort(occurrence_labelled(words.astype(U64))) if len(words) else words.astype(U64)
+
+
+def n_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Values of a in b; both sorted and distinct."""
+    if not len(a) or not len(b):
+        return 0
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float, x_set: np.ndarray | None = None, y_set: np.ndarray | None = None) -> bool:
+    """Whether two texts' words are a link; the sets are their ``labelled`` words, if at hand."""
+    longer = max(len(x), len(y))
+    limit = int((1 - similarity) * longer + 1e-9)
     if abs(len(x) - len(y)) > limit:
         return False
-    shared = np.intersect1d(occurrence_labelled(x.astype(U64)), occurrence_labelled(y.astype(U64)), assume_unique=True) if len(x) and len(y) else ()
-    if max(len(x), len(y)) - len(shared) > limit:
+    if longer - n_common(labelled(x) if x_set is None else x_set, labelled(y) if y_set is None else y_set) > limit:
         return False
     return banded_distance(x.tolist(), y.tolist(), limit) <= limit
 
@@ -189,18 +205,20 @@ def plausible(size: np.ndarray, counts: np.ndarray, label: np.ndarray, split: in
     return found
 
 
-def cell_links(words: list[bytes], label: np.ndarray, split: int, similarity: float) -> Iterator[tuple[int, int]]:
+def cell_links(words: list[np.ndarray], earlier: np.ndarray, label: np.ndarray, split: int, similarity: float) -> Iterator[tuple[int, int]]:
     """Links that join all that is alike in a cell: of any two texts, or if ``split`` of one before it with one from it on.
 
-    ``label`` tells the components so far, which need no link inside.
+    ``label`` tells the components so far, which need no link inside. ``earlier`` are the texts' sketches before the
+    bucket's own: pairs that share one of these are left to the bucket of that one.
     """
     label = label.copy()
-    size = np.array([len(w) // 4 for w in words])
-    counts = unfolded([folded(np.frombuffer(w, np.uint32)) for w in words])
+    size, sets = np.array([len(w) for w in words]), [labelled(w) for w in words]
+    counts = unfolded([folded(w) for w in words])
     for x in range(split or len(words) - 1):
         first = split or x + 1
-        for y in within_bound(size, counts, x, first + np.flatnonzero(label[first:] != label[x]), similarity).tolist():
-            if label[x] != label[y] and alike(words[x], words[y], similarity):
+        others = within_bound(size, counts, x, first + np.flatnonzero(label[first:] != label[x]), similarity)
+        for y in others[~(earlier[others] == earlier[x]).any(axis=1)].tolist():
+            if label[x] != label[y] and alike(words[x], words[y], similarity, sets[x], sets[y]):
                 label[label == label[y]] = label[x]
                 yield x, y
 
@@ -268,29 +286,30 @@ def _sketched(docs: DataFrame, text: str, k: int, short: int, ell: int, sketches
 
 
 def _meetings(made: DataFrame, bits, roots: DataFrame | None, low: int, high: int, block: int, most_words: int) -> DataFrame:
-    """bucket, i, j, side, node, root, n_words: the cells of the buckets of sketches ``low`` to ``high`` - 1 that hold two components or more."""
+    """bucket, i, j, side, at, node, root, n_words: the cells of the buckets of sketches ``low`` to ``high`` - 1 that hold two components or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 bucket, n = np.concatenate(b["s"].to_list()), b["s"].map(len)
                 ok = in_set(bits.value, bucket)
-                yield pd.DataFrame({"node": b["node"].repeat(n).to_numpy()[ok], "n_words": b["n_words"].repeat(n).to_numpy()[ok], "bucket": bucket[ok]})
+                at = low + np.tile(np.arange(high - low), len(b))
+                yield pd.DataFrame({"node": b["node"].repeat(n).to_numpy()[ok], "n_words": b["n_words"].repeat(n).to_numpy()[ok], "at": at[ok], "bucket": bucket[ok]})
 
-    rows = made.select("node", "n_words", F.slice("sketches", low + 1, high - low).alias("s")).mapInPandas(run, "node binary, n_words int, bucket long").distinct()
+    rows = made.select("node", "n_words", F.slice("sketches", low + 1, high - low).alias("s")).mapInPandas(run, "node binary, n_words int, at int, bucket long").distinct()
     rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = saved(rows, "meet")
     buckets = rows.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum("n_words").alias("w"), F.min("root").alias("a"), F.max("root").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+        F.count("*").alias("n"), F.sum("n_words").alias("w"), F.min("at").alias("at"), F.min("root").alias("a"), F.max("root").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
     ).where("a < b")
-    buckets = buckets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.first("w").alias("w"))  # of buckets of the same texts one
-    buckets = buckets.select("bucket", F.ceil(F.greatest(F.col("n") / block, F.col("w") / most_words)).cast("int").alias("blocks"))
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("at", "bucket")).alias("first"), F.first("w").alias("w"))  # of buckets of the same texts the first
+    buckets = buckets.select("first.bucket", F.ceil(F.greatest(F.col("n") / block, F.col("w") / most_words)).cast("int").alias("blocks"))
     rows = rows.join(buckets, "bucket").withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root", "n_words")
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "at", "node", "root", "n_words")
 
 
-def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 1000, most_words: int = 4_000_000, first: int = 4) -> DataFrame:
+def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 500, most_words: int = 4_000_000, first: int = 4) -> DataFrame:
     """node, rep: verified links between different texts (md5 of each), enough to join all that is alike in a bucket."""
     made = _sketched(docs, text, k, short, ell, sketches)
     repeated = made.select(F.explode("sketches").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -299,18 +318,21 @@ def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, el
 
     def flagged(rows: list[tuple], label: np.ndarray, split: int) -> list[tuple]:
         keep = plausible(np.array([r[4] for r in rows]), unfolded([r[5] for r in rows]), label, split, similarity)
-        return [(*r[:3], int(split > 0 and at >= split), r[3], r[6]) for at, (r, ok) in enumerate(zip(rows, keep)) if ok]
+        return [(*r[:3], int(split > 0 and at >= split), r[3], *r[6:]) for at, (r, ok) in enumerate(zip(rows, keep)) if ok]
 
     def linked(rows: list[tuple], label: np.ndarray, split: int) -> list[tuple]:
-        return [(rows[x][3], rows[y][3]) for x, y in cell_links([r[4] for r in rows], label, split, similarity)]
+        found = cell_links([np.frombuffer(r[4], np.uint32) for r in rows], np.stack([r[5] for r in rows]), label, split, similarity)
+        return [(rows[x][3], rows[y][3]) for x, y in found]
 
     for low, high in ((0, first), (first, 2 * sketches)):
         cells = saved(_meetings(made, bits, roots, low, high, block, most_words), "cells")
         counts = made.join(cells.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("folded").alias("folded"))
-        near = _in_cells(cells.join(counts, "node").withColumn("root2", F.col("root")), flagged, ("n_words", "folded", "root2"), "bucket long, i int, j int, side int, node binary, root binary")
+        near = _in_cells(cells.join(counts, "node").withColumn("root2", F.col("root")), flagged, ("n_words", "folded", "at", "root2"), "bucket long, i int, j int, side int, node binary, at int, root binary")
         near = saved(near, "near")
         words = _words_of(docs, text, near.select("node").distinct())
-        new = saved(_in_cells(near.join(words, "node"), linked, ("words",), "node binary, rep binary"), "links")
+        before = made.join(near.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketches").alias("sketches"))
+        rows = near.join(words, "node").join(before, "node").withColumn("earlier", F.slice("sketches", 1, F.col("at")))
+        new = saved(_in_cells(rows.drop("sketches"), linked, ("words", "earlier"), "node binary, rep binary"), "links")
         found = new if found is None else found.union(new)
         if high < 2 * sketches:
             roots = components(found, "node", "rep")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -19,6 +20,20 @@ def words(r, n, tag=""):
     return " ".join(f"{tag}{chr(97 + r.randrange(26))}{r.randrange(400)}" for _ in range(n))
 
 
+def plainly_alike(a, b):
+    """Edit distance by the textbook's table, after two bounds: lengths and words in common."""
+    most = max(len(a), len(b))
+    if (most - sum((Counter(a) & Counter(b)).values())) * 5 > most:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+        row = now
+    return row[-1] * 5 <= most
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     r = random.Random(1)
@@ -42,7 +57,7 @@ def brute_classes(rows):
     for i, a in enumerate(texts):
         for b in texts[:i]:
             x, y = common.word_hashes(a), common.word_hashes(b)
-            if len(x) and len(y) and omh.alike(x.astype(np.uint32).tobytes(), y.astype(np.uint32).tobytes(), 0.8):
+            if len(x) and len(y) and plainly_alike(x.tolist(), y.tolist()):
                 parent[root(a)] = root(b)
     groups = {}
     for k, t in rows:
