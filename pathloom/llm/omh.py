@@ -193,13 +193,14 @@ def within_bound(size: np.ndarray, counts: np.ndarray, x: int, others: np.ndarra
     return others[longer - np.minimum(counts[others], counts[x]).sum(axis=1, dtype=np.int64) <= limit]
 
 
-def plausible(size: np.ndarray, counts: np.ndarray, label: np.ndarray, split: int, similarity: float) -> np.ndarray:
-    """A flag for each text of a cell that has a partner of another component within the bound."""
+def plausible(size: np.ndarray, counts: np.ndarray, earlier: np.ndarray, label: np.ndarray, split: int, similarity: float) -> np.ndarray:
+    """A flag for each text of a cell that has a partner of another component within the bound, with which it shares no earlier sketch."""
     found = np.zeros(len(size), bool)
     for x in range(split or len(size) - 1):
         first = split or x + 1
         others = first + np.flatnonzero((label[first:] != label[x]) & ~(found[first:] & found[x]))
         near = within_bound(size, counts, x, others, similarity)
+        near = near[~(earlier[near] == earlier[x]).any(axis=1)]
         found[near] = True
         found[x] |= len(near) > 0
     return found
@@ -317,7 +318,7 @@ def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, el
     found, roots = None, None
 
     def flagged(rows: list[tuple], label: np.ndarray, split: int) -> list[tuple]:
-        keep = plausible(np.array([r[4] for r in rows]), unfolded([r[5] for r in rows]), label, split, similarity)
+        keep = plausible(np.array([r[4] for r in rows]), unfolded([r[5] for r in rows]), np.stack([r[6] for r in rows]), label, split, similarity)
         return [(*r[:3], int(split > 0 and at >= split), r[3], *r[6:]) for at, (r, ok) in enumerate(zip(rows, keep)) if ok]
 
     def linked(rows: list[tuple], label: np.ndarray, split: int) -> list[tuple]:
@@ -326,13 +327,12 @@ def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, el
 
     for low, high in ((0, first), (first, 2 * sketches)):
         cells = saved(_meetings(made, bits, roots, low, high, block, most_words), "cells")
-        counts = made.join(cells.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("folded").alias("folded"))
-        near = _in_cells(cells.join(counts, "node").withColumn("root2", F.col("root")), flagged, ("n_words", "folded", "at", "root2"), "bucket long, i int, j int, side int, node binary, at int, root binary")
+        known = made.join(cells.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("folded").alias("folded"), F.first("sketches").alias("sketches"))
+        rows = cells.join(known, "node").withColumn("earlier", F.slice("sketches", 1, F.col("at"))).withColumn("same_root", F.col("root")).drop("sketches", "at")
+        near = _in_cells(rows, flagged, ("n_words", "folded", "earlier", "same_root"), "bucket long, i int, j int, side int, node binary, earlier array<bigint>, root binary")
         near = saved(near, "near")
         words = _words_of(docs, text, near.select("node").distinct())
-        before = made.join(near.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketches").alias("sketches"))
-        rows = near.join(words, "node").join(before, "node").withColumn("earlier", F.slice("sketches", 1, F.col("at")))
-        new = saved(_in_cells(rows.drop("sketches"), linked, ("words", "earlier"), "node binary, rep binary"), "links")
+        new = saved(_in_cells(near.join(words, "node"), linked, ("words", "earlier"), "node binary, rep binary"), "links")
         found = new if found is None else found.union(new)
         if high < 2 * sketches:
             roots = components(found, "node", "rep")
