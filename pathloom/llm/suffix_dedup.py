@@ -1,21 +1,27 @@
-"""Removal of repeated byte strings by sparse, distributed prefix doubling.
+"""Removal of repeated byte strings by distributed prefix doubling.
 
-A byte goes if it lies in a string of ``length`` bytes that also starts anywhere else. Positions get ranks (fingerprints of the
-bytes that follow them, equal for equal bytes) at growing lengths; at each round Spark shuffles the ranks, and positions whose rank
-is unique are out, since no longer string from there can repeat:
+A byte goes if it lies in a string of ``length`` bytes that also starts anywhere else. Equal texts are one node from the start.
 
-1. whole texts: equal texts are one node, and all but short copies are removed whole;
-2. ``seed`` bytes, at anchors only: in every string of ``length`` bytes the least hash of its ``seed``-byte strings marks an
-   anchor, the same one in every copy of the string, so each string belongs to one anchor and only those whose anchor's
-   rank repeats can repeat;
-3. the stretch of an anchor: all the bytes of the strings that belong to it. Where that repeats, so do all its strings;
-4. ``length`` bytes: for stretches that are not equal but share an anchor, the rank of a string is the pair of the ranks of
-   its two halves (prefix doubling's last step). One of each set of equal stretches stands for all of them.
+Positions. In each run of ``width`` neighbouring positions the one whose SEED bytes hash least is an anchor (the first of
+equals), and an anchor's phrase reaches to the SEED bytes of the next one. Which positions are anchors depends on the bytes
+around them alone, so copies of a string have the same anchors. ``width`` is chosen so that a string of ``length`` bytes holds
+the RUN phrases from its first anchor on. A string can therefore repeat only if its first anchor's run of RUN phrases does, and nothing is lost
+by ranking anchors instead of all positions.
 
-Ranks are Karp-Rabin fingerprints from prefix sums of a text, so a rank pair needs no lookup of another position's row.
+Ranks. Spark ranks the phrases of all anchors, then sorts the pairs (rank, rank at offset 1), reranks, then the pairs at offset 2, and
+so on at doubling offsets until RUN phrases are ranked. A rank is the place of its pair in the sorted order of those pairs that occur twice or
+more; anchors whose pair is unique are out, since no longer string from there can repeat. The last rank, just under the threshold, is of the
+bytes that all strings with this anchor have in common.
 
-Defined results: a null text counts as empty and stays null; texts shorter than ``length`` lose nothing; repeated rows are copies of each other;
-rows with a null key take part like others. Only key and text are read.
+Strings. Anchors still tied are reported with all their strings where these agree byte for byte with another anchor's; of the others
+each string of exactly ``length`` bytes is ranked. Bytes are compared by 128-bit hashes.
+
+Long texts are read in pieces of CHUNK bytes. In a periodic stretch neighbouring anchors have the same strings; these are known to repeat
+at once, and only the stretch's ends are ranked.
+
+Defined results: a null text counts as empty and stays null; texts shorter than ``length`` lose nothing; repeated rows are copies of
+each other; rows with a null key take part like others; a very long text takes memory in proportion to CHUNK and to its tied anchors; an empty table
+gives no rows. Only key and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,12 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, prefix_hash, saved, span_hash
+from .common import U64, bit_set, first_seen, in_set, mix, prefix_hash, saved, span_hash
 
-FILTER_BITS = 26
+SEED, RUN, CHUNK = 16, 4, 1 << 20
+#: Anchors at each end of a periodic stretch that are ranked: those that reach into it or out of it.
+ENDS = 2 * RUN
 
 
 def least_of_each(values: np.ndarray, width: int) -> np.ndarray:
@@ -41,143 +50,209 @@ def least_of_each(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - step)], values[width - step :]) if width > step else values
 
 
-def stretches(data: bytes, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Anchor rank, first and last start of each anchor's strings, and the prefix sums."""
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none.astype(U64), none, none, none.astype(U64)
-    prefix = prefix_hash(np.frombuffer(data, np.uint8).astype(U64) + U64(1))
-    at = np.arange(len(data) - seed + 1)
-    h = mix(span_hash(prefix, at, at + seed))
-    least = least_of_each(h, length - seed + 1)
-    # strings that follow one another with the same least hash share a stretch; a repeat of that hash may split it, alike in
-    # every copy only if the repeat is inside, so a stretch also ends where its least hash stands first
-    new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (h[: len(least) - 1] == least[:-1])])
-    return least[new], new, np.r_[new[1:], len(least)] - 1, prefix
-
-
-def string_ranks(prefix: np.ndarray, first: int, last: int, length: int) -> np.ndarray:
-    """Ranks of the strings that start at first .. last: pairs of the ranks of their halves."""
-    s = np.arange(first, last + 1)
-    half = length // 2
-    return mix(mix(span_hash(prefix, s, s + half)) * U64(3) + span_hash(prefix, s + half, s + length))
-
-
-def frames(found: Iterator[tuple[bytes, dict[str, np.ndarray]]], most: int = 200_000) -> Iterator[pd.DataFrame]:
-    """Frames of about ``most`` rows from the columns found for each node; a frame for each node costs more than the work."""
-    held, n = [], 0
-
-    def frame() -> pd.DataFrame:
-        nodes = np.empty(len(held), object)
-        nodes[:] = [node for node, _ in held]
-        columns = {c: np.concatenate([x[c] for _, x in held]) for c in held[0][1]}
-        return pd.DataFrame({"node": nodes.repeat([len(next(iter(x.values()))) for _, x in held]), **columns})
-
-    for node, columns in found:
-        if size := len(next(iter(columns.values()))):
-            held.append((node, columns))
-            n += size
-        if n >= most:
-            yield frame()
-            held, n = [], 0
+def width_for(length: int) -> int:
+    """The largest width with which a string of ``length`` bytes holds its first anchor, RUN phrases and the windows that made them."""
+    width = (length - SEED) // (RUN + 1)
+    if width < 2:
+        raise ValueError(f"length must be at least {SEED + 2 * (RUN + 1)}")
+    return width
+
+
+def anchors(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """at, end of its phrase, first and last start of its strings (last < first for none), and a 64-bit hash of the phrase, for each piece of a text."""
+    width, n, c = width_for(length), len(data), 0
+    while n >= length and n - c >= 2 * width + SEED:
+        piece = data[c : c + CHUNK + 4 * width + SEED]
+        prefix = prefix_hash(np.frombuffer(piece, np.uint8).astype(U64) + U64(1))
+        places = np.arange(len(piece) - SEED + 1)
+        h = mix(span_hash(prefix, places, places + SEED))
+        first_of = least_of_each(h >> U64(24) << U64(24) | places.astype(U64), width) & U64((1 << 24) - 1)
+        new = np.flatnonzero(np.r_[True, first_of[1:] != first_of[:-1]])
+        at, first = first_of[new].astype(np.int64), new
+        end = at[1:] + SEED  # the last anchor opens the next piece, or has no phrase
+        if len(end):
+            phrase = mix(span_hash(prefix, at[:-1], end) + (end - at[:-1]).astype(U64))
+            yield at[:-1] + c, end + c, first[:-1] + c, np.minimum(first[1:] - 1 + c, n - length), phrase.view(np.int64)
+        if c + len(piece) == n or not len(end):
+            return
+        c += int(first[-1])
+
+
+def whole(data: bytes, length: int) -> tuple[np.ndarray, ...] | None:
+    parts = list(anchors(data, length))
+    return tuple(map(np.concatenate, zip(*parts))) if parts else None
+
+
+def digests(data: bytes, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+    view = memoryview(data)
+    return [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), end.tolist())]
+
+
+def runs_of(flag: np.ndarray) -> list[tuple[int, int]]:
+    """First and last place of each run of true."""
+    edge = np.diff(np.r_[0, flag.astype(np.int8), 0])
+    return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()))
+
+
+def tied_anchors(data: bytes, length: int, shared: np.ndarray) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """(ord, at, first, last, phrase, core, strings) of the anchors whose phrase may repeat, and (first, last) of strings known to repeat inside a period."""
+    found = whole(data, length)
+    if found is None:
+        return [], []
+    at, end, first, last, phrase = found
+    ok = np.flatnonzero(in_set(shared, phrase))
+    if not len(ok):
+        return [], []
+    at, end, first, last = at[ok], end[ok], first[ok], last[ok]
+    core = at - width_for(length) + 1 + length
+    asked = last >= first
+    key, inner = digests(data, at, end), digests(data, at, np.where(asked, core, at))
+    strings = digests(data, first, np.where(asked, last + length, first))
+    same = np.zeros(len(ok), bool)
+    same[1:] = asked[1:] & asked[:-1] & (np.diff(ok) == 1) & (np.diff(at - first) == 0)
+    same[1:] &= np.array([a == b for a, b in zip(strings[1:], strings)], bool)
+    keep, known = np.ones(len(ok), bool), []
+    for a, b in runs_of(same):
+        known.append((int(first[a - 1]), int(last[b])))
+        keep[a - 1 + ENDS : max(a - 1 + ENDS, b - ENDS)] = False
+    return [(int(ok[i]), int(at[i]), int(first[i]), int(last[i]), key[i], inner[i], strings[i]) for i in np.flatnonzero(keep)], known
+
+
+def counted_frames(arrays: Iterator[np.ndarray], most: int = 500_000) -> Iterator[pd.DataFrame]:
+    """key and n for the values of about ``most`` at a time."""
+    held, size = [], 0
+    for a in arrays:
+        held.append(a)
+        size += len(a)
+        if size >= most:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pd.DataFrame({"key": key, "n": n})
+            held, size = [], 0
+    if size:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        yield pd.DataFrame({"key": key, "n": n})
+
+
+def open_strings(data: bytes, parts: list, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Start, 64-bit hash and asked of the strings of the parts, for parts that stand together at once."""
+    parts = sorted((p["first"], p["last"], p["asked"]) for p in parts)
+    i = 0
+    while i < len(parts):
+        j, begin = i + 1, parts[i][0]
+        while j < len(parts) and parts[j][0] < parts[j - 1][1] + length and parts[j][1] - begin < CHUNK:
+            j += 1
+        s = np.concatenate([np.arange(a, b + 1) for a, b, _ in parts[i:j]])
+        prefix = prefix_hash(np.frombuffer(data[begin : int(s[-1]) + length], np.uint8).astype(U64) + U64(1))
+        h = mix(span_hash(prefix, s - begin, s - begin + length)).view(np.int64)
+        yield s, h, np.repeat([p[2] for p in parts[i:j]], [p[1] - p[0] + 1 for p in parts[i:j]])
+        i = j
+
+
+def frames(rows: Iterator[tuple], names: list[str], most: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Frames of about ``most`` rows."""
+    held = []
+    for r in rows:
+        held.append(r)
+        if len(held) >= most:
+            yield pd.DataFrame(held, columns=names)
+            held = []
     if held:
-        yield frame()
-
-
-def bit_set(rows: DataFrame, column: str) -> np.ndarray:
-    """2**FILTER_BITS bits with the hashed values of a bigint column; its size is fixed, and exact steps follow."""
-    low = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in rows.groupBy(F.shiftrightunsigned(low, 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
-        out[r.w] = r.bits
-    return out
+        yield pd.DataFrame(held, columns=names)
 
 
-def in_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    low = values.astype(np.int64) & ((1 << FILTER_BITS) - 1)
-    return (bits[low >> 6] >> (low & 63)) & 1 == 1
+def ranked(rows: DataFrame, *by: str) -> DataFrame:
+    """``by`` and rank for each value of ``by`` that occurs twice or more: ascending in the order of ``by``, not dense."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    order = tied.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    return saved(order.withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
-def _repeated(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+def doubled(rows: DataFrame) -> DataFrame:
+    """node, ord, rank of the tied anchors after all rounds of doubling; ``rows`` has node, ord, phrase, core."""
+    now = rows.join(ranked(rows, "phrase"), "phrase").select("node", "ord", "rank")
+    offset = 1
+    while offset < RUN:
+        now = saved(now, "round")
+        ahead = now.select("node", (F.col("ord") - offset).alias("ord"), F.col("rank").alias("ahead"))
+        pairs = saved(now.withColumnRenamed("rank", "here").join(ahead, ["node", "ord"]), "pairs")
+        now, offset = pairs.join(ranked(pairs, "here", "ahead"), ["here", "ahead"]).select("node", "ord", "rank"), 2 * offset
+    last = saved(now.withColumnRenamed("rank", "here").join(rows.where("last >= first").select("node", "ord", "core"), ["node", "ord"]), "last")
+    return last.join(ranked(last, "here", "core"), ["here", "core"]).select("node", "ord", "rank")
 
 
-def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400, seed: int = 64) -> tuple[DataFrame, DataFrame]:
+def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400) -> tuple[DataFrame, DataFrame]:
     """(nodes with n copies; node, first, last: starts of repeated strings) for the distinct texts (md5)."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     source = docs.select(F.unhex(F.md5(body)).alias("node"), body.alias("data"))
     nodes = saved(source.groupBy("node").agg(F.count("*").alias("copies")), "nodes")
 
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    def texts_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bytes, bytes]]:
         done: set[bytes] = set()
         for b in batches:
             for node, data in zip(b["node"], b["data"]):
-                if bytes(node) not in done:  # copies in the same task
-                    done.add(bytes(node))
-                    key = np.unique(stretches(bytes(data), length, seed)[0], return_counts=True)
-                    yield bytes(node), {"key": key[0].view(np.int64), "n": key[1]}
-
-    found = source.mapInPandas(lambda it: frames(anchors(it)), "node binary, key long, n long")
+                if first_seen(done, bytes(node)):  # copies in the same task
+                    yield bytes(node), bytes(data)
+
+    def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for _, data in texts_of(batches):
+            for part in anchors(data, length):
+                yield part[4]
+
+    repeated = lambda rows: spark.sparkContext.broadcast(bit_set(rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "key"))
+    shared = repeated(source.mapInPandas(lambda it: counted_frames(phrases(it)), "key long, n long"))
+
+    def tied(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for node, data in texts_of(batches):
+            rows, known = tied_anchors(data, length, shared.value)
+            for a, b in known:
+                yield node, -1, 0, a, b, None, None, None
+            for r in rows:
+                yield node, *r
+
+    names = ["node", "ord", "at", "first", "last", "phrase", "core", "strings"]
+    made = source.mapInPandas(lambda it: frames(tied(it), names), "node binary, ord int, at int, first int, last int, phrase binary, core binary, strings binary")
     # copies of a text in different tasks count once
-    counted = found.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("n").alias("n"))
-    shared = spark.sparkContext.broadcast(bit_set(counted.where("a <> b or n > 1"), "key"))
-
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        done: set[bytes] = set()
-        for b in batches:
-            for node, data in zip(b["node"], b["data"]):
-                node, data = bytes(node), bytes(data)
-                if node in done:
-                    continue
-                done.add(node)
-                key, first, last, prefix = stretches(data, length, seed)
-                ok = in_set(shared.value, key)
-                if ok.any():
-                    key, first, last = key[ok], first[ok], last[ok]
-                    whole = mix(span_hash(prefix, first, last + length) + (last - first).astype(U64))
-                    yield node, {"key": key.view(np.int64), "stretch": whole.view(np.int64), "first": first, "last": last}
-
-    made = source.mapInPandas(lambda it: frames(contexts(it)), "node binary, key long, stretch long, first int, last int")
-    made = saved(made.groupBy("node", "key", "stretch", "first").agg(F.first("last").alias("last")), "stretches")
-    kinds = made.groupBy("key", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("node", "first", "last")).alias("one"))
-    kinds = saved(kinds, "kinds")
-    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
-    equal = made.join(kinds.where("n > 1").select("key", "stretch"), ["key", "stretch"], "left_semi").select("node", "first", "last")
-    open_ = kinds.join(mixed, "key", "left_semi").select("one.node", "one.first", "one.last", (F.col("n") == 1).alias("asked"))
-    open_ = saved(open_.groupBy("node").agg(F.collect_list(F.struct("first", "last", "asked")).alias("parts")), "open")  # at most a text's own stretches
+    made = saved(made.dropDuplicates(["node", "ord", "first"]), "anchors")
+    known = made.where("ord < 0").select("node", "first", "last")
+    rows = made.where("ord >= 0")
+    left = saved(doubled(rows).join(rows.select("node", "ord", "first", "last", "strings"), ["node", "ord"]), "tied")
+    kinds = saved(left.groupBy("rank", "strings").agg(F.count("*").alias("n"), F.min(F.struct("node", "first", "last")).alias("one")), "kinds")
+    mixed = kinds.groupBy("rank").agg(F.count("*").alias("kinds")).where("kinds > 1").select("rank")
+    equal = left.join(kinds.where("n > 1").select("rank", "strings"), ["rank", "strings"], "left_semi").select("node", "first", "last")
+    open_ = kinds.join(mixed, "rank", "left_semi").select("one.node", "one.first", "one.last", (F.col("n") == 1).alias("asked"))
+    open_ = saved(open_.groupBy("node").agg(F.collect_list(F.struct("first", "last", "asked")).alias("parts")), "open")  # at most a text's own anchors
     wanted = spark.sparkContext.broadcast(bit_set(open_.select(F.xxhash64("node").alias("h")), "h"))
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[bytes] = set()
         for b in batches:
             b = b[in_set(wanted.value, b["h"].to_numpy())]
-            b = b[np.array([not (n in done or done.add(n)) for n in map(bytes, b["node"])], bool)]
+            b = b[np.array([first_seen(done, bytes(n)) for n in b["node"]], bool)]
             yield b[["node", "data"]]
 
-    texts = source.withColumn("h", F.xxhash64("node")).mapInPandas(needed, "node binary, data binary")
-    texts = saved(texts.groupBy("node").agg(F.first("data").alias("data")).join(open_, "node"), "texts")
-
-    def ranks(rows: Iterator[pd.DataFrame], keep) -> Iterator[tuple]:
-        for b in rows:
-            for node, data, parts in zip(b["node"], b["data"], b["parts"]):
-                prefix = prefix_hash(np.frombuffer(data, np.uint8).astype(U64) + U64(1))
-                for p in parts:
-                    h, s, asked = string_ranks(prefix, p["first"], p["last"], length).view(np.int64), np.arange(p["first"], p["last"] + 1), p["asked"]
-                    yield bytes(node), keep(h, s, asked)
+    texts = source.withColumn("h", F.xxhash64("node")).mapInPandas(needed, "node binary, data binary").join(open_, "node")
+    texts = saved(texts.groupBy("node").agg(F.first("data").alias("data"), F.first("parts").alias("parts")), "texts")
 
-    first_pass = texts.mapInPandas(lambda it: (x[["h"]] for x in frames(ranks(it, lambda h, s, asked: {"h": h}))), "h long")
-    repeats = saved(_repeated(first_pass, "h"), "repeats")
-    likely = spark.sparkContext.broadcast(bit_set(repeats, "h"))
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for b in batches:
+            for data, parts in zip(b["data"], b["parts"]):
+                for _, h, _ in open_strings(data, parts, length):
+                    yield h
 
-    def asked_rows(h: np.ndarray, s: np.ndarray, asked: bool) -> dict[str, np.ndarray]:
-        ok = in_set(likely.value, h) if asked else np.zeros(len(h), bool)
-        return {"h": h[ok], "first": s[ok], "last": s[ok]}
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for b in batches:
+            for node, data, parts in zip(b["node"], b["data"], b["parts"]):
+                for s, h, asked in open_strings(data, parts, length):
+                    ok = in_set(likely.value, h)
+                    yield from zip([node] * int(ok.sum()), digests(data, s[ok], s[ok] + length), s[ok].tolist(), asked[ok].tolist())
 
-    second_pass = texts.mapInPandas(lambda it: frames(ranks(it, asked_rows)), "node binary, h long, first int, last int")
-    some = second_pass.join(repeats, "h", "left_semi").select("node", "first", "last")
-    return nodes, equal.union(some)
+    likely = repeated(texts.mapInPandas(lambda it: counted_frames(hashes(it)), "key long, n long"))
+    found = texts.mapInPandas(lambda it: frames(strings(it), ["node", "string", "first", "asked"]), "node binary, string binary, first int, asked boolean")
+    found = saved(found, "strings")
+    some = found.where("asked").join(ranked(found, "string"), "string").select("node", "first", F.col("first").alias("last"))
+    return nodes, known.union(equal).union(some)
 
 
 def cut(data: bytes, runs: list, copies: int, length: int) -> tuple[int, int, bytes]:
@@ -195,16 +270,16 @@ def cut(data: bytes, runs: list, copies: int, length: int) -> tuple[int, int, by
     return int(gone.sum()), int(gone[0]) + int((np.diff(gone.astype(np.int8)) == 1).sum()), np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
-def _with_runs(docs: DataFrame, text: str, length: int, seed: int) -> DataFrame:
+def _with_runs(docs: DataFrame, text: str, length: int) -> DataFrame:
     """docs' rows with ``_runs`` and ``_copies`` where their text loses bytes, null elsewhere."""
-    nodes, runs = removed_runs(docs, text=text, length=length, seed=seed)
+    nodes, runs = removed_runs(docs, text=text, length=length)
     per = runs.groupBy("node").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))  # at most a text's own starts
     per = saved(per.join(nodes.where("copies > 1"), "node", "full").select(F.col("node").alias("_node"), "_runs", F.coalesce("copies", F.lit(1)).alias("_copies")), "runs")
     node = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
     return docs.withColumn("_node", node).join(per, "_node", "left").drop("_node")
 
 
-def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400, seed: int = 64) -> DataFrame:
+def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,19 +292,19 @@ def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
             yield pd.concat([b[["key"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])], axis=1)
 
     source = docs.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = _with_runs(source, "text", length, seed).withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    rows = _with_runs(source, "text", length).withColumn("_copies", F.coalesce("_copies", F.lit(1)))
     done = rows.select("key", "text", "_runs", "_copies").mapInPandas(run, "key string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumn("key", F.col("key").cast(docs.schema[key].dataType)).withColumnRenamed("key", key)
 
 
-def cleaned(docs: DataFrame, *, text: str = "text", length: int = 400, seed: int = 64) -> DataFrame:
+def cleaned(docs: DataFrame, *, text: str = "text", length: int = 400) -> DataFrame:
     """docs with each text cut down to the bytes that stay (broken characters at a cut are dropped); other columns stay."""
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, runs: pd.Series, copies: pd.Series) -> pd.Series:
         return pd.Series([cut(t.encode("utf-8", "surrogatepass"), r if r is not None else (), int(c), length)[2].decode("utf-8", "ignore") for t, r, c in zip(texts, runs, copies)])
 
-    rows = _with_runs(docs, text, length, seed)
+    rows = _with_runs(docs, text, length)
     touched = F.col(text).isNotNull() & (F.col("_runs").isNotNull() | (F.col("_copies") > 1))
     new = kept(F.coalesce(F.col(text).cast("string"), F.lit("")), F.col("_runs"), F.coalesce("_copies", F.lit(1)))
     return rows.withColumn(text, F.when(touched, new).otherwise(F.col(text))).select(*docs.columns)

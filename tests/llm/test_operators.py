@@ -145,13 +145,13 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,seed", [(400, 64), (60, 16)])
-def test_suffix_dedup(docs, length, seed):
+@pytest.mark.parametrize("length", [400, 60])
+def test_suffix_dedup(docs, length):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = sorted((str(k), *w) for (k, _), w in zip(rows, brute_removed([t for _, t in rows], length)))
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(docs, length=length, seed=seed).collect())
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(docs, length=length).collect())
     assert got == want
-    cleaned = suffix_dedup.cleaned(docs, length=length, seed=seed)
+    cleaned = suffix_dedup.cleaned(docs, length=length)
     assert cleaned.columns == docs.columns and cleaned.where("doc_id = 8 and text = 'é'").count() == 1 and cleaned.where("doc_id = 6 and text is null").count() == 1
     assert suffix_dedup.report(docs.limit(0)).count() == 0
 

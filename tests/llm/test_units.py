@@ -2,6 +2,7 @@
 
 import gzip
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -197,10 +198,35 @@ def test_class_prior():
     assert abs(quality.class_prior(r.permutation(pos), r.permutation(unl), 3) - 0.6) < 0.12
 
 
+def repeated_starts(data, length):
+    seen = Counter(data[i : i + length] for i in range(len(data) - length + 1))
+    return {i for i in range(len(data) - length + 1) if seen[data[i : i + length]] > 1}
+
+
 @small
-@given(st.lists(st.sampled_from([b"abcdefgh", b"abcdefgX", b"zz", b"q"]), max_size=8), st.integers(0, 3))
-def test_stretches_cover_every_start(parts, pad):
-    data = b"".join(parts) + bytes(range(pad))
-    key, first, last, _ = suffix_dedup.stretches(data, 12, 4)
-    starts = [s for a, b in zip(first, last) for s in range(a, b + 1)]
-    assert starts == list(range(max(0, len(data) - 11)))
+@given(st.lists(st.sampled_from([b"abcdefghijklmnopqrstuv", b"abcdefghijklmnopqrstuX", b"zz", b"q" * 7, bytes(range(200))]), max_size=14), st.sampled_from([1 << 20, 90]))
+def test_anchors_lose_no_string(parts, chunk):
+    """Every start has an anchor, whatever the pieces; equal strings have the same phrases and core; those known from a period repeat."""
+    data, length = b"".join(parts), 60
+    old, suffix_dedup.CHUNK = suffix_dedup.CHUNK, chunk
+    try:
+        found = suffix_dedup.whole(data, length)
+        everything = np.full(1 << 23, 255, np.uint8)
+        rows, known = suffix_dedup.tied_anchors(data, length, everything)
+    finally:
+        suffix_dedup.CHUNK = old
+    if len(data) < length:
+        assert found is None and not rows
+        return
+    at, end, first, last, phrase = found
+    assert [s for a, b in zip(first, last) for s in range(a, b + 1)] == list(range(len(data) - length + 1))
+    of = {}
+    for i, (a, b) in enumerate(zip(first, last)):
+        for s in range(a, b + 1):
+            assert end[i + suffix_dedup.RUN - 1] <= s + length
+            of.setdefault(data[s : s + length], set()).add((int(at[i]) - s, *phrase[i : i + suffix_dedup.RUN].tolist()))
+    assert all(len(x) == 1 for x in of.values())
+    want = repeated_starts(data, length)
+    assert {s for a, b in known for s in range(a, b + 1)} <= want
+    ranked = {s for r in rows for s in range(r[2], r[3] + 1)} | {s for a, b in known for s in range(a, b + 1)}
+    assert want <= ranked
