@@ -8,13 +8,13 @@ around them alone, so copies of a string have the same anchors. ``width`` is cho
 the RUN phrases from its first anchor on. A string can therefore repeat only if its first anchor's run of RUN phrases does, and nothing is lost
 by ranking anchors instead of all positions.
 
-Ranks. Spark ranks the phrases of all anchors, then sorts the pairs (rank, rank at offset 1), reranks, then the pairs at offset 2, and
-so on at doubling offsets until RUN phrases are ranked. A rank is the place of its pair in the sorted order of those pairs that occur twice or
-more; anchors whose pair is unique are out, since no longer string from there can repeat. The last rank, just under the threshold, is of the
-bytes that all strings with this anchor have in common.
+Ranks. An anchor's first rank is a hash of its phrase. Spark sorts the pairs (rank, rank at offset 1), reranks, then the pairs at offset 2,
+and so on at doubling offsets until RUN phrases are ranked; anchors whose pair is unique are out, since no longer string from there can
+repeat. The last pair is taken with the bytes that all strings with this anchor have in common, which end just under the threshold.
 
 Strings. Anchors still tied are reported with all their strings where these agree byte for byte with another anchor's; of the others
-each string of exactly ``length`` bytes is ranked. Bytes are compared by 128-bit hashes.
+each string of exactly ``length`` bytes is ranked. These two comparisons are by 128-bit hashes, all before them by 64-bit ones, which can
+only leave more anchors tied.
 
 Long texts are read in pieces of CHUNK bytes. In a periodic stretch neighbouring anchors have the same strings; these are known to repeat
 at once, and only the stretch's ends are ranked.
@@ -32,12 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, bit_set, first_seen, in_set, mix, prefix_hash, saved, span_hash
 
-SEED, RUN, CHUNK = 16, 4, 1 << 20
+SEED, RUN, CHUNK = 16, 2, 1 << 20
 #: Anchors at each end of a periodic stretch that are ranked: those that reach into it or out of it.
 ENDS = 2 * RUN
 
@@ -95,7 +95,7 @@ def runs_of(flag: np.ndarray) -> list[tuple[int, int]]:
 
 
 def tied_anchors(data: bytes, length: int, shared: np.ndarray) -> tuple[list[tuple], list[tuple[int, int]]]:
-    """(ord, at, first, last, phrase, core, strings) of the anchors whose phrase may repeat, and (first, last) of strings known to repeat inside a period."""
+    """(ord, first, last, rank, core, strings) of the anchors whose phrase may repeat, and (first, last) of strings known to repeat inside a period."""
     found = whole(data, length)
     if found is None:
         return [], []
@@ -103,10 +103,10 @@ def tied_anchors(data: bytes, length: int, shared: np.ndarray) -> tuple[list[tup
     ok = np.flatnonzero(in_set(shared, phrase))
     if not len(ok):
         return [], []
-    at, end, first, last = at[ok], end[ok], first[ok], last[ok]
+    at, first, last, phrase = at[ok], first[ok], last[ok], phrase[ok]
     core = at - width_for(length) + 1 + length
     asked = last >= first
-    key, inner = digests(data, at, end), digests(data, at, np.where(asked, core, at))
+    inner = [xxhash.xxh3_64_intdigest(memoryview(data)[a:b]) for a, b in zip(at.tolist(), np.where(asked, core, at).tolist())]
     strings = digests(data, first, np.where(asked, last + length, first))
     same = np.zeros(len(ok), bool)
     same[1:] = asked[1:] & asked[:-1] & (np.diff(ok) == 1) & (np.diff(at - first) == 0)
@@ -115,7 +115,8 @@ def tied_anchors(data: bytes, length: int, shared: np.ndarray) -> tuple[list[tup
     for a, b in runs_of(same):
         known.append((int(first[a - 1]), int(last[b])))
         keep[a - 1 + ENDS : max(a - 1 + ENDS, b - ENDS)] = False
-    return [(int(ok[i]), int(at[i]), int(first[i]), int(last[i]), key[i], inner[i], strings[i]) for i in np.flatnonzero(keep)], known
+    inner = np.array(inner, U64).view(np.int64)
+    return [(int(ok[i]), int(first[i]), int(last[i]), int(phrase[i]), int(inner[i]), strings[i]) for i in np.flatnonzero(keep)], known
 
 
 def counted_frames(arrays: Iterator[np.ndarray], most: int = 500_000) -> Iterator[pd.DataFrame]:
@@ -168,17 +169,22 @@ def ranked(rows: DataFrame, *by: str) -> DataFrame:
     return saved(order.withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
-def doubled(rows: DataFrame) -> DataFrame:
-    """node, ord, rank of the tied anchors after all rounds of doubling; ``rows`` has node, ord, phrase, core."""
-    now = rows.join(ranked(rows, "phrase"), "phrase").select("node", "ord", "rank")
-    offset = 1
-    while offset < RUN:
-        now = saved(now, "round")
-        ahead = now.select("node", (F.col("ord") - offset).alias("ord"), F.col("rank").alias("ahead"))
-        pairs = saved(now.withColumnRenamed("rank", "here").join(ahead, ["node", "ord"]), "pairs")
-        now, offset = pairs.join(ranked(pairs, "here", "ahead"), ["here", "ahead"]).select("node", "ord", "rank"), 2 * offset
-    last = saved(now.withColumnRenamed("rank", "here").join(rows.where("last >= first").select("node", "ord", "core"), ["node", "ord"]), "last")
-    return last.join(ranked(last, "here", "core"), ["here", "core"]).select("node", "ord", "rank")
+def with_ahead(rows: DataFrame, offset: int) -> DataFrame:
+    """Add ahead: the rank at ``offset`` anchors further on in the text."""
+    there = Window.partitionBy("node").orderBy("ord").rangeBetween(offset, offset)
+    return rows.withColumn("ahead", F.max("rank").over(there))
+
+
+def doubled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of periods (``ord`` < 0), and those that are tied in all rounds but the last, with ``rank`` and ``ahead`` for that one."""
+    first = saved(with_ahead(rows, 1).where("ord < 0 or ahead is not null"), "pairs")
+    now, offset = first.where("ord >= 0"), 1
+    while 2 * offset < RUN:
+        offset *= 2
+        now = now.withColumnRenamed("rank", "here")
+        now = now.join(ranked(now, "here", "ahead"), ["here", "ahead"]).drop("here", "ahead")
+        now = saved(with_ahead(now, offset).where("ahead is not null"), "pairs")
+    return first.where("ord < 0").select("node", "first", "last"), now.where("last >= first")
 
 
 def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400) -> tuple[DataFrame, DataFrame]:
@@ -207,21 +213,20 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400) -> t
         for node, data in texts_of(batches):
             rows, known = tied_anchors(data, length, shared.value)
             for a, b in known:
-                yield node, -1, 0, a, b, None, None, None
+                yield node, -1 - a, a, b, None, None, None
             for r in rows:
                 yield node, *r
 
-    names = ["node", "ord", "at", "first", "last", "phrase", "core", "strings"]
-    made = source.mapInPandas(lambda it: frames(tied(it), names), "node binary, ord int, at int, first int, last int, phrase binary, core binary, strings binary")
-    # copies of a text in different tasks count once
-    made = saved(made.dropDuplicates(["node", "ord", "first"]), "anchors")
-    known = made.where("ord < 0").select("node", "first", "last")
-    rows = made.where("ord >= 0")
-    left = saved(doubled(rows).join(rows.select("node", "ord", "first", "last", "strings"), ["node", "ord"]), "tied")
-    kinds = saved(left.groupBy("rank", "strings").agg(F.count("*").alias("n"), F.min(F.struct("node", "first", "last")).alias("one")), "kinds")
-    mixed = kinds.groupBy("rank").agg(F.count("*").alias("kinds")).where("kinds > 1").select("rank")
-    equal = left.join(kinds.where("n > 1").select("rank", "strings"), ["rank", "strings"], "left_semi").select("node", "first", "last")
-    open_ = kinds.join(mixed, "rank", "left_semi").select("one.node", "one.first", "one.last", (F.col("n") == 1).alias("asked"))
+    names = ["node", "ord", "first", "last", "rank", "core", "strings"]
+    made = source.mapInPandas(lambda it: frames(tied(it), names), "node binary, ord int, first int, last int, rank long, core long, strings binary")
+    # copies of a text in different tasks count once; a text's anchors stay together for the first round
+    made = made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").dropDuplicates(["node", "ord"])
+    known, tied_rows = doubled(made)
+    last_pair = ("rank", "ahead", "core")
+    kinds = saved(tied_rows.groupBy(*last_pair, "strings").agg(F.count("*").alias("n"), F.min(F.struct("node", "first", "last")).alias("one")), "kinds")
+    mixed = kinds.groupBy(*last_pair).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*last_pair)
+    equal = tied_rows.join(kinds.where("n > 1").select("strings"), "strings", "left_semi").select("node", "first", "last")
+    open_ = kinds.join(mixed, list(last_pair), "left_semi").select("one.node", "one.first", "one.last", (F.col("n") == 1).alias("asked"))
     open_ = saved(open_.groupBy("node").agg(F.collect_list(F.struct("first", "last", "asked")).alias("parts")), "open")  # at most a text's own anchors
     wanted = spark.sparkContext.broadcast(bit_set(open_.select(F.xxhash64("node").alias("h")), "h"))
 
