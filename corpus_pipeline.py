@@ -26,9 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that repeat; n_chars follows, and texts of which nothing is left go."""
+    """Texts without the strings of 160 bytes (some 25 to 30 words) that repeat; n_chars follows, and texts of which nothing is left go."""
     tune(spark)
-    cut = suffix_dedup.cleaned(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    cut = suffix_dedup.cleaned(docs, length=160).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.where((F.length("text") > 0) | F.col("text").isNull())
 
 
