@@ -4,20 +4,27 @@ The page's tags become a tree. For every node, with C characters of text and T t
 are in links (each at least 1), and for the body's C_b and LC_b, the density is
     C / T * log(1 + C * T / (LC * LT)) / log(1 + log(C / (C - LC) * LC + LC_b / C_b * C + e)),
 that is, characters per tag, weighed down where many of them are in links, the more so the fewer links the page has.
-The densities of a node's children are summed; the node with the largest sum is the content's centre. The threshold is
-the least density on the path from that node up to the body; from the centre's subtree, children at or over the threshold, or
-holding text outside links, are kept. Nodes that by tag, role or class name are menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments are taken off the tree first, so their text counts nowhere; one that is so by its
-class name only, but has most of the page's text outside links, is left to the densities.
+The densities of a node's children are summed, and the container with the largest sum is the content's centre; the body counts
+with its own paragraphs and headings only, as all that a page shows is in it. The threshold is the least density on the path from the
+centre up to the body. A centre that its parent wraps with nothing but headings or paragraphs beside it gives way to that parent, and
+containers beside it that hold dense children of their own and reach the threshold are content too. In the content, containers under
+the threshold, of links mostly, or without a tag of their own where the content is in paragraphs, are left out.
+Before that a light filter takes off what by tag, role or class name is a menu, header, footer, sidebar, notice, advert, form,
+script, style or comment, so its text counts nowhere; a node that is so by its class name only, but has most of the page's text
+outside links, is left to the densities.
+
+Time and memory grow with the page's length, also for pages of unclosed tags, quotes or comments.
 
 Defined results: a null page counts as empty and gives empty text; markup that never closes is closed where its parent ends;
-a page without block tags is one block. Only the key, url and html are read, so other columns may have any name.
+a tag that never ends is text; a page without block tags is one block; repeated rows and null keys have rows of their own; an
+empty table gives no rows. Only the key, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import e, log
 
@@ -34,6 +41,9 @@ BLOCKS = frozenset(
     "address article blockquote body br center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
 )
+#: Tags of running text; the other blocks are containers.
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption summary address center legend caption".split())
+CONTAINERS = BLOCKS - TEXT_LEVEL - {"br", "hr"}
 CLOSED_BY = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 # A class or id is one of these names as a whole: only words for a place or a shape may stand beside it, so that has-sidebar,
 # page-header-fixed, search-results or content-with-comments name no boilerplate.
@@ -41,18 +51,22 @@ NAME = r"(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|ban
 BESIDE = r"(?:main|site|page|post|primary|secondary|global|top|bottom|left|right|upper|lower|list|area|box|bar|block|section|links?|buttons?|icons?|form|items?|posts?|articles?|thread|wrapper|wrap|container|inner|outer|unit|slot|id|\d+)"
 NAMES = re.compile(rf"(?:^|\s)(?:{BESIDE}[-_]+)*{NAME}\d*(?:[-_]+(?:{NAME}|{BESIDE})\d*)*(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+TAG_STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent", "dropped")
+    __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent", "dropped", "block", "in_article", "gone", "begin", "end")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.dropped = ""
+        self.gone, self.begin, self.end = False, 0, 0  # dropped by its tag or inside such a node; its span in the order of nodes
+        self.block = self if parent is None or tag in BLOCKS or tag in SECTIONS or tag == "button" else parent.block
+        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
 
     def children(self) -> list[Node]:
         return [p for p in self.parts if isinstance(p, Node)]
@@ -74,91 +88,113 @@ def boilerplate(tag: str, attributes: str) -> str:
     return why
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """("", "", text, its end), or ("/" or "", tag, attributes, the tag's end); comments and declarations are left out.
+
+    The caller may send a place from which to go on.
+    """
+    at, n, begin = 0, len(page), 0
+    last = {c: page.rfind(c) for c in "<>\"'"}
+    while at <= last["<"]:
+        start = page.find("<", at)
+        if page.startswith(("<!", "<?"), start):
+            mark = "-->" if page.startswith("<!--", start) else ">"
+            end = page.find(mark, start + len(mark) if mark == "-->" else start)
+            end = n if end < 0 else end + len(mark)
+            found = None
+        else:
+            found = TAG_NAME.match(page, start + 1)
+            if not found or last[">"] < found.end():
+                at = start + 1  # an ordinary character
+                continue
+            end = found.end()
+            while page[(stop := TAG_STOP.search(page, end).start())] != ">":
+                quote = page[stop]
+                end = page.find(quote, stop + 1) + 1 if last[quote] > stop else stop + 1
+                if end > last[">"]:
+                    end = stop + 1  # a quote that closes after the last tag's end opens none
+            end = stop + 1
+        if start > begin:
+            yield "", "", page[begin:start], start
+        at = begin = end
+        if found:
+            jump = yield found[1], found[2].lower(), page[found.end() : end - 1], end
+            if jump is not None:
+                at = begin = jump
+                yield "", "", "", jump
+    if begin < n:
+        yield "", "", page[begin:], n
+
+
 def parse(page: str) -> Node:
     """The tree of the page without its boilerplate nodes. These are in the tree while it grows, so that they end as all others do."""
-    root = Node("html", None)
-    node, at, n = root, 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else n]
-        if text:
-            node.parts.append(text)
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+    root = node = Node("html", None)
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()  # raw tags with no end from here on
+    found = tokens(page)
+    for slash, tag, said, at in found:
+        if not tag:
+            if said:
+                node.parts.append(said)
             continue
-        tag, closing, attributes = m[2].lower(), m[1] == "/", m[3]
-        if tag in RAW and not closing:
-            if tag in ("svg", "math") and attributes.endswith("/"):
+        if tag in RAW and not slash:
+            if tag in ("svg", "math") and said.endswith("/") or tag in endless and tag in ("svg", "math", "object", "canvas"):
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if end or tag not in ("svg", "math", "object", "canvas"):
-                at = end.end() if end else n
+                found.send(end.end() if end else len(page))
+            else:
+                endless.add(tag)
             continue
-        if closing:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+        if slash:
+            if opened[tag]:
+                node = close(node, tag, opened)
             continue
         while node.tag in CLOSED_BY and tag in CLOSED_BY[node.tag]:
-            node = node.parent
-        if tag in BLOCKS and tag != "br" or tag in SECTIONS:  # a block ends an unclosed paragraph, also one with open inline tags in it
-            up = node
-            while up is not root and up.tag not in BLOCKS and up.tag not in SECTIONS and up.tag != "button":
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+            node = close(node, node.tag, opened)
+        if (tag in BLOCKS and tag != "br" or tag in SECTIONS) and node.block.tag == "p":  # a block ends an unclosed paragraph, also one with open inline tags in it
+            node = close(node, "p", opened)
         new = Node(tag, node)
-        new.dropped = "tag" if tag == "header" and not any_above(node, ("article", "main")) else boilerplate(tag, attributes)
+        new.dropped = "tag" if tag == "header" and not node.in_article else boilerplate(tag, said)
         node.parts.append(new)
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag not in VOID and not said.endswith("/"):
             node = new
+            opened[tag] += 1
     prune(root)
     return root
 
 
+def close(node: Node, tag: str, opened: Counter[str]) -> Node:
+    """The parent of the innermost open node with this tag; all nodes in that one are closed too."""
+    while True:
+        opened[node.tag] -= 1
+        if node.tag == tag:
+            return node.parent
+        node = node.parent
+
+
 def prune(root: Node) -> None:
     """Take the dropped nodes off. One dropped by its name only stays if it has most of the page's text outside links, unless an article is elsewhere."""
     nodes = in_order(root)
     if not any(x.dropped for x in nodes):
         return
     plain: dict[Node, int] = {}
+    for i, node in enumerate(nodes):
+        node.begin = i
+        node.gone = node.dropped == "tag" or node.parent is not None and node.parent.gone
     for node in reversed(nodes):
-        own = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
-        plain[node] = 0 if node.dropped == "tag" or node.tag == "a" else own + sum(plain[c] for c in node.children())
-    articles = [x for x in nodes if x.tag in ("article", "main") and plain[x] and not gone_above(x)]
+        own, inside = sum(len(p.strip()) for p in node.parts if isinstance(p, str)), node.children()
+        node.end = inside[-1].end if inside else node.begin
+        plain[node] = 0 if node.dropped == "tag" or node.tag == "a" else own + sum(plain[c] for c in inside)
+    articles = [x.begin for x in nodes if x.tag in ("article", "main") and plain[x] and not x.gone]
     for node in nodes:
-        if node.dropped == "name" and 2 * plain[node] > plain[root] and all(is_above(node, x) for x in articles):
+        if node.dropped == "name" and 2 * plain[node] > plain[root] and (not articles or node.begin <= articles[0] and articles[-1] <= node.end):
             node.dropped = ""
     for node in nodes:
         if any(c.dropped for c in node.children()):
             node.parts = [p for p in node.parts if isinstance(p, str) or not p.dropped]
 
 
-def is_above(node: Node, below: Node | None) -> bool:
-    while below is not None and below is not node:
-        below = below.parent
-    return below is node
-
-
-def gone_above(node: Node | None) -> bool:
-    """Whether the node is in one that is dropped by its tag."""
-    while node is not None and node.dropped != "tag":
-        node = node.parent
-    return node is not None
-
-
-def any_above(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def in_order(root: Node) -> list[Node]:
     """Parents before children."""
     out, queue = [], [root]
@@ -189,25 +225,45 @@ def densities(root: Node) -> list[Node]:
     return nodes
 
 
-def centre(nodes: list[Node]) -> tuple[Node, float]:
-    """The node of the largest density sum, and the least density on its path to the body."""
-    best = max(nodes, key=lambda x: x.total)
-    if best.total == 0:
-        return nodes[0], 0.0
-    # text that stands beside the best node inside the same article belongs to it
+def plain(node: Node) -> int:
+    return node.chars - node.link_chars
+
+
+def own_sum(node: Node) -> float:
+    """The sum of densities by which a container is chosen: all children's, or of the body and above those of running text."""
+    if node.tag not in ("body", "html"):
+        return node.total
+    return sum(c.density for c in node.children() if c.tag not in CONTAINERS and c.tag not in SECTIONS and c.tag not in ("body", "html"))
+
+
+def beside(node: Node) -> list[Node]:
+    return [c for c in node.parent.children() if c is not node and c.tag in CONTAINERS and plain(c) > 0] if node.parent else []
+
+
+def centre(nodes: list[Node]) -> tuple[list[Node], float]:
+    """The content's nodes, and the least density on their path to the body."""
+    best = max((x for x in nodes if x.tag in CONTAINERS or x.parent is None), key=own_sum)
+    if own_sum(best) == 0:
+        return nodes[:1], 0.0
     up = best
     while up.parent is not None and up.tag not in ("article", "main", "body", "html"):
         up = up.parent
-    if up.tag in ("article", "main") and up.chars - up.link_chars > 0:
-        best = up
+    if up.tag in ("article", "main") and plain(up) > 0:
+        best = up  # what stands in the same article belongs to it
+    while best.parent is not None and best.parent.tag not in ("body", "html") and best.tag not in ("body", "html") and not beside(best):
+        best = best.parent
     threshold, up = best.density, best.parent
     while up is not None and up.tag != "html":
         threshold = min(threshold, up.density or threshold)
         up = up.parent
-    return best, threshold
+    if best.parent is None or best.tag in ("body", "html"):
+        return [best], threshold
+    others = {x for x in beside(best) if x.total > 0 and x.density >= threshold and plain(x) > x.link_chars and any(c.tag == "p" and c.density >= threshold for c in x.children())}
+    running = {x for x in best.parent.children() if x.tag in ("h1", "h2", "p", "blockquote", "pre", "ul", "ol", "dl", "table") and plain(x) > x.link_chars}
+    return [x for x in best.parent.children() if x is best or x in others or x in running], threshold
 
 
-def blocks(best: Node, threshold: float) -> list[str]:
+def blocks(content: list[Node], threshold: float) -> list[str]:
     """Texts of the kept blocks, in page order."""
     out: list[str] = []
     run: list[str] = []
@@ -218,7 +274,8 @@ def blocks(best: Node, threshold: float) -> list[str]:
             out.append(text)
         run.clear()
 
-    stack: list[Node | str | None] = [best]
+    kept, paragraphs = set(content), sum(c.chars for x in content for c in x.children() if c.tag == "p")
+    stack: list[Node | str | None] = list(reversed(content))
     while stack:
         x = stack.pop()
         if x is None:
@@ -226,9 +283,12 @@ def blocks(best: Node, threshold: float) -> list[str]:
         elif isinstance(x, str):
             run.append(x)
         else:
-            if x is not best and x.tag in BLOCKS and x.density < threshold and x.chars - x.link_chars <= x.link_chars:
-                flush()
-                continue
+            if x not in kept and x.tag in BLOCKS:
+                links = x.density < threshold and plain(x) <= x.link_chars
+                bare = x.tag in CONTAINERS and x.tag not in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "figure", "dl", "ul", "ol") and not x.total and 2 * x.chars < paragraphs
+                if links or bare:
+                    flush()
+                    continue
             if x.tag in BLOCKS:
                 flush()
                 stack.append(None)

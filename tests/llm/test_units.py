@@ -2,9 +2,12 @@
 
 import gzip
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -230,3 +233,22 @@ def test_anchors_lose_no_string(parts, chunk):
     assert {s for a, b in known for s in range(a, b + 1)} <= want
     ranked = {s for r in rows for s in range(r[1], r[2] + 1)} | {s for a, b in known for s in range(a, b + 1)}
     assert want <= ranked
+
+
+def neutral(page):
+    """The page without the names that tell what its parts are."""
+    page = re.sub(r"<(/?)(nav|footer|aside|header|article|main)\b", r"<\1div", page)
+    return re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_density_alone_finds_the_same_text():
+    pages = [x or "" for x in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()]
+    same = sum(html_density.main_text(p) == html_density.main_text(neutral(p)) for p in pages)
+    assert same >= 0.95 * len(pages)
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<b>" * 30_000 + "<p>x" * 30_000, "<!--" * 200_000, "<a x' " * 150_000 + ">", "<svg>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, '<a "' * 200_000 + ">", "<div class='ad'>x" * 20_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.time()
+    html_density.main_text(page)
+    assert time.time() - began < 5
