@@ -1,16 +1,21 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words of benchmark items and documents are hashed; runs of ``k`` words are seeds (Karp-Rabin hashes over prefix sums). A
-document's seeds are joined with the items' seeds, and each (document, item) pair that shares one is tiled: matches of k or
-more words are marked longest first, never overlapping one another in either text, until none is left. An item's coverage is
+document's seeds are joined with the items' seeds, as narrow rows, and counted for each (document, item) pair. A tile of L words has
+L - k + 1 seeds, so ``threshold`` of an item's words takes at least that share of its words divided by k in seed places; pairs with fewer are out
+before any words are moved. The others are tiled: matches of k or more words are marked longest first, never overlapping one another in either text, until none is left. An item's coverage is
 the share of its words under tiles; since tiles may stand in any order, reordered passages are caught too. A document with
 coverage >= ``threshold`` of any item is contaminated.
 
 Before the join, documents drop seeds that miss a Bloom filter of the items' seeds; its size is fixed, and it only spares work.
 
+A very common seed is no task's load alone, since its rows are narrow and Spark splits skewed partitions of that join. Matches of texts that repeat
+themselves are followed place by place, so that memory grows as the texts, not as their product.
+
 Defined results: null texts count as empty and never match; items of fewer than k words are too short to tell from ordinary
-text and never match; repeated rows on either side give repeated rows; rows with a null key take part. Only key and text are
-read of either table.
+text and never match; repeated rows on either side give repeated rows; rows with a null key take part; very long
+texts are tiled whole; empty tables give no rows. Only key and text are read of either table, so other columns may have any name, and keys any type
+that a string can be cast to.
 """
 
 from __future__ import annotations
@@ -35,15 +40,35 @@ def tiles(item: np.ndarray, doc: np.ndarray, k: int) -> list[tuple[int, int, int
     a, b = gram_hashes(item, k), gram_hashes(doc, k)
     order = np.argsort(b, kind="stable")
     lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    i = np.repeat(np.arange(len(a)), hi - lo)
-    if not len(i):
+    n = int((hi - lo).sum())
+    if not n:
         return []
+    if n > 64 * (len(a) + len(b)):
+        return _marked(*_followed(lo, hi, order, k), item, doc, k)
+    i = np.repeat(np.arange(len(a)), hi - lo)
     j = order[np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
     sort = np.lexsort((i, j - i))
     i, j = i[sort], j[sort]
     new = np.flatnonzero(np.r_[True, (np.diff(j - i) != 0) | (np.diff(i) != 1)])
-    length = np.diff(np.r_[new, len(i)]) + k - 1
-    queue = [(-int(n), int(s), int(t)) for n, s, t in zip(length, i[new], j[new])]
+    return _marked(np.diff(np.r_[new, len(i)]) + k - 1, i[new], j[new], item, doc, k)
+
+
+def _followed(lo: np.ndarray, hi: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Length and starts of the maximal matches, from the places of each of the item's seeds in turn."""
+    begun, out, before = np.zeros(len(lo) + len(order) + 1, np.int64), [], np.zeros(0, np.int64)
+    for i in range(len(lo) + 1):
+        now = order[lo[i] : hi[i]] if i < len(lo) else before[:0]  # ascending, as the sort is stable
+        went = before + 1
+        begun[np.setdiff1d(now, went, assume_unique=True) - i + len(lo)] = i
+        ended = np.setdiff1d(went, now, assume_unique=True)
+        start = begun[ended - i + len(lo)]
+        out.append(np.stack([i - start + k - 1, start, ended - i + start]))
+        before = now
+    return tuple(np.concatenate(out, axis=1))
+
+
+def _marked(lengths: np.ndarray, i: np.ndarray, j: np.ndarray, item: np.ndarray, doc: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    queue = [(-int(n), int(s), int(t)) for n, s, t in zip(lengths, i, j)]
     heapq.heapify(queue)
     in_item, in_doc, found = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
     while queue:
@@ -81,7 +106,7 @@ def coverage(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: st
 
     def seeds_of(raw: bytes) -> np.ndarray:
         w = np.frombuffer(raw, U64)
-        return np.unique(gram_hashes(w, k)).view(np.int64) if len(w) >= k else np.zeros(0, np.int64)
+        return gram_hashes(w, k).view(np.int64) if len(w) >= k else np.zeros(0, np.int64)
 
     @F.pandas_udf("array<bigint>")
     def seeds(raw: pd.Series) -> pd.Series:
@@ -89,7 +114,8 @@ def coverage(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: st
 
     body = F.coalesce(F.col(item_text).cast("string"), F.lit(""))
     bench = saved(items.select(F.col(item_key).alias("item"), words(body).alias("item_words")).withColumn("ref", F.monotonically_increasing_id()), "items")
-    item_seeds = saved(bench.select("ref", F.explode(seeds("item_words")).alias("seed")), "item_seeds")
+    least = F.ceil(F.octet_length("item_words") / 8 * threshold / k - 1e-9).cast("int")
+    item_seeds = saved(bench.select("ref", least.alias("least"), F.explode(seeds("item_words")).alias("seed")).groupBy("ref", "least", "seed").agg(F.count("*").alias("places")), "item_seeds")
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_seed_bits(item_seeds), bitorder="little"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,11 +135,11 @@ def coverage(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: st
             yield pd.concat([kept, found[["words", "seeds"]]], axis=1)
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    source = docs.select(F.col(key).cast("long").alias("key"), text_hash(text).alias("text_hash"), body.alias("text"))
-    source = source.withColumn("key", F.col("key").cast("string"))  # a null key stays one in pandas
+    source = docs.select(F.col(key).cast("string").alias("key"), text_hash(text).alias("text_hash"), body.alias("text"))  # a null key stays one in pandas
     cand = source.mapInPandas(scan, "key string, text_hash long, words binary, seeds array<bigint>")
     cand = saved(cand.withColumn("row", F.monotonically_increasing_id()), "candidates")
-    pairs = cand.select("row", F.explode("seeds").alias("seed")).join(item_seeds, "seed").select("row", "ref").distinct()
+    met = cand.select("row", F.explode("seeds").alias("seed")).join(item_seeds, "seed").groupBy("row", "ref").agg(F.sum("places").alias("places"), F.first("least").alias("least"))
+    pairs = met.where("places >= least").select("row", "ref")
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -129,7 +155,7 @@ def coverage(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: st
     done = both.mapInPandas(tile, "key string, text_hash long, item string, n_words long, covered long, n_tiles long, longest long")
     share = F.col("covered") / F.col("n_words")
     return done.where(share >= threshold).select(
-        F.col("key").cast("long").alias(name), "text_hash", F.col("item").cast(items.schema[item_key].dataType).alias(item_name), F.col("n_words").alias("item_words"), "covered", share.alias("coverage"), "n_tiles", "longest"
+        F.col("key").cast(docs.schema[key].dataType).alias(name), "text_hash", F.col("item").cast(items.schema[item_key].dataType).alias(item_name), F.col("n_words").alias("item_words"), "covered", share.alias("coverage"), "n_tiles", "longest"
     )
 
 
