@@ -3,13 +3,13 @@
 A text is lower-cased and cut into words of letters; every run of 2 to 4 characters inside a word (with a mark at
 its ends) is hashed to a bucket, each bucket has an embedding, and the softmax of a linear map of the embeddings'
 mean gives the classes. Embeddings and map are trained by stochastic gradient descent in numpy on a bounded sample
-of labelled rows (``max_docs``, ``max_grams``). A second part of that sample sets the softmax's temperature and the
+of labelled rows (``max_docs``), of whose whole texts the driver gets each bucket with its count. A second part of that sample sets the softmax's temperature and the
 two rejection limits: the calibrated probability, and the share of n-grams whose bucket occurred in training (a text
 in an unknown script or language has few of those). Prediction reads whole texts.
 
 Defined results: a text that is null or without letters gets ``und``, score 0 and ``rejected``. Rows with a null key or
-null label are never learned from. Repeated rows are predicted alike. Without labelled rows every text is ``und``.
-Other columns of the input are not read, so names that clash don't matter.
+null label are never learned from. Repeated rows are predicted alike. Without labelled rows, as in an empty table, every text is ``und``. Very long texts are read whole, at some 50 bytes of memory
+for each character. Other columns of the input are not read, so names that clash don't matter; keys may have any type.
 """
 
 from __future__ import annotations
@@ -75,12 +75,18 @@ class LanguageModel:
         return self.labels[best], float(p[best]), known, bool(p[best] < self.least_score or known < self.least_known)
 
 
-def sgd(grams: list[np.ndarray], y: np.ndarray, labels: list[str], bits: int, dim: int, epochs: int, rate: float, seed: int) -> LanguageModel:
+def counted(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets and the share of each."""
+    found, n = np.unique(buckets, return_counts=True)
+    return found, n / n.sum()
+
+
+def sgd(grams: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list[str], bits: int, dim: int, epochs: int, rate: float, seed: int) -> LanguageModel:
     """Minimise cross entropy over mini-batches of 32 documents; classes count alike."""
     rng, n, c = np.random.default_rng(seed), len(grams), len(labels)
     emb, lin, bias = rng.normal(0, 0.1, (1 << bits, dim)), rng.normal(0, 0.1, (dim, c)), np.zeros(c)
     seen = np.zeros(1 << bits, bool)
-    for g in grams:
+    for g, _ in grams:
         seen[g] = True
     weight = n / (c * np.bincount(y, minlength=c).clip(1))[y]
     steps, total = 0, epochs * -(-n // 32)
@@ -88,30 +94,31 @@ def sgd(grams: list[np.ndarray], y: np.ndarray, labels: list[str], bits: int, di
         order = rng.permutation(n)
         for i in range(0, n, 32):
             batch = order[i : i + 32]
-            sizes = np.array([len(grams[k]) for k in batch])
-            flat, row = np.concatenate([grams[k] for k in batch]), np.repeat(np.arange(len(batch)), sizes)
-            mean = np.add.reduceat(emb[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0) / sizes[:, None]
+            sizes = np.array([len(grams[k][0]) for k in batch])
+            flat, share = (np.concatenate([grams[k][i] for k in batch]) for i in (0, 1))
+            row = np.repeat(np.arange(len(batch)), sizes)
+            mean = np.add.reduceat(emb[flat] * share[:, None], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
             z = mean @ lin + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(batch)), y[batch]] -= 1
             p *= weight[batch, None] / len(batch)
-            to_mean = (p @ lin.T) / sizes[:, None]
+            to_mean = p @ lin.T
             eta = rate * (1 - steps / total)
             lin -= eta * mean.T @ p
             bias -= eta * p.sum(axis=0)
-            # the mean divides each gradient by the text's length; the embeddings' own rate makes up for that
-            np.subtract.at(emb, flat, eta * 100 * to_mean[row])
+            # the mean gives each bucket its share of the gradient only; the embeddings' own rate makes up for that
+            np.subtract.at(emb, flat, eta * 100 * share[:, None] * to_mean[row])
             steps += 1
     emb[~seen] = 0
     return LanguageModel(labels, bits, (emb @ lin).astype(np.float32), bias, seen)
 
 
-def calibrate(model: LanguageModel, grams: list[np.ndarray], y: np.ndarray, lose: float) -> None:
+def calibrate(model: LanguageModel, grams: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, lose: float) -> None:
     """Choose the temperature of least log loss, then limits that reject at most a share ``lose`` of these texts each."""
     if not len(grams):
         return
-    raw = [model.raw(g) for g in grams]
+    raw = [(share @ model.logits[g] + model.bias, float(share @ model.seen[g])) for g, share in grams]
     z, known = np.array([r[0] for r in raw]), np.array([r[1] for r in raw])
     best = (np.inf, 1.0)
     for t in np.geomspace(0.02, 50, 60):
@@ -124,10 +131,10 @@ def calibrate(model: LanguageModel, grams: list[np.ndarray], y: np.ndarray, lose
     model.least_known = float(min(0.8, np.quantile(known, lose)) * 0.75)
 
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", learn: Column | None = None, max_docs: int = 8000, max_grams: int = 400, bits: int = 16, dim: int = 8, epochs: int = 6, rate: float = 0.3, lose: float = 0.001, seed: int = 7, max_labels: int = 5000) -> LanguageModel:
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", learn: Column | None = None, max_docs: int = 4000, bits: int = 16, dim: int = 8, epochs: int = 6, rate: float = 0.3, lose: float = 0.001, seed: int = 7, max_labels: int = 5000) -> LanguageModel:
     """Fit on a hashed sample of at most about ``max_docs`` rows where ``learn`` holds, shared out over the labels.
 
-    The driver gets at most ``max_grams`` buckets of each (drawn at random), so its memory has a fixed bound.
+    The driver gets the buckets of each whole text, 2**bits at most and some thousands mostly, so its memory has a fixed bound.
     All labels are learned; more than ``max_labels`` are an error.
     """
     rows = docs.where((F.lit(True) if learn is None else learn) & F.col(label).isNotNull() & F.col(key).isNotNull())
@@ -138,7 +145,7 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str
     if not labels:
         return LanguageModel([], bits, np.zeros((1, 1), np.float32), np.zeros(1), np.zeros(1, bool))
     share = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, max_docs / len(labels) / counts[k]))])
-    drawn = rows.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label"))
+    drawn = rows.select(F.xxhash64(F.col(key).cast("string")).alias("key"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label"))
     drawn = drawn.where(F.col("label").isin(labels) & (hash_share(F.col("key"), F.lit(seed)) < share[F.col("label")]))
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,12 +154,13 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str
             for k, t, lang in b.itertuples(index=False):
                 g = gram_buckets(t, bits)
                 if len(g):
-                    out.append((k, lang, np.random.default_rng([seed, k & 0x7FFFFFFF]).choice(g, min(len(g), max_grams), replace=False).astype(np.int32).tobytes()))
-            yield pd.DataFrame(out, columns=["key", "label", "grams"])
+                    found, share = counted(g)
+                    out.append((k, lang, found.astype(np.int32).tobytes(), share.astype(np.float32).tobytes()))
+            yield pd.DataFrame(out, columns=["key", "label", "grams", "share"])
 
-    got = sorted(map(tuple, drawn.mapInPandas(sample, "key long, label string, grams binary").collect()))
-    grams = [np.frombuffer(g, np.int32).astype(np.int64) for _, _, g in got]
-    y = np.array([labels.index(lang) for _, lang, _ in got], int)
+    got = sorted(map(tuple, drawn.mapInPandas(sample, "key long, label string, grams binary, share binary").collect()))
+    grams = [(np.frombuffer(g, np.int32).astype(np.int64), np.frombuffer(w, np.float32).astype(float)) for *_, g, w in got]
+    y = np.array([labels.index(lang) for _, lang, *_ in got], int)
     held = np.arange(len(got)) % 5 == 4
     if not len(got):
         return LanguageModel([], bits, np.zeros((1, 1), np.float32), np.zeros(1), np.zeros(1, bool))
