@@ -10,7 +10,9 @@ confidence term (best-bin estimate). Scoring reads whole texts.
 
 The fit takes a hashed sample of at most about ``max_docs`` positives and as many unlabelled rows. Known negatives are
 never used. Defined results: a null text counts as empty; empty texts get a score like any other; rows with a null key
-are scored but never learned from; repeated rows score alike; with no positives every score is 0.5.
+are scored but never learned from; repeated rows score alike; with no positives or an
+empty table every score is 0.5; a very long text is read whole, at some 100 bytes of memory for each character. Other columns of the input are
+not read, so names that clash don't matter; keys may have any type.
 """
 
 from __future__ import annotations
@@ -129,7 +131,7 @@ def class_prior(pos: np.ndarray, unl: np.ndarray, seed: int) -> float:
     above_u = 1 - np.searchsorted(su, cuts) / len(su)
     slack = np.sqrt(np.log(20) / (2 * len(su))) + np.sqrt(np.log(20) / (2 * len(sp)))
     best = np.argmin((above_u + slack) / above_p)
-    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.95))
+    return float(np.clip(above_u[best] / above_p[best], 1e-3, 1 - 1e-3))  # 0 and 1 leave no risk to weigh
 
 
 def _features_of(rows: DataFrame) -> DataFrame:
@@ -145,13 +147,13 @@ def _features_of(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", quality: str = "quality", learn: Column | None = None, max_docs: int = 12000, hidden: int = 24, epochs: int = 40, seed: int = 11) -> QualityModel | None:
     """Fit on at most about ``max_docs`` trusted positives (quality 1) and as many unlabelled rows where ``learn`` holds."""
     allowed = (F.lit(True) if learn is None else learn) & F.col(key).isNotNull()
-    keys = docs.where(allowed).select(F.col(key).cast("long").alias("key"))
-    good = labels.where((F.col(quality) == 1) & allowed).select(F.col(key).cast("long").alias("key")).distinct()
+    keys = docs.where(allowed).select(F.xxhash64(F.col(key).cast("string")).alias("key"))
+    good = labels.where((F.col(quality) == 1) & allowed).select(F.xxhash64(F.col(key).cast("string")).alias("key")).distinct()
     share = lambda n: min(1.0, max_docs / max(1, n))
     positives = good.where(hash_share("key", F.lit(seed)) < share(good.count())).select("key", F.lit(1).alias("kind"))
     unlabelled = keys.where(hash_share("key", F.lit(seed + 1)) < share(keys.count())).select("key", F.lit(0).alias("kind"))
     drawn = positives.union(unlabelled)  # at most about 2 * max_docs keys, so the broadcast has a fixed bound
-    rows = docs.where(allowed).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "key").select("key", "kind", "text")
+    rows = docs.where(allowed).select(F.xxhash64(F.col(key).cast("string")).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "key").select("key", "kind", "text")
     got = sorted({(r.key, r.kind, bytes(r.x)) for r in _features_of(rows).collect()})
     x = {kind: np.array([np.frombuffer(f, np.float32) for _, k, f in got if k == kind], np.float64).reshape(-1, len(FEATURES)) for kind in (0, 1)}
     if not len(x[1]) or not len(x[0]):
