@@ -1,14 +1,16 @@
 """WARC archives: writing captures with revisit records, reading them back, assembling transactions.
 
 ``write`` makes a request, a response (or revisit) and a metadata record of each capture and lets Spark's text writer lay them
-out: a record's end mark, CR LF CR LF, is the line separator, files are gzipped and hold a bounded number of captures. Of
+out: a record's end mark, CR LF CR LF, is the line separator, files are gzipped and hold a bounded number of captures and bytes: captures
+are written by classes of size, so that a file has some 64 MB before compression, or one capture where that is larger. Of
 captures with equal payloads the one with the least key is the response; the others become revisit records, without payload, that
 refer to it. ``read`` walks each file by Content-Length, whatever bytes a payload holds. ``transactions`` joins request and
 metadata records to their response or revisit record through WARC-Concurrent-To and gives one nested row for each capture.
 
 Defined results: a null payload counts as empty, and equal (also empty) payloads are revisited like others; repeated rows are
 captures of their own, and where two have the least key the second revisits the first; a null key is greater than all others
-and comes back as null; line breaks in a URL become spaces, a null URL has no target. Only key, url and payload are read.
+and comes back as null; line breaks in a URL become spaces, a null URL has no target; an empty
+table gives no rows; a very long payload is a file of its own. Only key, url and payload are read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, date string, digest string, payload_bytes long, fields map<string,string>, payload binary"
 MOST_BROADCAST = 2_000_000
+#: Classes of payload sizes (from, below) and how many captures of each a file may hold.
+SIZES = ((0, 1 << 16, 1000), (1 << 16, 1 << 20, 64), (1 << 20, 1 << 31, 1))
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -51,10 +55,10 @@ def record(kind: str, record_id: Column, block: Column, headers: list[tuple[str,
     return F.concat(F.concat(F.lit(VERSION + CRLF), *said, F.lit(CRLF)).cast("binary"), block)
 
 
-def write(captures: DataFrame, path: str, *, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z", per_file: int = 1000) -> None:
+def write(captures: DataFrame, path: str, *, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
     """Write the captures' archives as gzipped files to the folder ``path``."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
-    rows = captures.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(key).alias("sort_key"), F.regexp_replace(F.col(url).cast("string"), r"[\r\n]+", " ").alias("url"), body.alias("body"))
+    rows = captures.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(key).alias("sort_key"), F.regexp_replace(F.col(url).cast("string"), r"[\r\n]+", " ").alias("url"), body.alias("body"), F.octet_length(body).alias("size"))
     rows = saved(rows.withColumn("digest", base32_sha1(F.col("body"))), "captures")
     group = rows.groupBy("digest").agg(F.min(F.struct(F.col("sort_key").isNull().alias("none"), "sort_key", "row")).getField("row").alias("first"), F.count("*").alias("n"))
     again = saved(rows.select("row", "digest").join(group.where("n > 1").select("digest", "first"), "digest").where("row <> first").select("row", "first"), "revisits")
@@ -75,7 +79,11 @@ def write(captures: DataFrame, path: str, *, key: str = "page_id", url: str = "u
     metadata = record("metadata", urn(name, F.lit("metadata"), F.col("row")), said, [*common, ("WARC-Concurrent-To", main_id), ("Content-Type", F.lit("application/warc-fields"))])
     end = F.lit(END).cast("binary")
     whole = F.concat(request, end, main, end, metadata).cast("string")  # the bytes stay as they are
-    rows.select(whole.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    largest = rows.agg(F.max("size")).first()[0] or 0
+    rows = rows.select("size", whole.alias("value"))
+    for low, high, per_file in (x for x in SIZES if x[0] <= largest):
+        some = rows.where((F.col("size") >= low) & (F.col("size") < high)).select("value")
+        some.write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(f"{path}/from-{low}")
 
 
 def parse(data: bytes, with_payload: bool) -> Iterator[tuple]:
@@ -112,7 +120,7 @@ def read(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFr
             for data in b["content"]:
                 yield pd.DataFrame(list(parse(bytes(data), with_payload)), columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, FIELDS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInPandas(run, FIELDS)
 
 
 def transactions(records: DataFrame) -> DataFrame:
