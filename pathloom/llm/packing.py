@@ -9,7 +9,8 @@ Pieces are then ranked inside their class (range partitions, counts, offsets; no
 pattern table turns a rank into a sequence and a slot.
 
 Defined results: a null text counts as empty and is the end id alone; rows with a null or repeated key are packed like any
-other; an empty table gives no rows. Only key and text are read.
+other; an empty table gives no rows; a very long text is tokenized whole by one task and cut into pieces like any other. Only key and
+text are read, so other columns may have any name, and keys any type that a string can be cast to.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
 
     source = docs.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     made = source.mapInPandas(run, "key string, start long, length long, ids_crc32 long, doc_tokens long")
-    return made.withColumn("key", F.col("key").cast("long"))
+    return made.withColumn("key", F.col("key").cast(docs.schema[key].dataType))
 
 
 def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -252,3 +252,44 @@ def test_broken_pages_take_linear_time(page):
     began = time.time()
     html_density.main_text(page)
     assert time.time() - began < 5
+
+
+@small
+@given(st.lists(st.integers(0, 2), max_size=30), st.lists(st.integers(0, 2), max_size=40))
+def test_matches_followed_place_by_place(a, b):
+    """The same maximal matches as a list of all gives."""
+    a, b, k = np.array(a, np.uint64), np.array(b, np.uint64), 3
+    if len(a) < k or len(b) < k:
+        return
+    want = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n >= k and not (i and j and a[i - 1] == b[j - 1]):
+                want.add((n, i, j))
+    x, y = common.gram_hashes(a, k), common.gram_hashes(b, k)
+    order = np.argsort(y, kind="stable")
+    got = tiling._followed(np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right"), order, k)
+    assert set(zip(*(g.tolist() for g in got))) == want
+
+
+def test_tiles_of_repetitive_texts():
+    began = time.time()
+    found = tiling.tiles(np.full(500, 7, np.uint64), np.full(20_000, 7, np.uint64), 5)
+    assert found == [(0, 0, 500)] or sum(t[2] for t in found) == 500
+    assert time.time() - began < 10
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_fast_ids_are_the_tokenizers_ids(text):
+    from tokenizers import Tokenizer
+
+    from pathloom.llm.queries import tokenizer_path
+
+    text = text.encode("utf-8", "ignore").decode()
+    if "slow" not in globals():
+        globals()["slow"] = Tokenizer.from_file(tokenizer_path())
+    assert list(packing.encoder(tokenizer_path())(text)) == slow.encode(text, add_special_tokens=False).ids  # noqa: F821
