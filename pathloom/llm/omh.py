@@ -62,10 +62,12 @@ def order_minhash(words: np.ndarray, k: int, ell: int, sketches: int) -> np.ndar
     h = occurrence_labelled(gram_hashes(words, k))
     seeds = mix(np.arange(1, sketches + 1).astype(U64) * U64(0xA0761D6478BD642F))[:, None]
     if len(h) > ell:
-        hashed = (h[None, :] ^ seeds) * (seeds | U64(1))
-        hashed ^= hashed >> U64(32)
-        chosen = np.sort(np.argpartition(hashed, ell - 1, axis=1)[:, :ell], axis=1)
-        picked = h[chosen]
+        chosen, step = [], max(1, (1 << 19) // len(h))  # a long text takes a few hash functions at a time
+        for i in range(0, sketches, step):
+            hashed = (h[None, :] ^ seeds[i : i + step]) * (seeds[i : i + step] | U64(1))
+            hashed ^= hashed >> U64(32)
+            chosen.append(np.argpartition(hashed, ell - 1, axis=1)[:, :ell])
+        picked = h[np.sort(np.concatenate(chosen), axis=1)]
     else:
         picked = np.broadcast_to(h, (sketches, len(h)))
     out = seeds[:, 0].copy()
@@ -257,7 +259,7 @@ def _in_cells(rows: DataFrame, work: Callable[[list[tuple], np.ndarray, int], li
 
 def _words_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """node, words (32 bits of each word's hash) of the wanted nodes. Only their texts' words are shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_set(wanted.select(F.xxhash64("node").alias("h")), "h"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(wanted.select(F.xxhash64("node").alias("h")), "h", 23))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[bytes] = set()
@@ -310,7 +312,7 @@ def _meetings(made: DataFrame, bits, roots: DataFrame | None, low: int, high: in
     return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "at", "node", "root", "n_words")
 
 
-def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 500, most_words: int = 4_000_000, first: int = 4) -> DataFrame:
+def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 500, most_words: int = 1_000_000, first: int = 4) -> DataFrame:
     """node, rep: verified links between different texts (md5 of each), enough to join all that is alike in a bucket."""
     made = _sketched(docs, text, k, short, ell, sketches)
     repeated = made.select(F.explode("sketches").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")

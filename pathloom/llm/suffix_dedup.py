@@ -119,7 +119,7 @@ def tied_anchors(data: bytes, length: int, shared: np.ndarray) -> tuple[list[tup
     return [(int(ok[i]), int(first[i]), int(last[i]), int(phrase[i]), int(inner[i]), strings[i]) for i in np.flatnonzero(keep)], known
 
 
-def counted_frames(arrays: Iterator[np.ndarray], most: int = 500_000) -> Iterator[pd.DataFrame]:
+def counted_frames(arrays: Iterator[np.ndarray], most: int = 200_000) -> Iterator[pd.DataFrame]:
     """key and n for the values of about ``most`` at a time."""
     held, size = [], 0
     for a in arrays:
@@ -149,7 +149,7 @@ def open_strings(data: bytes, parts: list, length: int) -> Iterator[tuple[np.nda
         i = j
 
 
-def frames(rows: Iterator[tuple], names: list[str], most: int = 100_000) -> Iterator[pd.DataFrame]:
+def frames(rows: Iterator[tuple], names: list[str], most: int = 20_000) -> Iterator[pd.DataFrame]:
     """Frames of about ``most`` rows."""
     held = []
     for r in rows:
@@ -228,7 +228,7 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400) -> t
     equal = tied_rows.join(kinds.where("n > 1").select("strings"), "strings", "left_semi").select("node", "first", "last")
     open_ = kinds.join(mixed, list(last_pair), "left_semi").select("one.node", "one.first", "one.last", (F.col("n") == 1).alias("asked"))
     open_ = saved(open_.groupBy("node").agg(F.collect_list(F.struct("first", "last", "asked")).alias("parts")), "open")  # at most a text's own anchors
-    wanted = spark.sparkContext.broadcast(bit_set(open_.select(F.xxhash64("node").alias("h")), "h"))
+    wanted = spark.sparkContext.broadcast(bit_set(open_.select(F.xxhash64("node").alias("h")), "h", 23))
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[bytes] = set()
