@@ -312,7 +312,7 @@ def _meetings(made: DataFrame, bits, roots: DataFrame | None, low: int, high: in
     return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "at", "node", "root", "n_words")
 
 
-def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 500, most_words: int = 1_000_000, first: int = 4) -> DataFrame:
+def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 500, most_words: int = 1_000_000, first: int = 8) -> DataFrame:
     """node, rep: verified links between different texts (md5 of each), enough to join all that is alike in a bucket."""
     made = _sketched(docs, text, k, short, ell, sketches)
     repeated = made.select(F.explode("sketches").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
