@@ -93,18 +93,22 @@ def mastered_by_user(sessions: DataFrame) -> DataFrame:
     return sessions.select("user_id", "node_id").distinct()
 
 
-def frontier(found: DataFrame, edges: DataFrame, mastered: DataFrame, users: DataFrame) -> DataFrame:
+def frontier(found: DataFrame, edges: DataFrame, mastered: DataFrame, users: DataFrame, most: int = 1_000_000) -> DataFrame:
     """user_id, node_id: unmastered nodes whose prerequisites are all mastered; where there are none, the fallback node.
 
-    The fallback (graphs with cycles only) is the unmastered node with the best share of mastered prerequisites.
+    The fallback (graphs with cycles only) is the unmastered node with the best share of mastered prerequisites. A user is one row with
+    an array of mastered nodes; the graph, one value of at most ``most`` nodes and edges, is looked through in that row.
     """
-    had = mastered.join(found.select("node_id"), "node_id", "left_semi").distinct()
-    todo = users.select("user_id").distinct().crossJoin(F.broadcast(found.select("node_id")))  # nodes are concepts: a small, fixed set
-    todo = todo.join(had, ["user_id", "node_id"], "left_anti")
-    needs = todo.join(edges.distinct(), todo["node_id"] == edges["dst"], "left").select("user_id", "node_id", "src")
-    had = had.select("user_id", F.col("node_id").alias("src"), F.lit(1).alias("has"))
-    counted = needs.join(had, ["user_id", "src"], "left").groupBy("user_id", "node_id").agg(F.count("src").alias("total"), F.count(F.when(F.col("src").isNotNull(), F.col("has"))).alias("met"))
-    scored = counted.withColumn("ready", F.col("met") == F.col("total")).withColumn("score", tie_break_score(prereq_ratio(F.col("met"), F.col("total")), F.col("node_id")))
-    w = Window.partitionBy("user_id")
-    scored = scored.withColumn("any_ready", F.max("ready").over(w)).withColumn("best", F.max(F.struct("score", -F.col("node_id"))).over(w))
-    return scored.where(F.col("ready") | (~F.col("any_ready") & (F.struct("score", -F.col("node_id")) == F.col("best")))).select("user_id", "node_id")
+    table = predecessors(found, edges).select("node_id", "preds")
+    if (size := table.agg(F.count("*") + F.coalesce(F.sum(F.size("preds")), F.lit(0))).first()[0]) > most:
+        raise ValueError(f"the graph has {size} nodes and edges, more than {most}")
+    whole = table.agg(F.collect_list(F.struct("node_id", "preds")).alias("nodes")).scalar()
+    had = mastered.join(found.select("node_id"), "node_id", "left_semi").groupBy("user_id").agg(F.collect_set("node_id").alias("had"))
+    none = F.array().cast("array<bigint>")
+    rows = users.select("user_id").distinct().join(had, "user_id", "left").select("user_id", F.coalesce("had", none).alias("had"), whole.alias("nodes"))
+    todo = F.filter("nodes", lambda n: ~F.array_contains("had", n["node_id"]))
+    share = lambda n: prereq_ratio(F.size(F.array_intersect(n["preds"], F.col("had"))), F.size(n["preds"]))
+    scored = F.transform(todo, lambda n: F.struct(tie_break_score(share(n), n["node_id"]).alias("score"), (-n["node_id"]).alias("least"), (share(n) == 1).alias("ready")))
+    rows = rows.select("user_id", scored.alias("todo")).withColumn("ready", F.filter("todo", lambda n: n["ready"]))
+    chosen = F.when(F.size("ready") > 0, F.col("ready")).when(F.size("todo") > 0, F.array(F.array_max("todo"))).otherwise(F.slice("todo", 1, 0))
+    return rows.select("user_id", F.explode(chosen).alias("n")).select("user_id", (-F.col("n.least")).alias("node_id"))

@@ -74,11 +74,33 @@ def history_length(found: DataFrame) -> DataFrame:
 
 
 def latest_features(sampled: DataFrame) -> DataFrame:
-    """Sparse features of each sample: the latest score of each node in the history (later sessions overwrite)."""
+    """Sparse features of each sample: the latest score of each node in the history (later sessions overwrite). For samples at hand; see ``latest_scores``."""
     at = sampled.select("user_id", "session_id", F.posexplode("history").alias("pos", "h"))
     return at.groupBy("user_id", "session_id", F.col("h.node_id").alias("node_id")).agg(F.max_by("h.avg_score", "pos").alias("latest_score"))
 
 
+def latest_scores(found: DataFrame) -> DataFrame:
+    """What ``latest_features`` gives, straight from the sessions and without histories.
+
+    A node's score holds from the session after it to the node's next one, so each session gives a run of rows; the work is as large as the result.
+    """
+    last = F.max("session_id").over(Window.partitionBy("user_id"))
+    until = F.coalesce(F.lead("session_id").over(Window.partitionBy("user_id", "node_id").orderBy("session_id")), last)
+    runs = found.select("user_id", "node_id", F.col("avg_score").alias("latest_score"), (F.col("session_id") + 1).alias("since"), until.alias("until")).where("until >= since")
+    return runs.select("user_id", F.explode(F.sequence("since", "until")).alias("session_id"), "node_id", "latest_score")
+
+
+def history_text(sampled: DataFrame) -> DataFrame:
+    """Samples with the history as text: node:score in ten thousandths, in order."""
+    said = F.transform("history", lambda h: F.concat_ws(":", h["node_id"].cast("string"), F.round(h["avg_score"] * 10000).cast("bigint").cast("string")))
+    return sampled.withColumn("history", F.array_join(said, " "))
+
+
+def first_samples(sampled: DataFrame, k: int = 3) -> DataFrame:
+    """The first k samples by user and session, to look at."""
+    return sampled.orderBy("user_id", "session_id").limit(k)
+
+
 def few_shot(sampled: DataFrame, k: int | None) -> DataFrame:
     """The first k samples of each target, in sample order; all for None."""
     if k is None:

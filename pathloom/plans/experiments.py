@@ -59,6 +59,11 @@ def worst_gaps(comparison: DataFrame, k: int = 5) -> DataFrame:
     return comparison.orderBy(F.desc("diff"), "target_node").limit(k)
 
 
+def material(comparison: DataFrame, least: float = 0.01) -> DataFrame:
+    """Targets whose costs differ by more than ``least`` either way."""
+    return comparison.where(F.abs("diff") > least)
+
+
 def n_worse(comparison: DataFrame, least: float = 0.01) -> DataFrame:
     return comparison.agg(F.count_if(F.col("diff") > least).alias("n_worse"), F.count("*").alias("n_targets"))
 

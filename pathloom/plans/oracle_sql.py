@@ -57,6 +57,12 @@ def greedy_of(name: str, cost: str, source: str = "actions a") -> str:
         {name} AS (SELECT target_node, total_cost, path FROM {name}_walk WHERE (state & (1::BIGINT << target_node::INT)) <> 0)"""
 
 
+#: The toy log and map, as in the fixtures.
+TOY = """log(user_id, item_id, is_correct, timestamp, row_id) AS (VALUES (1::BIGINT,101::BIGINT,1,1::BIGINT,0::BIGINT),(1,100,1,1,1),(1,200,1,2,2),(1,201,0,2,3),(1,300,1,3,4),(1,301,1,3,5),(1,400,0,4,6),(1,100,1,5,7),
+    (2,999,1,1,8),(2,100,0,2,9),(2,100,1,3,10),(2,200,1,4,11),(2,300,0,5,12),(2,300,1,5,13),(3,100,1,1,14),(3,101,1,1,15),(3,200,1,2,16),(3,201,1,2,17),(3,300,0,3,18),(3,301,0,3,19),(3,400,1,4,20),(3,400,0,5,21)),
+    items(item_id, node_id) AS (VALUES (100::BIGINT,0::BIGINT),(101,0),(200,1),(201,1),(300,2),(301,2),(400,3)), mapped AS (SELECT log.*, node_id FROM log JOIN items USING (item_id))"""
+SAMPLES = """samples AS (SELECT user_id, session_id, coalesce(string_agg(node_id || ':' || CAST(round(avg_score * 10000) AS BIGINT), ' ' ORDER BY session_id)
+    OVER (PARTITION BY user_id ORDER BY session_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history, node_id AS target_node, round(avg_score, 6) AS label FROM sessions)"""
 FREQ_COST = "(60 + (1 - a.p) * 300)"
 FREQ_SOURCE = "facts a"
 FACTS = f"{FREQ}, {EDGES}, {ACTIONS}, facts AS (SELECT actions.*, p FROM actions JOIN freq USING (node_id))"
@@ -145,6 +151,25 @@ ORACLE_SQL = {
     "monotone_oracle_scores": f"""WITH {SESSIONS}, {EARLY}, {NODES}, {EDGES}, {ACTIONS}, {SCORES}, now_at AS (SELECT user_id, sum(1::BIGINT << node_id::INT)::BIGINT AS state FROM early GROUP BY user_id)
         SELECT user_id, a.idx AS node_id, round(p, 9) AS p, round(var, 9) AS var FROM now_at JOIN actions a ON (now_at.state & (1::BIGINT << a.idx::INT)) = 0 AND (now_at.state & needs) = needs JOIN scores s ON s.state = now_at.state AND s.idx = a.idx""",
     "bottleneck": f"WITH RECURSIVE {FACTS}, {best_of('freq_dp', FREQ_COST, FREQ_SOURCE)}, {steps_of('freq_dp', 'freq_dp', P_FREQ)} SELECT target_node, k AS node_id, round(p, 6) AS p_succ FROM freq_dp_worst",
+    "sampled_targets": "SELECT unnest([1, 2, 3, 6]::BIGINT[]) AS node_id",
+    "material_differences": f"WITH RECURSIVE {ALL} SELECT target_node, round(neutral_dp, 6) AS neutral_dp, round(freq_dp, 6) AS freq_dp, round(neutral_dp - freq_dp, 6) AS diff FROM pivoted WHERE abs(neutral_dp - freq_dp) > 0.01",
+    "log_csv_scan": f"WITH {LOG} SELECT user_id, item_id, is_correct, timestamp FROM log",
+    "item_map_csv": f"WITH {ITEMS} SELECT * FROM items",
+    "edge_list_csv": f"WITH {EDGES} SELECT * FROM edges UNION ALL SELECT * FROM edges WHERE src = 0",
+    "toy_sessions": f"WITH {TOY}, {sessions_of('mapped')} SELECT * REPLACE (round(avg_score, 6) AS avg_score) FROM sessions",
+    "bundle_round_trip": f"WITH {SESSIONS}, {EDGES} SELECT user_id, session_id, node_id, (SELECT count(*) FROM edges WHERE dst = node_id) AS n_needs FROM sessions",
+    "weights_round_trip": "SELECT name, size::BIGINT AS size, (size * (size - 1) / 2)::DOUBLE AS total FROM (VALUES ('emb', 32), ('proj', 8), ('proj_b', 4), ('gcn', 16), ('gcn_b', 4), ('diff', 4), ('diff_b', 1), ('able', 4), ('able_b', 1), ('w', 1)) t(name, size)",
+    "trajectories_json": f"WITH RECURSIVE {ALL} SELECT target_node, strategy_name, path, round(total_cost, 6) AS expected_total_cost, path_length FROM matrix",
+    "metrics_csv": f"WITH RECURSIVE {ALL} SELECT target_node, strategy_name, round(total_cost, 4) AS expected_total_cost, path_length, k AS bottleneck_node_id, round(p, 6) AS bottleneck_p FROM matrix",
+    "sample_histories": f"WITH {SESSIONS}, {SAMPLES} SELECT * FROM samples",
+    "first_samples": f"WITH {SESSIONS}, {SAMPLES} SELECT * FROM samples ORDER BY user_id, session_id LIMIT 3",
+    "shuffled_batches": f"WITH {SESSIONS} SELECT count(*) AS n_samples, 0::BIGINT AS n_out_of_range FROM sessions",
+    "few_shot_dataset": f"""WITH {SESSIONS}, shots AS (SELECT node_id AS target_node, user_id, session_id, avg_score AS label, row_number() OVER (PARTITION BY node_id ORDER BY user_id, session_id) AS shot FROM sessions WHERE node_id < 3),
+        features AS (SELECT s.user_id, s.session_id, h.node_id AS idx, max_by(h.avg_score, h.session_id) AS latest_score FROM sessions s JOIN sessions h ON h.user_id = s.user_id AND h.session_id < s.session_id WHERE h.node_id < 3 GROUP BY ALL)
+        SELECT user_id, session_id, target_node, round(label, 6) AS label, idx, round(latest_score, 6) AS latest_score FROM shots LEFT JOIN features USING (user_id, session_id) WHERE shot <= 4""",
+    "monotonicity_check": f"""WITH {SCORES} SELECT count(*) AS n_pairs, count(*) FILTER (b.p + 1e-6 < a.p) AS n_falls FROM scores a, range(8) m(v), scores b
+        WHERE a.idx = b.idx AND (a.state & (1 << v::INT)) = 0 AND b.state = (a.state | (1 << v::INT))""",
+    "activations": "SELECT event_id, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(greatest(x, 0), 6) AS relu, round(ln(1 + exp(-abs(x))) + greatest(x, 0), 6) AS softplus FROM (SELECT event_id, (value - 35) / 10 AS x FROM events)",
     "strategy_matrix": f"WITH RECURSIVE {ALL} SELECT target_node, strategy_name, path, round(total_cost, 6) AS expected_total_cost, path_length FROM matrix",
     "metrics_export": f"WITH RECURSIVE {ALL} SELECT target_node, strategy_name, round(total_cost, 4) AS expected_total_cost, path_length, k AS bottleneck_node_id, round(p, 6) AS bottleneck_p FROM matrix",
     "dp_vs_greedy": f"WITH RECURSIVE {ALL} SELECT target_node, round(greedy, 6) AS greedy, round(neutral_dp, 6) AS neutral_dp, round(greedy - neutral_dp, 6) AS diff FROM pivoted",

@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.functions.scalars import step_cost
-from pathloom.functions.store import saved
+from pathloom.functions.scalars import relu, sigmoid, softplus, step_cost
+from pathloom.functions.store import saved, scratch_path
 from pathloom.operators import checks, frequency, graph, monotone, planner, sessions
 from pathloom.plans import experiments
 from pathloom.sources import tables as src
@@ -92,7 +93,7 @@ def q_lineitem_sessions(spark, d):
 
 
 def q_history_latest_features(spark, d):
-    return rounded(sessions.latest_features(sessions.samples(found(spark, d))), "latest_score")
+    return rounded(sessions.latest_scores(found(spark, d)), "latest_score")
 
 
 def q_few_shot(spark, d):
@@ -182,6 +183,114 @@ def q_streamed_sessions(spark, d):
     return rounded(spark.read.schema(stream.schema).parquet(f"{path}-{name}"), "avg_score")
 
 
+def q_log_csv(spark, d):
+    """The log written as CSV, with a column more, and scanned again."""
+    path = scratch_path(spark, "log")
+    src.write_csv(log(spark, d).drop("row_id").withColumn("note", F.lit("x")), path)
+    return src.read_log(spark, path).select("user_id", "item_id", "is_correct", "timestamp")
+
+
+def q_item_map_csv(spark, d):
+    """An item map whose first rows are overruled by later ones."""
+    path, items = scratch_path(spark, "items"), src.events_items(spark)
+    src.write_csv(items.withColumn("node_id", F.col("node_id") + 1).union(items).coalesce(1), path)
+    return src.item_map(spark, path)
+
+
+def q_edge_list_csv(spark, d):
+    path, edges = scratch_path(spark, "edges"), src.events_edges(spark)
+    src.write_csv(edges.union(edges.where("src = 0")), path)
+    return src.edge_list(spark, path)
+
+
+def q_toy_sessions(spark, d):
+    """Sessions of the toy log, by way of its file."""
+    path = scratch_path(spark, "toy")
+    src.write_toy_log(spark, path)
+    return rounded(sessions.sessions(sessions.with_nodes(src.read_log(spark, path), src.item_map(spark, toy=True))), "avg_score")
+
+
+def q_bundle(spark, d):
+    """Sessions and edges written as a stage's tables and read by the next: sessions with how many prerequisites their node has."""
+    path = scratch_path(spark, "bundle")
+    src.write_bundle(path, sessions=found(spark, d), edges=src.events_edges(spark))
+    done, edges = src.read_bundle(spark, path, "sessions", "edges")
+    needs = edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n_needs"))
+    return done.join(F.broadcast(needs), "node_id", "left").select("user_id", "session_id", "node_id", F.coalesce("n_needs", F.lit(0)).alias("n_needs"))
+
+
+def q_weights(spark, d):
+    """A model's weights written and read: each name with its size and sum."""
+    path, wt = scratch_path(spark, "weights"), monotone.init(8, 4)
+    wt |= {k: np.arange(v.size, dtype=float).reshape(v.shape) for k, v in wt.items()}
+    src.write_bundle(path, weights=monotone.weight_table(spark, wt))
+    back = monotone.from_table(src.read_bundle(spark, path, "weights")[0])
+    return spark.createDataFrame([(k, v.size, float(v.sum())) for k, v in back.items()], "name STRING, size BIGINT, total DOUBLE")
+
+
+def q_trajectories_json(spark, d):
+    path, made = scratch_path(spark, "trajectories"), matrix(spark, d)
+    src.write_trajectories(made, path)
+    return path_text(rounded(spark.read.schema(made.schema).json(path), "expected_total_cost").drop("bottleneck_node"))
+
+
+def q_metrics_csv(spark, d):
+    path, made = scratch_path(spark, "metrics"), q_metrics(spark, d)
+    src.write_metrics(made, path)
+    return spark.read.option("header", True).schema(made.schema).csv(path)
+
+
+def samples(spark, d):
+    return sessions.on_graph(sessions.samples(found(spark, d)), nodes(spark))
+
+
+def q_samples(spark, d):
+    return rounded(sessions.history_text(samples(spark, d)), "label")
+
+
+def q_first_samples(spark, d):
+    return rounded(sessions.history_text(sessions.first_samples(samples(spark, d))), "label")
+
+
+def q_batches(spark, d):
+    """Every sample is in one batch, and no batch number is out of range."""
+    dealt = sessions.batches(labels(spark, d), 128, 42)
+    return dealt.agg(F.count("*").alias("n_samples"), F.count_if((F.col("batch") < 0) | (F.col("batch") * 128 >= F.lit(dealt.count()))).alias("n_out_of_range"))
+
+
+def q_dataset(spark, d):
+    """The few-shot data set in one: samples of the first three nodes, four of each, with the features of nodes in the cut."""
+    kept = nodes(spark).orderBy("node_id").limit(3)
+    shots = sessions.few_shot(sessions.on_graph(labels(spark, d), kept), 4).drop("shot")
+    features = sessions.latest_scores(found(spark, d)).join(kept.select("node_id", "idx"), "node_id").select("user_id", "session_id", "idx", "latest_score")
+    return rounded(shots.join(features, ["user_id", "session_id"], "left"), "label", "latest_score")
+
+
+def q_monotonicity(spark, d):
+    """p of every (state, node), against the same with one node more mastered: it must not fall."""
+    steps = spark.range(256).select(F.col("id").alias("state")).join(F.broadcast(nodes(spark).select("idx")))
+    p = saved(monotone_score(spark)(steps).select("state", "idx", "p"))
+    more = nodes(spark).select(planner.bit(F.col("idx")).alias("more"))
+    pairs = p.join(F.broadcast(more), F.col("state").bitwiseAND(F.col("more")) == 0).withColumn("state", F.col("state").bitwiseOR(F.col("more"))).withColumnRenamed("p", "p_before")
+    both = pairs.join(p, ["state", "idx"])
+    return both.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("p") + 1e-6 < F.col("p_before")).alias("n_falls"))
+
+
+def q_activations(spark, d):
+    x = (F.col("value") - 35) / 10
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", sigmoid(x).alias("sigmoid"), relu(x).alias("relu"), softplus(x).alias("softplus"))
+    return rounded(rows, "sigmoid", "relu", "softplus")
+
+
+def q_trained(spark, d):
+    """A small model trained for two epochs on all samples, and its p of each: no SQL, since it is learned."""
+    index = {r["node_id"]: r["idx"] for r in nodes(spark).collect()}  # nodes are concepts
+    edges = [(index[r["src"]], index[r["dst"]], r["weight"]) for r in graph.normalized(nodes(spark), src.events_edges(spark)).collect()]
+    a, data = monotone.dense(edges, len(index)), saved(samples(spark, d))
+    wt, _ = monotone.train(data, monotone.init(len(index), 8), a, index, epochs=2, rate=0.01)
+    return monotone.predict(data, wt, a, index)
+
+
 QUERIES = {
     "filter_known_items": lambda s, d: sessions.known_items(log(s, d), src.events_items(s)),
     "map_items_to_nodes": mapped,
@@ -228,5 +337,21 @@ QUERIES = {
     "risk_chart": lambda s, d: experiments.risk_chart(matrix(s, d)),
     "strategy_summary": lambda s, d: rounded(experiments.summary(matrix(s, d)), "mean_cost", "std_cost"),
     "sampled_targets": q_sampled_targets,
+    "material_differences": lambda s, d: rounded(experiments.material(experiments.compared(matrix(s, d), "neutral_dp", "freq_dp")), "neutral_dp", "freq_dp", "diff"),
+    "log_csv_scan": q_log_csv,
+    "item_map_csv": q_item_map_csv,
+    "edge_list_csv": q_edge_list_csv,
+    "toy_sessions": q_toy_sessions,
+    "bundle_round_trip": q_bundle,
+    "weights_round_trip": q_weights,
+    "trajectories_json": q_trajectories_json,
+    "metrics_csv": q_metrics_csv,
+    "sample_histories": q_samples,
+    "first_samples": q_first_samples,
+    "shuffled_batches": q_batches,
+    "few_shot_dataset": q_dataset,
+    "monotonicity_check": q_monotonicity,
+    "activations": q_activations,
+    "monotone_trained": q_trained,
     "quality_violations": q_quality,
 }

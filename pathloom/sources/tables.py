@@ -33,12 +33,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def item_map(spark: SparkSession, path: str | None = None, *, toy: bool = False) -> DataFrame:
-    """item_id, node_id; of rows for one item the last counts. The toy map only on request."""
+    """item_id, node_id; of rows for one item the last counts, files in the order of their names. The toy map only on request."""
     if path is None:
         if not toy:
             raise ValueError("give a path, or ask for the toy map")
         return spark.createDataFrame(TOY_ITEMS, "item_id BIGINT, node_id BIGINT")
-    rows = require_columns(spark.read.option("header", True).csv(path), "item_id", "node_id").withColumn("at", F.monotonically_increasing_id())
+    rows = require_columns(spark.read.option("header", True).csv(path), "item_id", "node_id").withColumn("at", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()))
     return rows.groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(F.max_by(F.col("node_id").cast("bigint"), "at").alias("node_id"))
 
 
@@ -102,5 +102,9 @@ def write_trajectories(trajectories: DataFrame, path: str) -> None:
     trajectories.write.mode("overwrite").json(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
