@@ -8,10 +8,10 @@ Texts that share any one of these 2 * ``sketches`` sketches meet in a bucket. A
 
 Buckets are compared in rounds, a few sketches first and then the rest. What a round links is one component, and later buckets
 that hold one component only are left out, as they could join nothing. No pair of different components is left out of a
-bucket: buckets of the same texts count once, and large buckets are cut into blocks of at most about ``block`` texts and ``most_words``
-words, each two of which are a cell for one task, so that a bucket is no task's load alone. A cell is first read with FOLD
+bucket: buckets of the same texts count once, and large buckets are cut into blocks of about ``block`` texts,
+each two of which are a cell for one task, so that a bucket is no task's load alone. A cell is first read with FOLD
 counts of each text's words, which bound the distance from below; only texts with a partner within the bound come back with
-their words, for the alignment: a bit-parallel dynamic program that fills the band that the limit allows. The bounds are
+their words, in smaller cells of about ``cell`` texts and ``most_words`` words a side, for the alignment: a bit-parallel dynamic program that fills the band that the limit allows. The bounds are
 exact, so a link is lost only where two texts share no sketch at all. The work for a bucket of texts that are unlike each
 other grows with its square, at some tenths of a microsecond for a pair.
 Equal texts are one node from the start. Classes are the connected components.
@@ -288,7 +288,7 @@ def _sketched(docs: DataFrame, text: str, k: int, short: int, ell: int, sketches
     return saved(_nodes(docs, text).mapInPandas(run, "node binary, n_words int, folded binary, sketches array<bigint>"), "sketches")
 
 
-def _meetings(made: DataFrame, bits, roots: DataFrame | None, low: int, high: int, block: int, most_words: int) -> DataFrame:
+def _meetings(made: DataFrame, bits, roots: DataFrame | None, low: int, high: int, block: int) -> DataFrame:
     """bucket, i, j, side, at, node, root, n_words: the cells of the buckets of sketches ``low`` to ``high`` - 1 that hold two components or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,16 +303,29 @@ def _meetings(made: DataFrame, bits, roots: DataFrame | None, low: int, high: in
     rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = saved(rows, "meet")
     buckets = rows.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum("n_words").alias("w"), F.min("at").alias("at"), F.min("root").alias("a"), F.max("root").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+        F.count("*").alias("n"), F.min("at").alias("at"), F.min("root").alias("a"), F.max("root").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
     ).where("a < b")
-    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("at", "bucket")).alias("first"), F.first("w").alias("w"))  # of buckets of the same texts the first
-    buckets = buckets.select("first.bucket", F.ceil(F.greatest(F.col("n") / block, F.col("w") / most_words)).cast("int").alias("blocks"))
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("at", "bucket")).alias("first"))  # of buckets of the same texts the first
+    buckets = buckets.select("first.bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rows = rows.join(buckets, "bucket").withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "at", "node", "root", "n_words")
 
 
-def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 500, most_words: int = 1_000_000, first: int = 8) -> DataFrame:
+def _smaller(rows: DataFrame, cell: int, most_words: int) -> DataFrame:
+    """Cut the cells further, in the same manner: pairs of parts of one side, or of one part of each side."""
+    key = ["bucket", "i", "j"]
+    parts = rows.groupBy(*key).agg(F.ceil(F.greatest(F.count("*") / cell, F.sum("n_words") / most_words)).cast("int").alias("parts"))
+    rows = rows.join(parts, key).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    inside, left = F.col("i") == F.col("j"), F.col("side") == 0
+    i = F.when(inside, F.least("own", "with")).when(left, F.col("own")).otherwise(F.col("with"))
+    j = F.when(inside, F.greatest("own", "with")).otherwise(F.col("parts") + F.when(left, F.col("with")).otherwise(F.col("own")))
+    side = F.when(inside, F.col("own") > F.col("with")).otherwise(~left).cast("int")
+    return rows.withColumns({"bucket": F.xxhash64(*key), "i": i, "j": j, "side": side}).drop("own", "with", "parts", "n_words")
+
+
+def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, ell: int = 2, sketches: int = 32, similarity: float = 0.8, block: int = 2000, cell: int = 400, most_words: int = 1_000_000, first: int = 8) -> DataFrame:
     """node, rep: verified links between different texts (md5 of each), enough to join all that is alike in a bucket."""
     made = _sketched(docs, text, k, short, ell, sketches)
     repeated = made.select(F.explode("sketches").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -321,20 +334,20 @@ def links(docs: DataFrame, *, text: str = "text", k: int = 5, short: int = 3, el
 
     def flagged(rows: list[tuple], label: np.ndarray, split: int) -> list[tuple]:
         keep = plausible(np.array([r[4] for r in rows]), unfolded([r[5] for r in rows]), np.stack([r[6] for r in rows]), label, split, similarity)
-        return [(*r[:3], int(split > 0 and at >= split), r[3], *r[6:]) for at, (r, ok) in enumerate(zip(rows, keep)) if ok]
+        return [(*r[:3], int(split > 0 and at >= split), *r[3:5], *r[6:]) for at, (r, ok) in enumerate(zip(rows, keep)) if ok]
 
     def linked(rows: list[tuple], label: np.ndarray, split: int) -> list[tuple]:
         found = cell_links([np.frombuffer(r[4], np.uint32) for r in rows], np.stack([r[5] for r in rows]), label, split, similarity)
         return [(rows[x][3], rows[y][3]) for x, y in found]
 
     for low, high in ((0, first), (first, 2 * sketches)):
-        cells = saved(_meetings(made, bits, roots, low, high, block, most_words), "cells")
+        cells = saved(_meetings(made, bits, roots, low, high, block), "cells")
         known = made.join(cells.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("folded").alias("folded"), F.first("sketches").alias("sketches"))
         rows = cells.join(known, "node").withColumn("earlier", F.slice("sketches", 1, F.col("at"))).withColumn("same_root", F.col("root")).drop("sketches", "at")
-        near = _in_cells(rows, flagged, ("n_words", "folded", "earlier", "same_root"), "bucket long, i int, j int, side int, node binary, earlier array<bigint>, root binary")
+        near = _in_cells(rows, flagged, ("n_words", "folded", "earlier", "same_root"), "bucket long, i int, j int, side int, node binary, n_words int, earlier array<bigint>, root binary")
         near = saved(near, "near")
         words = _words_of(docs, text, near.select("node").distinct())
-        new = saved(_in_cells(near.join(words, "node"), linked, ("words", "earlier"), "node binary, rep binary"), "links")
+        new = saved(_in_cells(_smaller(near, cell, most_words).join(words, "node"), linked, ("words", "earlier"), "node binary, rep binary"), "links")
         found = new if found is None else found.union(new)
         if high < 2 * sketches:
             roots = components(found, "node", "rep")

@@ -115,8 +115,8 @@ def test_near_duplicate_recall_of_lone_pairs(spark):
     assert met[0.2] >= 0.97 and met[0.15] >= 0.99 and met[0.1] == met[0.05] == 1, met
 
 
-@pytest.mark.parametrize("block", [1000, 60])
-def test_near_duplicates_in_a_hot_passage(spark, block):
+@pytest.mark.parametrize("block,cell", [(1000, 400), (60, 25)])
+def test_near_duplicates_in_a_hot_passage(spark, block, cell):
     """Near copies among many texts that share a passage: each pair is linked, and nothing else."""
     r = random.Random(6)
     passage, rows = words(r, 200).split(), []
@@ -125,7 +125,7 @@ def test_near_duplicates_in_a_hot_passage(spark, block):
         at = own[:40] + passage + own[40:]
         rows += [(2 * g, " ".join(at)), (2 * g + 1, " ".join(edited(r, at, 0.08)))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((x.doc_id, x.class_id, x.class_size) for x in omh.classes(df, block=block).collect())
+    got = sorted((x.doc_id, x.class_id, x.class_size) for x in omh.classes(df, block=block, cell=cell).collect())
     assert got == [(i, i - i % 2, 2) for i in range(len(rows))]
 
 
