@@ -281,7 +281,16 @@ def _with_runs(docs: DataFrame, text: str, length: int) -> DataFrame:
     per = runs.groupBy("node").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))  # at most a text's own starts
     per = saved(per.join(nodes.where("copies > 1"), "node", "full").select(F.col("node").alias("_node"), "_runs", F.coalesce("copies", F.lit(1)).alias("_copies")), "runs")
     node = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
-    return docs.withColumn("_node", node).join(per, "_node", "left").drop("_node")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(per.select(F.xxhash64("_node").alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def likely(h: pd.Series) -> pd.Series:
+        return pd.Series(in_set(bits.value, h.to_numpy()))
+
+    rows = docs.withColumn("_node", node).withColumn("_likely", likely(F.xxhash64("_node")))
+    joined = rows.where("_likely").join(per, "_node", "left")
+    others = rows.where("not _likely").withColumns({c: F.lit(None).cast(per.schema[c].dataType) for c in ("_runs", "_copies")})  # these needn't be shuffled
+    return joined.unionByName(others).drop("_node", "_likely")
 
 
 def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
