@@ -12,6 +12,9 @@ from pathloom.llm import langid, omh, packing, suffix_dedup, tiling
 from pathloom.llm.common import fold, saved, table, tune
 from pathloom.llm.queries import tokenizer_path
 
+#: Bytes of a string that may not repeat: some 25 to 30 words, so that passages of over 50 words hold several.
+STRING_BYTES = 160
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected; learned from three quarters of the documents at hand."""
@@ -26,9 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 160 bytes (some 25 to 30 words) that repeat; n_chars follows, and texts of which nothing is left go."""
+    """Texts without the strings of STRING_BYTES bytes that repeat; n_chars follows, and texts of which nothing is left go."""
     tune(spark)
-    cut = suffix_dedup.cleaned(docs, length=160).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    cut = suffix_dedup.cleaned(docs, length=STRING_BYTES).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.where((F.length("text") > 0) | F.col("text").isNull())
 
 
@@ -46,7 +49,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("suffix_dedup", repeated_strings), ("decontamination", decontaminated), ("packing", packed)]
 
-#: SQL can't express these stages; tests hold each against a plain version.
+#: SQL can't express these stages; tests hold each against its operator, and the operators against plain versions where they have one.
 ORACLE_SQL = None
 
 
