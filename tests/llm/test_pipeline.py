@@ -19,7 +19,7 @@ def test_stages(spark):
         if name == "near_duplicates":
             assert omh.classes(docs).where("class_size > 1").count() == 0
         if name == "suffix_dedup":
-            gone = suffix_dedup.report(before).where("n_bytes = n_removed and n_bytes > 0").count()
+            gone = suffix_dedup.report(before, length=corpus_pipeline.STRING_BYTES).where("n_bytes = n_removed and n_bytes > 0").count()
             assert docs.count() == before.count() - gone
         if name == "decontamination":
             assert tiling.coverage(docs, table(spark, SF, "benchmark")).count() == 0
