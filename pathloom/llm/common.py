@@ -18,9 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches: by rows for tables of long texts, by bytes for the longest."""
+    """Bound the Arrow batches: by rows for tables of long texts, by bytes for the longest. Shuffle files go when the action that wrote them ends."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def fold(key: str | Column, n: int) -> Column:
