@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_density, imatch, langid, licenses, omh, packing, quality, suffix_dedup, tiling, warc
+from . import html_density, imatch, langid, licenses, omh, packing, quality, repair, suffix_dedup, tiling, warc
 from .common import fold, table, tune
 
 
@@ -80,8 +80,15 @@ def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_license_scan": op2_license_scan, "op5_suffix_dedup": op5_suffix_dedup, "op3_warc": op3_warc, "op4_text_density": op4_text_density, "op7_packing": op7_packing, "op9_string_tiling": op9_string_tiling, "op8_imatch": op8_imatch, "op10_order_minhash": op10_order_minhash, "op1_quality": op1_quality, "op6_language_id": op6_language_id}
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults and the cheapest edits of every conversation, after damage."""
+    tune(spark)
+    return repair.checked(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op11_structure_repair": op11_structure_repair, "op2_license_scan": op2_license_scan, "op5_suffix_dedup": op5_suffix_dedup, "op3_warc": op3_warc, "op4_text_density": op4_text_density, "op7_packing": op7_packing, "op9_string_tiling": op9_string_tiling, "op8_imatch": op8_imatch, "op10_order_minhash": op10_order_minhash, "op1_quality": op1_quality, "op6_language_id": op6_language_id}
 ORACLE_SQL: dict[str, str] = {
+    "op11_structure_repair": repair.oracle(),
     "op2_license_scan": licenses.oracle(),
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
