@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_density, imatch, langid, licenses, omh, packing, quality, repair, sharding, suffix_dedup, tiling, warc
+from . import divergence, html_density, imatch, langid, licenses, omh, packing, quality, repair, sharding, suffix_dedup, tiling, warc
 from .common import fold, table, tune
 
 
@@ -92,9 +92,16 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assigned(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op11_structure_repair": op11_structure_repair, "op12_sharding": op12_sharding, "op2_license_scan": op2_license_scan, "op5_suffix_dedup": op5_suffix_dedup, "op3_warc": op3_warc, "op4_text_density": op4_text_density, "op7_packing": op7_packing, "op9_string_tiling": op9_string_tiling, "op8_imatch": op8_imatch, "op10_order_minhash": op10_order_minhash, "op1_quality": op1_quality, "op6_language_id": op6_language_id}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are from each other, and the terms that mark each."""
+    tune(spark)
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op13_source_divergence": op13_source_divergence, "op11_structure_repair": op11_structure_repair, "op12_sharding": op12_sharding, "op2_license_scan": op2_license_scan, "op5_suffix_dedup": op5_suffix_dedup, "op3_warc": op3_warc, "op4_text_density": op4_text_density, "op7_packing": op7_packing, "op9_string_tiling": op9_string_tiling, "op8_imatch": op8_imatch, "op10_order_minhash": op10_order_minhash, "op1_quality": op1_quality, "op6_language_id": op6_language_id}
 ORACLE_SQL: dict[str, str] = {
     "op11_structure_repair": repair.oracle(),
+    "op13_source_divergence": divergence.oracle(),
     "op2_license_scan": licenses.oracle(),
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
