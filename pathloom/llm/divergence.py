@@ -21,7 +21,6 @@ three columns are read, so others may have any name.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,34 +35,36 @@ SCALE_STEPS, SCALE = 3, 1000  # 1000**3 = 10**9
 LEAST_DOCS, TOP, TILE, MATRIX = 3, 200, 1 << 20, 1 << 22
 #: Numbers that are broadcast at once: pairs x terms.
 AT_ONCE = 1 << 21
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+#: UTF-8 bytes of terms as they are, A to Z in lower case; all other bytes are spaces.
+TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Counts that a task holds before it passes them on.
+HELD = 1_000_000
 
 
 def term_counts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
     """lang, source, term (null for a group's own row), n occurrences, in_docs documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        counts: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
         size = 0
         for b in batches:
             for a, s, t in zip(b["lang"], b["source"], b["text"]):
                 new = (a, s) not in counts
                 n, in_docs = counts.setdefault((a, s), (Counter(), Counter()))
                 size -= len(n)
-                found = Counter(TERM.findall(t.translate(LOWER)))
+                found = t.encode("utf-8", "surrogatepass").translate(TERM_BYTES).split()
                 n.update(found)
-                in_docs.update(found.keys())
+                in_docs.update(set(found))
                 size += len(n) + new
-                if size > 500_000:
+                if size > HELD:
                     yield from frames(counts)
                     size = 0
         yield from frames(counts)
 
     def frames(counts: dict) -> Iterator[pd.DataFrame]:
         for (a, s), (n, in_docs) in counts.items():
-            terms = list(n)
-            yield pd.DataFrame({"lang": a, "source": s, "term": [None, *terms], "n": [0, *n.values()], "in_docs": [0, *(in_docs[t] for t in terms)]})
+            terms = [t.decode("utf-8", "surrogatepass") for t in n]
+            yield pd.DataFrame({"lang": a, "source": s, "term": [None, *terms], "n": [0, *n.values()], "in_docs": [0, *map(in_docs.__getitem__, n)]})
         counts.clear()
 
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
