@@ -128,6 +128,19 @@ class Audit:
         return pd.concat([pairs, made]).assign(lang=lang)[["lang", "source", "part", "item", "value"]]
 
 
+def gathered(batches: Iterator[pd.DataFrame], rows: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Batches of some ``rows`` rows of smaller ones."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield pd.concat(held)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held)
+
+
 def audited(batches: Iterator[pd.DataFrame], top: int) -> Iterator[pd.DataFrame]:
     """Partial results from rows sorted by lang, strip, block, and groups' own rows first; those have the source's total and the number of kept terms."""
     now, block, task, held, sources, totals, kept, strips = None, None, None, [], [], [], 0, 1
@@ -144,7 +157,7 @@ def audited(batches: Iterator[pd.DataFrame], top: int) -> Iterator[pd.DataFrame]
             task.add(list(terms), tile)
         held, sources, totals = [], [], []
 
-    for b in batches:
+    for b in gathered(batches):
         for (lang, strip, k), rows in b.groupby(["lang", "strip", "block"], sort=False):
             if block is not None and (lang, strip, k) != (*now, block):
                 flush()
