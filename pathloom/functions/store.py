@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +37,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def forget(df: DataFrame) -> None:
+    """Delete what ``saved`` wrote, once nothing will read it again: its consumers have been written themselves."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.startswith(shared_dir(spark)) or f"{shared_dir(spark)}/" in path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def saved(df: DataFrame, name: str = "level") -> DataFrame:
     """Write to the shared folder and read again, so that a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A table for broadcasting if it has at most ``most`` rows, else as it is. For tables that are cheap to count."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

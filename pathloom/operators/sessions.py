@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.numbering import numbered
+
 USER_TIME = ("timestamp", "item_id", "row_id")
 
 
@@ -115,12 +117,37 @@ def on_graph(sampled: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def batches(sampled: DataFrame, size: int, seed: int) -> DataFrame:
-    """A shuffled batch number for each sample: rows are dealt by hash, so no global sort is needed."""
-    n = max(1, -(-sampled.count() // size))
-    return sampled.withColumn("batch", F.pmod(F.xxhash64("user_id", "session_id", F.lit(seed)), F.lit(n)))
+    """A shuffled batch number for each sample: in the order of a hash of seed, user and session, batches hold exactly ``size`` samples, the last the rest."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("user_id").cast("string"), F.col("session_id").cast("string"))
+    rows = sampled.withColumn("_at", F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("bigint"))
+    return numbered(rows, "_place", "_at", "user_id", "session_id").withColumn("batch", F.floor(F.col("_place") / size)).drop("_at", "_place")
 
 
 def mastery(found: DataFrame, runs: int = 3, least: float = 0.8) -> DataFrame:
     """Extension: nodes whose last ``runs`` sessions all scored ``least`` or more, at each session."""
     w = Window.partitionBy("user_id", "node_id").orderBy("session_id").rowsBetween(-(runs - 1), 0)
     return found.withColumn("mastered", (F.min("avg_score").over(w) >= least) & (F.count("*").over(w) == runs))
+
+
+def mastered_nodes(found: DataFrame, runs: int = 3, least: float = 0.8) -> DataFrame:
+    """user_id, node_id, since: the nodes that a user ever mastered, and the first session by which."""
+    done = mastery(found, runs, least).where("mastered")
+    return done.groupBy("user_id", "node_id").agg(F.min("session_id").alias("since"))
+
+
+def featured(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """user_id, session_id, target_node, target_idx (null outside the graph), label, features: array of (idx, score), the latest score of each node seen before."""
+    idx = nodes.select("node_id", "idx")
+    latest = latest_scores(found).join(idx, "node_id").groupBy("user_id", "session_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("latest_score").alias("score")))).alias("features"))
+    rows = found.join(idx, "node_id", "left").select("user_id", "session_id", F.col("node_id").alias("target_node"), F.col("idx").alias("target_idx"), F.col("avg_score").alias("label"))
+    return rows.join(latest, ["user_id", "session_id"], "left").withColumn("features", F.coalesce("features", F.array().cast("array<struct<idx: bigint, score: double>>")))
+
+
+def dense(data: DataFrame, n_nodes: int) -> DataFrame:
+    """data with mask and score, arrays of ``n_nodes`` numbers: 1 for nodes seen, and their latest scores, 0 elsewhere."""
+    known = F.map_from_entries("features")
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(n_nodes - 1).cast("bigint"))
+    rows = data.withColumn("_known", known)
+    at = lambda i: F.try_element_at("_known", i)
+    rows = rows.withColumns({"mask": F.transform(places, lambda i: at(i).isNotNull().cast("double")), "score": F.transform(places, lambda i: F.coalesce(at(i), F.lit(0.0)))})
+    return rows.drop("_known", "features")

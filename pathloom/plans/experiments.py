@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.store import saved
 from pathloom.operators import planner
 from pathloom.operators.planner import Estimator
 
@@ -26,13 +27,13 @@ def strategies(monotone: Estimator, frequency: Estimator, risk: float = 0.5) ->
 
 def trajectories(chosen: list[Strategy], targets: DataFrame, nodes: DataFrame, edges: DataFrame, t_penalty: float = 300.0) -> DataFrame:
     """target_node, strategy_name, path, expected_total_cost, path_length, bottleneck_node for every pair, from nothing mastered."""
-    actions = planner.action_table(nodes, edges)
-    plans = planner.plans_for(targets, nodes)
+    graph = planner.prepare(nodes, edges)
+    plans = saved(planner.plans_for(targets, graph), "plans")
 
     def one(s: Strategy) -> DataFrame:
         solve = planner.greedy_plans if s.greedy else planner.dp_plans
-        planned = solve(plans, actions, s.estimator, t_penalty=t_penalty, risk=s.risk)
-        worst = planner.bottlenecks(planned, nodes, s.estimator)
+        planned = saved(solve(plans, graph, s.estimator, t_penalty=t_penalty, risk=s.risk), "planned")
+        worst = planner.bottlenecks(planned, plans, graph, s.estimator)
         worst = worst.select("plan_id", F.struct("node_id", F.round("p_succ", 6).alias("p_succ")).alias("bottleneck_node"))
         return planned.join(worst, "plan_id").select(F.col("plan_id").alias("target_node"), F.lit(s.name).alias("strategy_name"), "path", F.col("total_cost").alias("expected_total_cost"), F.size("path").cast("bigint").alias("path_length"), "bottleneck_node")
 

@@ -1,22 +1,29 @@
-"""One query for each operator over the driver's tables, with the SQL that says the same."""
+"""One query for each operator over the driver's tables, with the SQL that says the same.
+
+The graph is mined from the event log (``graph.mined_edges``): concepts by the right answers to their items, prerequisites by learners' moves. The monotone
+estimator's queries take weights by a formula, so that SQL can follow them, except those that train.
+"""
 
 from __future__ import annotations
 
 import uuid
-from functools import cache
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.functions.scalars import relu, sigmoid, softplus, step_cost
-from pathloom.functions.store import saved, scratch_path
+from pathloom.functions.scalars import collect_bits, has_bit, n_words, relu, sigmoid, softplus, step_cost
+from pathloom.functions.store import saved, scratch_path, sized
 from pathloom.operators import checks, frequency, graph, monotone, planner, sessions
 from pathloom.plans import experiments
 from pathloom.sources import tables as src
 from pathloom.streaming.sessions import closed_sessions
 
-MASTERED_AFTER = 5  # sessions of a user that count as mastered in the frontier queries
+#: Settings of the estimator's queries; the SQL has the same.
+PASSES, DROPOUT, HIDDEN = 4, 0.3, 4
+#: Mastered: the last so many sessions of a node scored so much.
+RUNS, LEAST = 2, 0.5
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +31,7 @@ def log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mapped(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.with_nodes(log(spark, d), src.events_items(spark))
+    return sessions.with_nodes(log(spark, d), src.events_items(spark, d))
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,47 +43,79 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
     return found(spark, d).select("user_id", "session_id", F.col("node_id").alias("target_node"), F.col("avg_score").alias("label"))
 
 
-def nodes(spark: SparkSession) -> DataFrame:
-    return graph.nodes(src.events_items(spark), src.events_edges(spark))
+@dataclass
+class World:
+    """What a query over the graph starts from: sessions, nodes, edges, as tables."""
 
+    spark: SparkSession
+    d: str
+    acyclic: bool = True
 
-def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, places) for n in names})
+    def __post_init__(self):
+        rows = mapped(self.spark, self.d)
+        self.found = saved(sessions.sessions(rows), "sessions")
+        self.edges = saved(graph.mined_edges(rows, self.found, easier_first=self.acyclic), "edges")
+        self.nodes = saved(graph.nodes(src.events_items(self.spark, self.d), self.edges), "nodes")
 
+    @property
+    def labels(self) -> DataFrame:
+        return self.found.select("user_id", "session_id", F.col("node_id").alias("target_node"), F.col("avg_score").alias("label"))
 
-def path_text(df: DataFrame) -> DataFrame:
-    return df.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
+    @property
+    def mastered(self) -> DataFrame:
+        return sessions.mastered_nodes(self.found, RUNS, LEAST).select("user_id", "node_id")
 
+    @property
+    def users(self) -> DataFrame:
+        return self.found.select("user_id").distinct()
 
-def frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return saved(frequency.fit(labels(spark, d), nodes(spark)))
+    def frequencies(self) -> DataFrame:
+        return saved(frequency.fit(self.labels, self.nodes), "frequencies")
 
+    def frequency(self) -> planner.Estimator:
+        return planner.frequency_estimator(self.frequencies())
 
-def literal_terms(spark: SparkSession) -> DataFrame:
-    """A fixed term table: 4 passes over 8 nodes."""
-    rows = spark.range(32).select((F.col("id") % 4).cast("int").alias("pass"), F.floor(F.col("id") / 4).alias("idx"))
-    return rows.select("pass", "idx", (0.2 * F.col("idx") + 0.1 * F.col("pass")).alias("diff"), (0.3 + 0.05 * F.col("idx") + 0.02 * F.col("pass")).alias("pre"), F.lit(0.5).alias("able"), F.lit(0.8).alias("w"))
+    def targets(self, least: int = 1) -> DataFrame:
+        return saved(graph.at_depth(graph.depths(self.nodes, self.edges), least).select("node_id"), "targets")
 
+    def normalized(self) -> DataFrame:
+        return saved(graph.normalized(self.nodes, self.edges), "normalized")
 
-def monotone_score(spark: SparkSession):
-    return monotone.estimator(literal_terms(spark))
+    def weights(self) -> monotone.Weights:
+        return formula_weights(self.nodes.count())
 
+    def monotone(self) -> planner.Estimator:
+        edges = monotone.indexed(self.nodes, self.normalized())
+        return monotone.estimator(monotone.terms(self.nodes, edges, self.weights(), passes=PASSES, dropout=DROPOUT))
+
+
+def formula_weights(n_nodes: int, hidden: int = HIDDEN) -> monotone.Weights:
+    i, k, j, f = np.arange(n_nodes)[:, None], np.arange(hidden), np.arange(hidden)[None, :], np.arange(2)[:, None]
+    return {
+        "emb": np.sin(1.3 * i + 0.7 * k + 0.1), "proj": 0.5 * np.sin(2.1 * f + 1.7 * k + 0.3), "proj_b": 0.1 * k - 0.1, "gcn": 0.8 * np.cos(1.1 * k[:, None] - 0.9 * j), "gcn_b": 0.05 * k,
+        "diff": 0.4 * np.sin(k + 1.0), "diff_b": np.array([0.2]), "able": 0.3 * np.cos(1.3 * k), "able_b": np.array([0.1]), "w": np.array([-0.15]),
+    }
 
-def dp(spark: SparkSession, estimator, targets: DataFrame, risk: float = 0.0, greedy: bool = False) -> DataFrame:
-    actions, plans = planner.action_table(nodes(spark), src.events_edges(spark)), planner.plans_for(targets, nodes(spark))
-    out = (planner.greedy_plans if greedy else planner.dp_plans)(plans, actions, estimator, risk=risk)
-    return path_text(rounded(out, "total_cost")).withColumnRenamed("plan_id", "target_node")
 
+def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, places) for n in names})
+
+
+def path_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
 
-def all_targets(spark: SparkSession) -> DataFrame:
-    return graph.at_depth(graph.depths(nodes(spark), src.events_edges(spark)), 1).select("node_id")
+
+def solved(w: World, estimator: planner.Estimator, risk: float = 0.0, greedy: bool = False) -> DataFrame:
+    g = planner.prepare(w.nodes, w.edges)
+    out = (planner.greedy_plans if greedy else planner.dp_plans)(planner.plans_for(w.targets(), g), g, estimator, risk=risk)
+    return path_text(rounded(out, "total_cost")).withColumnRenamed("plan_id", "target_node")
 
 
-@cache
-def matrix(spark: SparkSession, d: str) -> DataFrame:
-    """All strategies by all targets, planned once for a session and kept as a table, as the reports share it."""
-    chosen = experiments.strategies(monotone_score(spark), planner.frequency_estimator(frequencies(spark, d)))
-    return saved(experiments.trajectories(chosen, all_targets(spark), nodes(spark), src.events_edges(spark)))
+def matrix(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """The named strategies (or all) by all targets."""
+    w = World(spark, d)
+    chosen = experiments.strategies(w.monotone(), w.frequency())
+    return saved(experiments.trajectories([s for s in chosen if not names or s.name in names], w.targets(), w.nodes, w.edges), "matrix")
 
 
 def q_concept_sessions(spark, d):
@@ -101,47 +140,56 @@ def q_few_shot(spark, d):
 
 
 def q_frequency(spark, d):
-    return rounded(frequency.fit(labels(spark, d), nodes(spark)).select("node_id", "p", "var", "t_base", "n"), "p", "var")
-
-
-def early(spark, d):
-    return graph.mastered_by_user(found(spark, d).where(F.col("session_id") < MASTERED_AFTER))
+    w = World(spark, d)
+    return rounded(frequency.fit(w.labels, w.nodes).select("node_id", "p", "var", "t_base", "n"), "p", "var")
 
 
 def q_frontier(spark, d):
-    mastered = early(spark, d)
-    return graph.frontier(nodes(spark), src.events_edges(spark), mastered, mastered)
+    w = World(spark, d)
+    return graph.frontier(w.nodes, w.edges, w.mastered, w.users)
 
 
 def q_frontier_fallback(spark, d):
-    loop = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 0), (2, 0)], "src BIGINT, dst BIGINT")
-    mastered = early(spark, d)
-    return graph.frontier(nodes(spark), loop, mastered, mastered)
+    """The same on a graph with cycles, where some users have the fallback node only."""
+    w = World(spark, d, acyclic=False)
+    return graph.frontier(w.nodes, w.edges, w.mastered, w.users)
 
 
 def q_action_costs(spark, d):
-    at = q_frontier(spark, d).join(F.broadcast(frequencies(spark, d)), "node_id")
+    w = World(spark, d)
+    at = graph.frontier(w.nodes, w.edges, w.mastered, w.users).join(w.frequencies(), "node_id")
     return rounded(at.select("user_id", "node_id", step_cost(F.col("p"), F.col("var"), F.col("t_base"), 300.0, 0.5).alias("cost")), "cost")
 
 
 def q_trap(spark, d, greedy=False):
-    """Going straight is dearer per step, but the detour is a trap: it makes the last step cost 100."""
-    edges = spark.createDataFrame([(0, 1), (0, 2), (2, 3)], "src BIGINT, dst BIGINT")
-    trap = graph.nodes(None, edges)
-    base = F.when(F.col("idx") == 0, 0.0).when(F.col("idx") == 1, 1.0).when((F.col("idx") == 3) & (F.col("state").bitwiseAND(F.lit(2)) != 0), 100.0).otherwise(5.0)
-    score = lambda steps: steps.withColumns({"p": F.lit(1.0), "var": F.lit(0.0), "t_base": base})
-    plans = spark.createDataFrame([(3, 1, 8)], "plan_id BIGINT, state BIGINT, goal BIGINT")
-    solve = planner.greedy_plans if greedy else planner.dp_plans
-    return path_text(solve(plans, planner.action_table(trap, edges), score)).withColumnRenamed("plan_id", "target_node")
+    """The least root is cheap, but a trap: once it is mastered, a step to a node with prerequisites costs 100."""
+    w = World(spark, d)
+    roots = graph.roots(w.nodes, w.edges)
+    trap = w.nodes.where(F.col("node_id") == roots.agg(F.min("node_id")).scalar()).select(F.col("idx").alias("trap"))
+    kind = saved(w.nodes.join(roots.withColumn("root", F.lit(True)), "node_id", "left").join(F.broadcast(trap)).select("idx", F.coalesce("root", F.lit(False)).alias("root"), "trap"), "kind")  # one trap
+    base = F.when(F.col("idx") == F.col("trap"), 1.0).when(~F.col("root") & has_bit(F.col("state"), F.col("trap")), 100.0).otherwise(5.0)
+    score = lambda steps: steps.join(sized(kind), "idx").withColumns({"p": F.lit(1.0), "var": F.lit(0.0), "t_base": base})
+    return solved(w, planner.Estimator(score), greedy=greedy)
 
 
 def q_bottleneck(spark, d):
-    score = planner.frequency_estimator(frequencies(spark, d))
-    actions, plans = planner.action_table(nodes(spark), src.events_edges(spark)), planner.plans_for(all_targets(spark), nodes(spark))
-    out = planner.bottlenecks(planner.dp_plans(plans, actions, score), nodes(spark), score)
+    w = World(spark, d)
+    score, g = w.frequency(), planner.prepare(w.nodes, w.edges)
+    plans = saved(planner.plans_for(w.targets(), g), "plans")
+    out = planner.bottlenecks(planner.dp_plans(plans, g, score), plans, g, score)
     return rounded(out, "p_succ").withColumnRenamed("plan_id", "target_node")
 
 
+def of_users(spark, d, solve, estimator):
+    """A plan for every user from what they mastered to all nodes with prerequisites that they tried and have not mastered; equal states and goals share one."""
+    w = World(spark, d)
+    g = planner.prepare(w.nodes, w.edges)
+    goals = w.found.select("user_id", "node_id").distinct().join(w.targets(), "node_id", "left_semi").join(w.mastered, ["user_id", "node_id"], "left_anti")
+    users, plans = planner.user_plans(w.mastered, goals, g)
+    planned = saved(solve(plans, g, estimator(w)), "planned")
+    return path_text(rounded(users.join(planned, "plan_id").drop("plan_id"), "total_cost"))
+
+
 def q_metrics(spark, d):
     return experiments.metrics(matrix(spark, d))
 
@@ -151,31 +199,47 @@ def q_matrix(spark, d):
 
 
 def q_monotone_scores(spark, d):
-    actions = planner.action_table(nodes(spark), src.events_edges(spark))
-    at = early(spark, d).join(nodes(spark), "node_id").groupBy("user_id").agg(F.sum(planner.bit(F.col("idx"))).alias("state"))
-    scored = monotone_score(spark)(planner.expand(at, actions).select("user_id", "state", "idx"))
-    return rounded(scored.select("user_id", F.col("idx").alias("node_id"), "p", "var"), "p", "var", places=9)
+    """The chances of each user's next nodes, given all that the user mastered."""
+    w = World(spark, d)
+    g = planner.prepare(w.nodes, w.edges)
+    had = w.mastered.join(w.nodes, "node_id").groupBy("user_id").agg(collect_bits(F.col("idx"), g.words).alias("state"))
+    scored = w.monotone().score(saved(planner.expand(had, g).select("user_id", "state", "node_id", "idx"), "asked"))
+    return rounded(scored.select("user_id", "node_id", "p", "var"), "p", "var", places=9)
 
 
 def q_sampled_targets(spark, d):
-    ids = [r["node_id"] for r in all_targets(spark).collect()]  # nodes are concepts
-    return spark.createDataFrame([(x,) for x in planner.sampled_targets(ids, 4)], "node_id BIGINT")
+    return planner.sampled_targets(World(spark, d).targets(), 4)
 
 
 def q_subgraph(spark, d):
-    return graph.subgraph(nodes(spark), src.events_edges(spark), 5)[1]
+    w = World(spark, d)
+    return graph.subgraph(w.nodes, w.edges, 5)[1]
+
+
+def q_cycles(spark, d):
+    w = World(spark, d, acyclic=False)
+    return graph.cycles(w.edges).select(F.array_join(F.col("cycle").cast("array<string>"), ",").alias("cycle"))
+
+
+def q_components(spark, d):
+    """The strongly connected components of parts that were returned one after the other in open orders: a graph as large as the tables."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_returnflag = 'R' and l_linestatus = 'O'").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"))
+    then = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("src").alias("dst"))
+    edges = li.join(then, ["l_orderkey", "l_linenumber"]).select("src", "dst")
+    return graph.components(saved(edges.distinct(), "parts"))
 
 
 def q_quality(spark, d):
-    f = saved(found(spark, d))
-    sampled = f.select("user_id", "session_id", F.col("avg_score").alias("label"))
-    return checks.violations(f, sampled, nodes(spark), graph.on_cycles(src.events_edges(spark)))
+    w = World(spark, d)
+    return checks.violations(w.found, w.labels.withColumn("label", F.col("label")), w.nodes, graph.on_cycles(w.edges))
 
 
 def q_streamed_sessions(spark, d):
     """Sessions that have ended, from the log read as a stream of one batch."""
     rows = saved(mapped(spark, d))
-    path = rows.inputFiles()[0].rsplit("/", 1)[0]
+    if not (files := rows.inputFiles()):
+        return rounded(sessions.sessions(rows), "avg_score")  # nothing was written
+    path = files[0].rsplit("/", 1)[0]
     name = f"closed_{uuid.uuid4().hex}"
     stream = closed_sessions(spark.readStream.schema(rows.schema).parquet(path))
     run = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-{name}-state").option("path", f"{path}-{name}").trigger(availableNow=True).start()
@@ -192,40 +256,62 @@ def q_log_csv(spark, d):
 
 def q_item_map_csv(spark, d):
     """An item map whose first rows are overruled by later ones."""
-    path, items = scratch_path(spark, "items"), src.events_items(spark)
+    path, items = scratch_path(spark, "items"), src.events_items(spark, d)
     src.write_csv(items.withColumn("node_id", F.col("node_id") + 1).union(items).coalesce(1), path)
     return src.item_map(spark, path)
 
 
 def q_edge_list_csv(spark, d):
-    path, edges = scratch_path(spark, "edges"), src.events_edges(spark)
-    src.write_csv(edges.union(edges.where("src = 0")), path)
+    """Edges written with some twice, and scanned again."""
+    path, w = scratch_path(spark, "edges"), World(spark, d)
+    src.write_csv(w.edges.union(w.edges.where("src < 4")), path)
     return src.edge_list(spark, path)
 
 
 def q_toy_sessions(spark, d):
-    """Sessions of the toy log, by way of its file."""
-    path = scratch_path(spark, "toy")
-    src.write_toy_log(spark, path)
-    return rounded(sessions.sessions(sessions.with_nodes(src.read_log(spark, path), src.item_map(spark, toy=True))), "avg_score")
+    """Sessions of the log by way of its CSV file."""
+    path = scratch_path(spark, "log")
+    src.write_csv(log(spark, d).drop("row_id"), path)
+    return rounded(sessions.sessions(sessions.with_nodes(src.read_log(spark, path), src.events_items(spark, d))), "avg_score")
 
 
 def q_bundle(spark, d):
     """Sessions and edges written as a stage's tables and read by the next: sessions with how many prerequisites their node has."""
-    path = scratch_path(spark, "bundle")
-    src.write_bundle(path, sessions=found(spark, d), edges=src.events_edges(spark))
+    path, w = scratch_path(spark, "bundle"), World(spark, d)
+    src.write_bundle(path, sessions=w.found, edges=w.edges)
     done, edges = src.read_bundle(spark, path, "sessions", "edges")
     needs = edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n_needs"))
-    return done.join(F.broadcast(needs), "node_id", "left").select("user_id", "session_id", "node_id", F.coalesce("n_needs", F.lit(0)).alias("n_needs"))
+    return done.join(needs, "node_id", "left").select("user_id", "session_id", "node_id", F.coalesce("n_needs", F.lit(0)).alias("n_needs"))
+
+
+def chances(spark, d, passes, dropout, through=None):
+    """p and var of every sample, given its history; ``through`` a checkpoint, if a path is given."""
+    w = World(spark, d)
+    wt, nodes = w.weights(), w.nodes
+    if through:
+        monotone.save_model(through, wt, nodes, dropout=dropout, passes=passes)
+        wt, nodes, config = monotone.load_model(spark, through)
+        passes, dropout = int(config["passes"]), config["dropout"]
+    said = monotone.predict_mc(sessions.featured(w.found, nodes), wt, monotone.links(nodes, w.normalized()), passes=passes, dropout=dropout)
+    return said.select("user_id", "session_id", "target_node", F.round("p", 9).alias("p"), F.round("var", 9).alias("var"))
+
 
+def q_forward(spark, d):
+    """p of every sample by joins and sums of arrays."""
+    w = World(spark, d)
+    idx = w.nodes.select("node_id", "idx")
+    samples = w.found.join(idx, "node_id").select("user_id", "session_id", F.col("idx").alias("target_idx"))
+    features = sessions.latest_scores(w.found).join(idx, "node_id").select("user_id", "session_id", "idx", F.col("latest_score").alias("score"))
+    edges = saved(monotone.indexed(w.nodes, w.normalized()), "links")
+    said = monotone.joined_forward(samples, saved(features, "features"), w.nodes, edges, w.weights())
+    return rounded(said.select("user_id", "session_id", "p"), "p", places=9)
 
-def q_weights(spark, d):
-    """A model's weights written and read: each name with its size and sum."""
-    path, wt = scratch_path(spark, "weights"), monotone.init(8, 4)
-    wt |= {k: np.arange(v.size, dtype=float).reshape(v.shape) for k, v in wt.items()}
-    src.write_bundle(path, weights=monotone.weight_table(spark, wt))
-    back = monotone.from_table(src.read_bundle(spark, path, "weights")[0])
-    return spark.createDataFrame([(k, v.size, float(v.sum())) for k, v in back.items()], "name STRING, size BIGINT, total DOUBLE")
+
+def q_terms(spark, d):
+    """What the planners ask of the model: each node's difficulty and what its mastery adds, in each pass."""
+    w = World(spark, d)
+    made = monotone.terms(w.nodes, monotone.indexed(w.nodes, w.normalized()), w.weights(), passes=PASSES, dropout=DROPOUT)
+    return rounded(made.select(F.col("pass").cast("bigint"), "idx", "diff", "pre"), "diff", "pre", places=9)
 
 
 def q_trajectories_json(spark, d):
@@ -241,7 +327,7 @@ def q_metrics_csv(spark, d):
 
 
 def samples(spark, d):
-    return sessions.on_graph(sessions.samples(found(spark, d)), nodes(spark))
+    return sessions.on_graph(sessions.samples(found(spark, d)), src.events_items(spark, d).select("node_id").distinct())
 
 
 def q_samples(spark, d):
@@ -253,27 +339,36 @@ def q_first_samples(spark, d):
 
 
 def q_batches(spark, d):
-    """Every sample is in one batch, and no batch number is out of range."""
-    dealt = sessions.batches(labels(spark, d), 128, 42)
-    return dealt.agg(F.count("*").alias("n_samples"), F.count_if((F.col("batch") < 0) | (F.col("batch") * 128 >= F.lit(dealt.count()))).alias("n_out_of_range"))
+    """Every sample with its batch of 128."""
+    return sessions.batches(labels(spark, d), 128, 42).select("user_id", "session_id", "target_node", "batch")
 
 
 def q_dataset(spark, d):
     """The few-shot data set in one: samples of the first three nodes, four of each, with the features of nodes in the cut."""
-    kept = nodes(spark).orderBy("node_id").limit(3)
-    shots = sessions.few_shot(sessions.on_graph(labels(spark, d), kept), 4).drop("shot")
-    features = sessions.latest_scores(found(spark, d)).join(kept.select("node_id", "idx"), "node_id").select("user_id", "session_id", "idx", "latest_score")
+    w = World(spark, d)
+    kept = saved(w.nodes.orderBy("node_id").limit(3), "kept")
+    shots = sessions.few_shot(sessions.on_graph(w.labels, kept), 4).drop("shot")
+    features = sessions.latest_scores(w.found).join(kept.select("node_id", "idx"), "node_id").select("user_id", "session_id", "idx", "latest_score")
     return rounded(shots.join(features, ["user_id", "session_id"], "left"), "label", "latest_score")
 
 
+def q_dense(spark, d):
+    """Every sample as the dense rows a network reads: mask and latest scores of all nodes."""
+    w = World(spark, d)
+    rows = sessions.dense(sessions.featured(w.found, w.nodes), w.nodes.count())
+    text = lambda c, places: F.array_join(F.transform(c, lambda x: F.round(x * places).cast("bigint").cast("string")), ",")
+    return rows.select("user_id", "session_id", "target_idx", F.round("label", 6).alias("label"), text("mask", 1).alias("mask"), text("score", 10_000).alias("score"))
+
+
 def q_monotonicity(spark, d):
-    """p of every (state, node), against the same with one node more mastered: it must not fall."""
-    steps = spark.range(256).select(F.col("id").alias("state")).join(F.broadcast(nodes(spark).select("idx")))
-    p = saved(monotone_score(spark)(steps).select("state", "idx", "p"))
-    more = nodes(spark).select(planner.bit(F.col("idx")).alias("more"))
-    pairs = p.join(F.broadcast(more), F.col("state").bitwiseAND(F.col("more")) == 0).withColumn("state", F.col("state").bitwiseOR(F.col("more"))).withColumnRenamed("p", "p_before")
-    both = pairs.join(p, ["state", "idx"])
-    return both.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("p") + 1e-6 < F.col("p_before")).alias("n_falls"))
+    """Chances of each user's nodes with what they first mastered and with all they mastered in the end: none may fall."""
+    w = World(spark, d)
+    words = n_words(w.nodes.count())
+    had = sessions.mastered_nodes(w.found, RUNS, LEAST).join(w.nodes, "node_id")
+    first = F.min("since").alias("first")
+    early = had.groupBy("user_id").agg(first).join(had, "user_id").groupBy("user_id").agg(collect_bits(F.when(F.col("since") == F.col("first"), F.col("idx")), words).alias("state"), collect_bits(F.col("idx"), words).alias("more"))
+    pairs = early.select("state", "more", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(w.nodes.count() - 1).cast("bigint"))).alias("idx"))
+    return monotone.falls(saved(pairs, "pairs"), w.weights(), w.nodes, saved(monotone.indexed(w.nodes, w.normalized()), "links"))
 
 
 def q_activations(spark, d):
@@ -283,16 +378,15 @@ def q_activations(spark, d):
 
 
 def q_trained(spark, d):
-    """A small model trained for two epochs on all samples, and its p of each: no SQL, since it is learned."""
-    index = {r["node_id"]: r["idx"] for r in nodes(spark).collect()}  # nodes are concepts
-    edges = [(index[r["src"]], index[r["dst"]], r["weight"]) for r in graph.normalized(nodes(spark), src.events_edges(spark)).collect()]
-    a, data = monotone.dense(edges, len(index)), saved(samples(spark, d))
-    wt, _ = monotone.train(data, monotone.init(len(index), 8), a, index, epochs=2, rate=0.01)
-    return monotone.predict(data, wt, a, index)
+    """A small model trained for two epochs on all samples, and its p of each: no SQL, since it is learned; a test trains it in one process."""
+    w = World(spark, d)
+    n, edges, data = w.nodes.count(), monotone.links(w.nodes, w.normalized()), saved(sessions.featured(w.found, w.nodes), "data")
+    wt, _ = monotone.train(data, monotone.init(n, 8), edges, epochs=2, batch_size=max(1, -(-data.count() // 4)), rate=0.01, dropout=DROPOUT)
+    return monotone.predict(data, wt, edges).select("user_id", "session_id", "target_node", "label", "p")
 
 
 QUERIES = {
-    "filter_known_items": lambda s, d: sessions.known_items(log(s, d), src.events_items(s)),
+    "filter_known_items": lambda s, d: sessions.known_items(log(s, d), src.events_items(s, d)),
     "map_items_to_nodes": mapped,
     "log_counts": lambda s, d: checks.log_counts(log(s, d), mapped(s, d)),
     "ordered_log": lambda s, d: sessions.ordered(log(s, d)),
@@ -308,48 +402,57 @@ QUERIES = {
     "mastery_proxy": lambda s, d: sessions.mastery(found(s, d), 2, 0.5).select("user_id", "session_id", "node_id", "mastered"),
     "global_mean": lambda s, d: rounded(frequency.global_mean(labels(s, d)), "global_mean"),
     "frequency_oracle": q_frequency,
-    "node_index": lambda s, d: nodes(s),
-    "edge_index": lambda s, d: graph.edge_index(nodes(s), src.events_edges(s)),
-    "adjacency": lambda s, d: graph.adjacency(src.events_edges(s)),
-    "roots": lambda s, d: graph.roots(nodes(s), src.events_edges(s)),
-    "predecessors": lambda s, d: graph.predecessors(nodes(s), src.events_edges(s)).select("node_id", F.array_join(F.col("preds").cast("array<string>"), ",").alias("preds")),
-    "dag_check": lambda s, d: graph.on_cycles(src.events_edges(s)).agg(F.count("*").alias("n_cyclic_edges")),
-    "node_depths": lambda s, d: graph.depths(nodes(s), src.events_edges(s)),
-    "target_candidates": lambda s, d: all_targets(s),
-    "adjacency_norm": lambda s, d: rounded(graph.normalized(nodes(s), src.events_edges(s)), "weight", places=9),
+    "node_index": lambda s, d: World(s, d).nodes,
+    "edge_index": lambda s, d: (lambda w: graph.edge_index(w.nodes, w.edges.union(w.edges.where("src < 4"))))(World(s, d)),
+    "adjacency": lambda s, d: graph.adjacency(World(s, d).edges),
+    "roots": lambda s, d: (lambda w: graph.roots(w.nodes, w.edges))(World(s, d)),
+    "predecessors": lambda s, d: (lambda w: graph.predecessors(w.nodes, w.edges).select("node_id", F.array_join(F.col("preds").cast("array<string>"), ",").alias("preds")))(World(s, d)),
+    "dag_check": lambda s, d: graph.on_cycles(World(s, d).edges).agg(F.count("*").alias("n_cyclic_edges")),
+    "graph_cycles": q_cycles,
+    "part_components": q_components,
+    "node_depths": lambda s, d: (lambda w: graph.depths(w.nodes, w.edges))(World(s, d)),
+    "target_candidates": lambda s, d: World(s, d).targets(),
+    "deep_targets": lambda s, d: World(s, d).targets(100),
+    "adjacency_norm": lambda s, d: rounded(World(s, d).normalized(), "weight", places=9),
     "induced_subgraph": q_subgraph,
     "frontier_for_users": q_frontier,
     "frontier_fallback": q_frontier_fallback,
     "action_costs": q_action_costs,
-    "dp_plan_freq": lambda s, d: dp(s, planner.frequency_estimator(frequencies(s, d)), all_targets(s)),
+    "dp_plan_freq": lambda s, d: (lambda w: solved(w, w.frequency()))(World(s, d)),
     "dp_plan_trap": q_trap,
     "greedy_plan_trap": lambda s, d: q_trap(s, d, greedy=True),
-    "greedy_plan": lambda s, d: dp(s, planner.frequency_estimator(frequencies(s, d)), all_targets(s), greedy=True),
-    "dp_plan_monotone": lambda s, d: dp(s, monotone_score(s), all_targets(s), risk=0.5),
+    "greedy_plan": lambda s, d: (lambda w: solved(w, w.frequency(), greedy=True))(World(s, d)),
+    "dp_plan_monotone": lambda s, d: (lambda w: solved(w, w.monotone(), risk=0.5))(World(s, d)),
+    "user_plans": lambda s, d: of_users(s, d, planner.dp_plans, World.frequency),
+    "user_plans_greedy": lambda s, d: of_users(s, d, planner.greedy_plans, World.monotone),
     "monotone_oracle_scores": q_monotone_scores,
+    "monotone_terms": q_terms,
+    "monotone_forward": q_forward,
+    "monotone_mc": lambda s, d: chances(s, d, 20, DROPOUT),
     "bottleneck": q_bottleneck,
     "strategy_matrix": q_matrix,
     "metrics_export": q_metrics,
-    "dp_vs_greedy": lambda s, d: rounded(experiments.compared(matrix(s, d), "greedy", "neutral_dp"), "greedy", "neutral_dp", "diff"),
-    "worst_gaps": lambda s, d: rounded(experiments.worst_gaps(experiments.compared(matrix(s, d), "greedy", "neutral_dp").withColumn("diff", F.round("diff", 6))), "greedy", "neutral_dp", "diff"),
-    "n_worse": lambda s, d: experiments.n_worse(experiments.compared(matrix(s, d), "greedy", "neutral_dp")),
-    "monotone_vs_frequency": lambda s, d: rounded(experiments.compared(matrix(s, d), "neutral_dp", "freq_dp"), "neutral_dp", "freq_dp", "diff"),
-    "risk_chart": lambda s, d: experiments.risk_chart(matrix(s, d)),
+    "dp_vs_greedy": lambda s, d: rounded(experiments.compared(matrix(s, d, "greedy", "neutral_dp"), "greedy", "neutral_dp"), "greedy", "neutral_dp", "diff"),
+    "worst_gaps": lambda s, d: rounded(experiments.worst_gaps(experiments.compared(matrix(s, d, "greedy", "neutral_dp"), "greedy", "neutral_dp").withColumn("diff", F.round("diff", 6))), "greedy", "neutral_dp", "diff"),
+    "n_worse": lambda s, d: experiments.n_worse(experiments.compared(matrix(s, d, "greedy", "neutral_dp"), "greedy", "neutral_dp")),
+    "monotone_vs_frequency": lambda s, d: rounded(experiments.compared(matrix(s, d, "neutral_dp", "freq_dp"), "neutral_dp", "freq_dp"), "neutral_dp", "freq_dp", "diff"),
+    "risk_chart": lambda s, d: experiments.risk_chart(matrix(s, d, "neutral_dp", "risk_dp")),
     "strategy_summary": lambda s, d: rounded(experiments.summary(matrix(s, d)), "mean_cost", "std_cost"),
     "sampled_targets": q_sampled_targets,
-    "material_differences": lambda s, d: rounded(experiments.material(experiments.compared(matrix(s, d), "neutral_dp", "freq_dp")), "neutral_dp", "freq_dp", "diff"),
+    "material_differences": lambda s, d: rounded(experiments.material(experiments.compared(matrix(s, d, "neutral_dp", "freq_dp"), "neutral_dp", "freq_dp")), "neutral_dp", "freq_dp", "diff"),
     "log_csv_scan": q_log_csv,
     "item_map_csv": q_item_map_csv,
     "edge_list_csv": q_edge_list_csv,
     "toy_sessions": q_toy_sessions,
     "bundle_round_trip": q_bundle,
-    "weights_round_trip": q_weights,
+    "weights_round_trip": lambda s, d: chances(s, d, PASSES, DROPOUT, scratch_path(s, "model")),
     "trajectories_json": q_trajectories_json,
     "metrics_csv": q_metrics_csv,
     "sample_histories": q_samples,
     "first_samples": q_first_samples,
     "shuffled_batches": q_batches,
     "few_shot_dataset": q_dataset,
+    "dense_dataset": q_dense,
     "monotonicity_check": q_monotonicity,
     "activations": q_activations,
     "monotone_trained": q_trained,

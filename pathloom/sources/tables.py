@@ -14,8 +14,6 @@ TOY_LOG = [
 ]
 TOY_ITEMS = [(100, 0), (101, 0), (200, 1), (201, 1), (300, 2), (301, 2), (400, 3)]
 TOY_EDGES = [(0, 1), (0, 2), (1, 3), (2, 3)]
-#: The prerequisite graph that the queries over the events table use.
-EVENT_EDGES = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (2, 5), (4, 6), (5, 6), (6, 7)]
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -69,13 +67,10 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def events_items(spark: SparkSession) -> DataFrame:
-    """Items 0 to 89 belong to nodes 0 to 7; items from 90 are unknown."""
-    return spark.range(90).select(F.col("id").alias("item_id"), (F.col("id") % 8).alias("node_id"))
-
-
-def events_edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EVENT_EDGES, "src BIGINT, dst BIGINT")
+def events_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of the events table below 90, each of the node item % 8; items from 90 on are unknown."""
+    items = events_log(spark, sf_dir).where("item_id < 90").select("item_id").distinct()
+    return items.select("item_id", (F.col("item_id") % 8).alias("node_id"))
 
 
 def lineitem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
