@@ -5,12 +5,14 @@ A byte goes if it lies in a string of ``length`` bytes that also starts anywhere
 Positions. In each run of ``width`` neighbouring positions the one whose SEED bytes hash least is an anchor (the first of
 equals), and an anchor's phrase reaches to the SEED bytes of the next one. Which positions are anchors depends on the bytes
 around them alone, so copies of a string have the same anchors. ``width`` is chosen so that a string of ``length`` bytes holds
-the RUN phrases from its first anchor on. A string can therefore repeat only if its first anchor's run of RUN phrases does, and nothing is lost
+``run`` phrases from its first anchor on. A string can therefore repeat only if its first anchor's run of ``run`` phrases does, and nothing is lost
 by ranking anchors instead of all positions.
 
-Ranks. An anchor's first rank is a hash of its phrase. Spark sorts the pairs (rank, rank at offset 1), reranks, then the pairs at offset 2,
-and so on at doubling offsets until RUN phrases are ranked; anchors whose pair is unique are out, since no longer string from there can
-repeat. The last pair is taken with the bytes that all strings with this anchor have in common, which end just under the threshold.
+Ranks. An anchor's first rank is a hash of its phrase; phrases that stand once are out at once. Then the rounds of prefix doubling, at offsets 1, 2, 4, ...:
+an anchor's pair is its rank and the rank ``offset`` anchors ahead; Spark sorts the pairs that stand twice or more and their places in that order are the new
+ranks, which speak for twice as many phrases; anchors whose pair is unique drop out, since no longer string from there can repeat. The rounds carry text, place and rank
+only, and end when none is tied or ``run`` phrases are ranked: with run = 8 after offsets 1, 2 and 4. The last pair is taken with the bytes that
+all strings with this anchor have in common, which end just under the threshold.
 
 Strings. Anchors still tied are reported with all their strings where these agree byte for byte with another anchor's; of the others
 each string of exactly ``length`` bytes is ranked. These two comparisons are by 128-bit hashes, all before them by 64-bit ones, which can
@@ -35,11 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.store import forget
+
 from .common import U64, bit_set, first_seen, in_set, mix, prefix_hash, saved, span_hash
 
-SEED, RUN, CHUNK = 16, 2, 1 << 20
-#: Anchors at each end of a periodic stretch that are ranked: those that reach into it or out of it.
-ENDS = 2 * RUN
+SEED, RUN, CHUNK = 16, 8, 1 << 20
 
 
 def least_of_each(values: np.ndarray, width: int) -> np.ndarray:
@@ -50,17 +52,17 @@ def least_of_each(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - step)], values[width - step :]) if width > step else values
 
 
-def width_for(length: int) -> int:
-    """The largest width with which a string of ``length`` bytes holds its first anchor, RUN phrases and the windows that made them."""
-    width = (length - SEED) // (RUN + 1)
-    if width < 2:
-        raise ValueError(f"length must be at least {SEED + 2 * (RUN + 1)}")
+def width_for(length: int, run: int) -> int:
+    """The largest width with which a string of ``length`` bytes holds its first anchor, ``run`` phrases and the windows that made them."""
+    width = (length - SEED) // (run + 1)
+    if width < 2 or run < 2 or run & (run - 1):
+        raise ValueError(f"run must be a power of two, and length at least {SEED + 2 * (run + 1)}")
     return width
 
 
-def anchors(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def anchors(data: bytes, length: int, run: int) -> Iterator[tuple[np.ndarray, ...]]:
     """at, end of its phrase, first and last start of its strings (last < first for none), and a 64-bit hash of the phrase, for each piece of a text."""
-    width, n, c = width_for(length), len(data), 0
+    width, n, c = width_for(length, run), len(data), 0
     while n >= length and n - c >= 2 * width + SEED:
         piece = data[c : c + CHUNK + 4 * width + SEED]
         prefix = prefix_hash(np.frombuffer(piece, np.uint8).astype(U64) + U64(1))
@@ -78,8 +80,8 @@ def anchors(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         c += int(first[-1])
 
 
-def whole(data: bytes, length: int) -> tuple[np.ndarray, ...] | None:
-    parts = list(anchors(data, length))
+def whole(data: bytes, length: int, run: int) -> tuple[np.ndarray, ...] | None:
+    parts = list(anchors(data, length, run))
     return tuple(map(np.concatenate, zip(*parts))) if parts else None
 
 
@@ -94,9 +96,9 @@ def runs_of(flag: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()))
 
 
-def tied_anchors(data: bytes, length: int, shared: np.ndarray) -> tuple[list[tuple], list[tuple[int, int]]]:
+def tied_anchors(data: bytes, length: int, run: int, shared: np.ndarray) -> tuple[list[tuple], list[tuple[int, int]]]:
     """(ord, first, last, rank, core, strings) of the anchors whose phrase may repeat, and (first, last) of strings known to repeat inside a period."""
-    found = whole(data, length)
+    found = whole(data, length, run)
     if found is None:
         return [], []
     at, end, first, last, phrase = found
@@ -104,7 +106,8 @@ def tied_anchors(data: bytes, length: int, shared: np.ndarray) -> tuple[list[tup
     if not len(ok):
         return [], []
     at, first, last, phrase = at[ok], first[ok], last[ok], phrase[ok]
-    core = at - width_for(length) + 1 + length
+    core = at - width_for(length, run) + 1 + length
+    ends = 2 * run  # anchors at each end of a periodic stretch that are ranked: those that reach into it or out of it
     asked = last >= first
     inner = [xxhash.xxh3_64_intdigest(memoryview(data)[a:b]) for a, b in zip(at.tolist(), np.where(asked, core, at).tolist())]
     strings = digests(data, first, np.where(asked, last + length, first))
@@ -114,7 +117,7 @@ def tied_anchors(data: bytes, length: int, shared: np.ndarray) -> tuple[list[tup
     keep, known = np.ones(len(ok), bool), []
     for a, b in runs_of(same):
         known.append((int(first[a - 1]), int(last[b])))
-        keep[a - 1 + ENDS : max(a - 1 + ENDS, b - ENDS)] = False
+        keep[a - 1 + ends : max(a - 1 + ends, b - ends)] = False
     inner = np.array(inner, U64).view(np.int64)
     return [(int(ok[i]), int(first[i]), int(last[i]), int(phrase[i]), int(inner[i]), strings[i]) for i in np.flatnonzero(keep)], known
 
@@ -161,10 +164,11 @@ def frames(rows: Iterator[tuple], names: list[str], most: int = 20_000) -> Itera
         yield pd.DataFrame(held, columns=names)
 
 
-def ranked(rows: DataFrame, *by: str) -> DataFrame:
-    """``by`` and rank for each value of ``by`` that occurs twice or more: ascending in the order of ``by``, not dense."""
+def ranked(rows: DataFrame, first: str, *more: str) -> DataFrame:
+    """first, more and rank for each pair (or single value) that occurs twice or more: ascending in the sorted order, not dense."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tied = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    by = ["first", *more]
+    tied = rows.groupBy(F.col(first).alias("first"), *more).agg(F.count("*").alias("n")).where("n > 1").select(*by)
     order = tied.repartitionByRange(parts, *by).sortWithinPartitions(*by)
     return saved(order.withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
@@ -175,19 +179,22 @@ def with_ahead(rows: DataFrame, offset: int) -> DataFrame:
     return rows.withColumn("ahead", F.max("rank").over(there))
 
 
-def doubled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of periods (``ord`` < 0), and those that are tied in all rounds but the last, with ``rank`` and ``ahead`` for that one."""
-    first = saved(with_ahead(rows, 1).where("ord < 0 or ahead is not null"), "pairs")
-    now, offset = first.where("ord >= 0"), 1
-    while 2 * offset < RUN:
+def doubled(rows: DataFrame, run: int) -> DataFrame:
+    """node, ord, rank, ahead of the anchors that are tied in all rounds but the last, with the pair for that one; from node, ord, rank."""
+    now, offset = saved(with_ahead(rows, 1).where("ahead is not null"), "pairs"), 1
+    while 2 * offset < run and not now.isEmpty():
         offset *= 2
-        now = now.withColumnRenamed("rank", "here")
-        now = now.join(ranked(now, "here", "ahead"), ["here", "ahead"]).drop("here", "ahead")
-        now = saved(with_ahead(now, offset).where("ahead is not null"), "pairs")
-    return first.where("ord < 0").select("node", "first", "last"), now.where("last >= first")
+        before, ranks = now.withColumnRenamed("rank", "here"), ranked(now, "rank", "ahead")
+        here = ranks.select(F.col("rank").alias("new"), F.col("first").alias("here"), "ahead")
+        tied = before.join(here, ["here", "ahead"]).select("node", "ord", F.col("new").alias("rank"))
+        then = saved(with_ahead(tied, offset).where("ahead is not null"), "pairs")
+        forget(ranks)
+        forget(now)
+        now = then
+    return now
 
 
-def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400) -> tuple[DataFrame, DataFrame]:
+def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """(nodes with n copies; node, first, last: starts of repeated strings) for the distinct texts (md5)."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
@@ -203,7 +210,7 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400) -> t
 
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         for _, data in texts_of(batches):
-            for part in anchors(data, length):
+            for part in anchors(data, length, run):
                 yield part[4]
 
     repeated = lambda rows: spark.sparkContext.broadcast(bit_set(rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "key"))
@@ -211,7 +218,7 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400) -> t
 
     def tied(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for node, data in texts_of(batches):
-            rows, known = tied_anchors(data, length, shared.value)
+            rows, known = tied_anchors(data, length, run, shared.value)
             for a, b in known:
                 yield node, -1 - a, a, b, None, None, None
             for r in rows:
@@ -220,8 +227,12 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400) -> t
     names = ["node", "ord", "first", "last", "rank", "core", "strings"]
     made = source.mapInPandas(lambda it: frames(tied(it), names), "node binary, ord int, first int, last int, rank long, core long, strings binary")
     # copies of a text in different tasks count once; a text's anchors stay together for the first round
-    made = made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").dropDuplicates(["node", "ord"])
-    known, tied_rows = doubled(made)
+    made = saved(made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").dropDuplicates(["node", "ord"]), "anchors")
+    known = made.where("ord < 0").select("node", "first", "last")
+    pairs = doubled(made.where("ord >= 0").select("node", "ord", "rank"), run)
+    said = made.where("ord >= 0 and last >= first").select("node", "ord", "first", "last", "core", "strings")
+    tied_rows = saved(pairs.join(said, ["node", "ord"]).drop("ord"), "tied")
+    forget(pairs)
     last_pair = ("rank", "ahead", "core")
     kinds = saved(tied_rows.groupBy(*last_pair, "strings").agg(F.count("*").alias("n"), F.min(F.struct("node", "first", "last")).alias("one")), "kinds")
     mixed = kinds.groupBy(*last_pair).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*last_pair)
@@ -256,7 +267,7 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400) -> t
     likely = repeated(texts.mapInPandas(lambda it: counted_frames(hashes(it)), "key long, n long"))
     found = texts.mapInPandas(lambda it: frames(strings(it), ["node", "string", "first", "asked"]), "node binary, string binary, first int, asked boolean")
     found = saved(found, "strings")
-    some = found.where("asked").join(ranked(found, "string"), "string").select("node", "first", F.col("first").alias("last"))
+    some = found.where("asked").join(ranked(found, "string").select(F.col("first").alias("string")), "string").select("node", "first", F.col("first").alias("last"))
     return nodes, known.union(equal).union(some)
 
 
@@ -275,9 +286,9 @@ def cut(data: bytes, runs: list, copies: int, length: int) -> tuple[int, int, by
     return int(gone.sum()), int(gone[0]) + int((np.diff(gone.astype(np.int8)) == 1).sum()), np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
-def _with_runs(docs: DataFrame, text: str, length: int) -> DataFrame:
+def _with_runs(docs: DataFrame, text: str, length: int, run: int) -> DataFrame:
     """docs' rows with ``_runs`` and ``_copies`` where their text loses bytes, null elsewhere."""
-    nodes, runs = removed_runs(docs, text=text, length=length)
+    nodes, runs = removed_runs(docs, text=text, length=length, run=run)
     per = runs.groupBy("node").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))  # at most a text's own starts
     per = saved(per.join(nodes.where("copies > 1"), "node", "full").select(F.col("node").alias("_node"), "_runs", F.coalesce("copies", F.lit(1)).alias("_copies")), "runs")
     node = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
@@ -293,10 +304,10 @@ def _with_runs(docs: DataFrame, text: str, length: int) -> DataFrame:
     return joined.unionByName(others).drop("_node", "_likely")
 
 
-def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400, run: int = RUN) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for t, runs, copies in zip(b["text"], b["_runs"], b["_copies"]):
@@ -306,19 +317,19 @@ def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
             yield pd.concat([b[["key"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])], axis=1)
 
     source = docs.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = _with_runs(source, "text", length).withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    done = rows.select("key", "text", "_runs", "_copies").mapInPandas(run, "key string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _with_runs(source, "text", length, run).withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    done = rows.select("key", "text", "_runs", "_copies").mapInPandas(told, "key string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumn("key", F.col("key").cast(docs.schema[key].dataType)).withColumnRenamed("key", key)
 
 
-def cleaned(docs: DataFrame, *, text: str = "text", length: int = 400) -> DataFrame:
+def cleaned(docs: DataFrame, *, text: str = "text", length: int = 400, run: int = RUN) -> DataFrame:
     """docs with each text cut down to the bytes that stay (broken characters at a cut are dropped); other columns stay."""
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, runs: pd.Series, copies: pd.Series) -> pd.Series:
         return pd.Series([cut(t.encode("utf-8", "surrogatepass"), r if r is not None else (), int(c), length)[2].decode("utf-8", "ignore") for t, r, c in zip(texts, runs, copies)])
 
-    rows = _with_runs(docs, text, length)
+    rows = _with_runs(docs, text, length, run)
     touched = F.col(text).isNotNull() & (F.col("_runs").isNotNull() | (F.col("_copies") > 1))
     new = kept(F.coalesce(F.col(text).cast("string"), F.lit("")), F.col("_runs"), F.coalesce("_copies", F.lit(1)))
     return rows.withColumn(text, F.when(touched, new).otherwise(F.col(text))).select(*docs.columns)

@@ -156,6 +156,20 @@ def test_suffix_dedup(docs, length):
     assert suffix_dedup.report(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run,offsets", [(2, [1]), (4, [1, 2]), (8, [1, 2, 4])])
+def test_suffix_rounds(docs, monkeypatch, run, offsets):
+    """Prefix doubling takes the offsets 1, 2, 4; each but the last gives ranks to pairs; fewer anchors are tied after each; the result is the same."""
+    seen, pairs, tied = [], [], []
+    ahead, ranked = suffix_dedup.with_ahead, suffix_dedup.ranked
+    monkeypatch.setattr(suffix_dedup, "with_ahead", lambda rows, n: (seen.append(n), tied.append(rows.count()), ahead(rows, n))[2])
+    monkeypatch.setattr(suffix_dedup, "ranked", lambda rows, *by: (pairs.append(by), ranked(rows, *by))[1])
+    rows = [r.text for r in docs.collect()]
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(docs, length=100, run=run).collect())
+    assert got == sorted(map(tuple, brute_removed(rows, 100)))
+    assert seen == offsets and pairs == [("rank", "ahead")] * (len(offsets) - 1) + [("string",)]
+    assert tied == sorted(tied, reverse=True) and tied[0] > 0
+
+
 def test_tiling(spark, docs):
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
     five = rows[5].split()

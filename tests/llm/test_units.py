@@ -207,15 +207,15 @@ def repeated_starts(data, length):
 
 
 @small
-@given(st.lists(st.sampled_from([b"abcdefghijklmnopqrstuv", b"abcdefghijklmnopqrstuX", b"zz", b"q" * 7, bytes(range(200))]), max_size=14), st.sampled_from([1 << 20, 90]))
-def test_anchors_lose_no_string(parts, chunk):
+@given(st.lists(st.sampled_from([b"abcdefghijklmnopqrstuv", b"abcdefghijklmnopqrstuX", b"zz", b"q" * 7, bytes(range(200))]), max_size=14), st.sampled_from([1 << 20, 90]), st.sampled_from([2, 4, 8]))
+def test_anchors_lose_no_string(parts, chunk, run):
     """Every start has an anchor, whatever the pieces; equal strings have the same phrases and core; those known from a period repeat."""
     data, length = b"".join(parts), 60
     old, suffix_dedup.CHUNK = suffix_dedup.CHUNK, chunk
     try:
-        found = suffix_dedup.whole(data, length)
+        found = suffix_dedup.whole(data, length, run)
         everything = np.full(1 << 23, 255, np.uint8)
-        rows, known = suffix_dedup.tied_anchors(data, length, everything)
+        rows, known = suffix_dedup.tied_anchors(data, length, run, everything)
     finally:
         suffix_dedup.CHUNK = old
     if len(data) < length:
@@ -226,8 +226,8 @@ def test_anchors_lose_no_string(parts, chunk):
     of = {}
     for i, (a, b) in enumerate(zip(first, last)):
         for s in range(a, b + 1):
-            assert end[i + suffix_dedup.RUN - 1] <= s + length
-            of.setdefault(data[s : s + length], set()).add((int(at[i]) - s, *phrase[i : i + suffix_dedup.RUN].tolist()))
+            assert end[i + run - 1] <= s + length
+            of.setdefault(data[s : s + length], set()).add((int(at[i]) - s, *phrase[i : i + run].tolist()))
     assert all(len(x) == 1 for x in of.values())
     want = repeated_starts(data, length)
     assert {s for a, b in known for s in range(a, b + 1)} <= want
