@@ -14,6 +14,8 @@ from pathloom.llm.queries import tokenizer_path
 
 #: Bytes of a string that may not repeat: some 25 to 30 words, so that passages of over 50 words hold several.
 STRING_BYTES = 160
+#: Phrases that such a string holds: two rounds of doubling.
+PHRASES = 4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of STRING_BYTES bytes that repeat; n_chars follows, and texts of which nothing is left go."""
     tune(spark)
-    cut = suffix_dedup.cleaned(docs, length=STRING_BYTES).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    cut = suffix_dedup.cleaned(docs, length=STRING_BYTES, run=PHRASES).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.where((F.length("text") > 0) | F.col("text").isNull())
 
 
