@@ -4,11 +4,13 @@ The page's tags become a tree. For every node, with C characters of text and T t
 are in links (each at least 1), and for the body's C_b and LC_b, the density is
     C / T * log(1 + C * T / (LC * LT)) / log(1 + log(C / (C - LC) * LC + LC_b / C_b * C + e)),
 that is, characters per tag, weighed down where many of them are in links, the more so the fewer links the page has.
-The densities of a node's children are summed, and the container with the largest sum is the content's centre; the body counts
-with its own paragraphs and headings only, as all that a page shows is in it. The threshold is the least density on the path from the
-centre up to the body. A centre that its parent wraps with nothing but headings or paragraphs beside it gives way to that parent, and
-containers beside it that hold dense children of their own and reach the threshold are content too. In the content, containers under
-the threshold, of links mostly, or without a tag of their own where the content is in paragraphs, are left out.
+A node's own text counts as a leaf of its own: each run of text and inline tags between two blocks or line breaks. So a paragraph may be a ``p``, a ``div`` or bare
+text between line breaks; a block that has leaves only is a text block, whatever its tag, and others are containers.
+The densities of a node's children, leaves among them, are summed, and the node with the largest sum is the content's centre; the body counts
+with its own leaves and text blocks only, as all that a page shows is in it. The threshold is the least density on the path from the
+centre up to the body. A centre that its parent wraps with nothing but text blocks beside it gives way to that parent, and
+containers beside it that hold text blocks of their own and reach the threshold are content too. In the content, blocks under
+the threshold that are mostly links are left out, and nothing else.
 Before that a light filter takes off what by tag, role or class name is a menu, header, footer, sidebar, notice, advert, form,
 script, style or comment, so its text counts nowhere; a node that is so by its class name only, but has most of the page's text
 outside links, is left to the densities.
@@ -41,9 +43,10 @@ BLOCKS = frozenset(
     "address article blockquote body br center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
 )
-#: Tags of running text; the other blocks are containers.
-TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption summary address center legend caption".split())
-CONTAINERS = BLOCKS - TEXT_LEVEL - {"br", "hr"}
+#: Tags of headings, text and tables: beside the centre these are content, whereas a div of text there may be a line of the page's own.
+RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure".split())
+#: A run of text and inline tags.
+LEAF = "#text"
 CLOSED_BY = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 # A class or id is one of these names as a whole: only words for a place or a shape may stand beside it, so that has-sidebar,
 # page-header-fixed, search-results or content-with-comments name no boilerplate.
@@ -57,13 +60,13 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:
 
 
 class Node:
-    __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent", "dropped", "block", "in_article", "gone", "begin", "end")
+    __slots__ = ("tag", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent", "dropped", "block", "in_article", "gone", "begin", "end", "holds")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.dropped = ""
+        self.dropped, self.holds = "", False  # whether it is a block or has blocks inside
         self.gone, self.begin, self.end = False, 0, 0  # dropped by its tag or inside such a node; its span in the order of nodes
         self.block = self if parent is None or tag in BLOCKS or tag in SECTIONS or tag == "button" else parent.block
         self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
@@ -161,9 +164,37 @@ def parse(page: str) -> Node:
             node = new
             opened[tag] += 1
     prune(root)
+    with_leaves(root)
     return root
 
 
+def with_leaves(root: Node) -> None:
+    """Put the runs of text and inline tags in each node that holds blocks, or is one, into leaves; line breaks end a leaf."""
+    nodes = in_order(root)
+    root.holds = True
+    for node in reversed(nodes):
+        if (node.holds or node.tag in BLOCKS or node.tag in SECTIONS) and node.tag != "br":
+            node.holds = True
+            if node.parent is not None:
+                node.parent.holds = True
+    for node in nodes:
+        if not node.holds:
+            continue
+        parts, leaf = [], None
+        for part in node.parts:
+            if isinstance(part, Node) and (part.holds or part.tag == "br"):
+                leaf = None
+                parts.append(part)
+                continue
+            if leaf is None:
+                leaf = Node(LEAF, node)
+                parts.append(leaf)
+            leaf.parts.append(part)
+            if isinstance(part, Node):
+                part.parent = leaf
+        node.parts = [p for p in parts if p.tag != LEAF or any(isinstance(x, Node) or x.strip() for x in p.parts)]
+
+
 def close(node: Node, tag: str, opened: Counter[str]) -> Node:
     """The parent of the innermost open node with this tag; all nodes in that one are closed too."""
     while True:
@@ -211,7 +242,7 @@ def densities(root: Node) -> list[Node]:
         node.chars = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
         for child in node.children():
             node.chars += child.chars
-            node.tags += child.tags + 1
+            node.tags += child.tags + (child.tag != LEAF)
             node.link_chars += child.chars if child.tag == "a" else child.link_chars
             node.link_tags += child.link_tags + (child.tag == "a")
     body_chars, body_links = max(root.chars, 1), root.link_chars
@@ -229,20 +260,25 @@ def plain(node: Node) -> int:
     return node.chars - node.link_chars
 
 
+def is_text(node: Node) -> bool:
+    """A leaf, or a block with leaves and line breaks only."""
+    return node.tag == LEAF or all(c.tag in (LEAF, "br", "hr") for c in node.children())
+
+
 def own_sum(node: Node) -> float:
-    """The sum of densities by which a container is chosen: all children's, or of the body and above those of running text."""
+    """The sum of densities by which a node is chosen: all children's, or of the body and above those of text, by half if it may be a line of the page's own."""
     if node.tag not in ("body", "html"):
         return node.total
-    return sum(c.density for c in node.children() if c.tag not in CONTAINERS and c.tag not in SECTIONS and c.tag not in ("body", "html"))
+    return sum(c.density * (1 if c.tag == LEAF or c.tag in RUNNING else 0.5) for c in node.children() if is_text(c))
 
 
 def beside(node: Node) -> list[Node]:
-    return [c for c in node.parent.children() if c is not node and c.tag in CONTAINERS and plain(c) > 0] if node.parent else []
+    return [c for c in node.parent.children() if c is not node and not is_text(c) and plain(c) > 0] if node.parent else []
 
 
 def centre(nodes: list[Node]) -> tuple[list[Node], float]:
     """The content's nodes, and the least density on their path to the body."""
-    best = max((x for x in nodes if x.tag in CONTAINERS or x.parent is None), key=own_sum)
+    best = max((x for x in nodes if x.holds), key=own_sum)
     if own_sum(best) == 0:
         return nodes[:1], 0.0
     up = best
@@ -258,8 +294,8 @@ def centre(nodes: list[Node]) -> tuple[list[Node], float]:
         up = up.parent
     if best.parent is None or best.tag in ("body", "html"):
         return [best], threshold
-    others = {x for x in beside(best) if x.total > 0 and x.density >= threshold and plain(x) > x.link_chars and any(c.tag == "p" and c.density >= threshold for c in x.children())}
-    running = {x for x in best.parent.children() if x.tag in ("h1", "h2", "p", "blockquote", "pre", "ul", "ol", "dl", "table") and plain(x) > x.link_chars}
+    others = {x for x in beside(best) if x.total > 0 and x.density >= threshold and plain(x) > x.link_chars and any(is_text(c) and c.density >= threshold for c in x.children())}
+    running = {x for x in best.parent.children() if x.tag in RUNNING and plain(x) > x.link_chars}
     return [x for x in best.parent.children() if x is best or x in others or x in running], threshold
 
 
@@ -274,7 +310,7 @@ def blocks(content: list[Node], threshold: float) -> list[str]:
             out.append(text)
         run.clear()
 
-    kept, paragraphs = set(content), sum(c.chars for x in content for c in x.children() if c.tag == "p")
+    kept = set(content)
     stack: list[Node | str | None] = list(reversed(content))
     while stack:
         x = stack.pop()
@@ -283,12 +319,9 @@ def blocks(content: list[Node], threshold: float) -> list[str]:
         elif isinstance(x, str):
             run.append(x)
         else:
-            if x not in kept and x.tag in BLOCKS:
-                links = x.density < threshold and plain(x) <= x.link_chars
-                bare = x.tag in CONTAINERS and x.tag not in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "figure", "dl", "ul", "ol") and not x.total and 2 * x.chars < paragraphs
-                if links or bare:
-                    flush()
-                    continue
+            if x not in kept and x.tag in BLOCKS and x.chars and x.density < threshold and plain(x) <= x.link_chars:
+                flush()
+                continue
             if x.tag in BLOCKS:
                 flush()
                 stack.append(None)

@@ -241,10 +241,36 @@ def neutral(page):
     return re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
 
 
-def test_density_alone_finds_the_same_text():
+def in_divs(page):
+    """The page with closed divs for its paragraphs."""
+    ends = r"</?p\b|</article|</div|</main|<footer|<nav|<aside"
+    page = re.sub(rf"(<p\b[^>]*>)((?:(?!{ends}).)*)(?=<p\b|</article|</div|</main|<footer|<nav|<aside)", r"\1\2</p>", page, flags=re.S)
+    return re.sub(r"<(/?)p\b(?![a-z])", r"<\1div", page)
+
+
+@pytest.mark.parametrize("change", [neutral, in_divs, lambda p: in_divs(neutral(p))])
+def test_density_alone_finds_the_same_text(change):
+    """Without names, without paragraph tags, and without both."""
     pages = [x or "" for x in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()]
-    same = sum(html_density.main_text(p) == html_density.main_text(neutral(p)) for p in pages)
-    assert same >= 0.95 * len(pages)
+    same = sum(html_density.main_text(p) == html_density.main_text(change(p)) for p in pages)
+    assert same >= 0.98 * len(pages)
+
+
+MENU = "<div><a href=/>Home</a> <a href=/about>About</a></div>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<div id=content>Long text of an article.<br><br>More of its long text.</div>{MENU}", "Long text of an article.\nMore of its long text."),
+        (f"<body>{MENU}<div><p>First words of it.</p><div>Bare words in a div.</div><section>And in a section.</section><p>Last words of it.</p></div></body>", "First words of it.\nBare words in a div.\nAnd in a section.\nLast words of it."),
+        (f"<body>{MENU}<div>One.<p>Two, a paragraph.</p>Three <b>bold</b>.<ul><li>Four</ul>Five.</div></body>", "One.\nTwo, a paragraph.\nThree bold.\nFour\nFive."),
+        (f"<body>{MENU}<span><div>Words in a block.</div><div>Inside a span.</div></span></body>", "Words in a block.\nInside a span."),
+        (f"<body>{MENU}<div><section><p>Part one has words.</p><p>And more words.</p></section><section><p>Part two has words.</p><p>And still more.</p></section></div></body>", "Part one has words.\nAnd more words.\nPart two has words.\nAnd still more."),
+    ],
+)
+def test_own_text_counts(page, want):
+    assert html_density.main_text(page) == want
 
 
 @pytest.mark.parametrize("page", ["<a " * 350_000, "<b>" * 30_000 + "<p>x" * 30_000, "<!--" * 200_000, "<a x' " * 150_000 + ">", "<svg>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, '<a "' * 200_000 + ">", "<div class='ad'>x" * 20_000])
