@@ -42,6 +42,8 @@ from pathloom.functions.store import forget
 from .common import U64, bit_set, first_seen, in_set, mix, prefix_hash, saved, span_hash
 
 SEED, RUN, CHUNK = 16, 8, 1 << 20
+#: An anchor: its number in the text, first and last start of its strings, ranks of its phrase and the next, hashes of what all its strings share and of all they cover.
+ANCHOR = ["ord", "first", "last", "rank", "ahead", "core", "s0", "s1"]
 
 
 def least_of_each(values: np.ndarray, width: int) -> np.ndarray:
@@ -85,9 +87,10 @@ def whole(data: bytes, length: int, run: int) -> tuple[np.ndarray, ...] | None:
     return tuple(map(np.concatenate, zip(*parts))) if parts else None
 
 
-def digests(data: bytes, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+def digests(data: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit hashes as pairs of 64-bit ones."""
     view = memoryview(data)
-    return [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), end.tolist())]
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), end.tolist())]), np.int64).reshape(-1, 2)
 
 
 def runs_of(flag: np.ndarray) -> list[tuple[int, int]]:
@@ -96,15 +99,23 @@ def runs_of(flag: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()))
 
 
-def tied_anchors(data: bytes, length: int, run: int, shared: np.ndarray) -> tuple[list[tuple], list[tuple[int, int]]]:
-    """(ord, first, last, rank, core, strings) of the anchors whose phrase may repeat, and (first, last) of strings known to repeat inside a period."""
+def tied_anchors(data: bytes, length: int, run: int, shared: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[int, int]]]:
+    """ANCHOR columns of the anchors whose run of phrases may repeat, and (first, last) of strings known to repeat inside a period.
+
+    These stand in stretches of ``run`` or more neighbours whose phrases may each repeat; the last of a stretch has none ahead and is left out.
+    """
     found = whole(data, length, run)
     if found is None:
-        return [], []
+        return {}, []
     at, end, first, last, phrase = found
-    ok = np.flatnonzero(in_set(shared, phrase))
+    tied = in_set(shared, phrase)
+    for a, b in runs_of(tied):
+        tied[a : b + 1] = b - a + 1 >= run
+    ok = np.flatnonzero(tied)
     if not len(ok):
-        return [], []
+        return {}, []
+    ahead = phrase[np.minimum(ok + 1, len(phrase) - 1)]
+    more = np.append(np.diff(ok) == 1, False)
     at, first, last, phrase = at[ok], first[ok], last[ok], phrase[ok]
     core = at - width_for(length, run) + 1 + length
     ends = 2 * run  # anchors at each end of a periodic stretch that are ranked: those that reach into it or out of it
@@ -112,14 +123,13 @@ def tied_anchors(data: bytes, length: int, run: int, shared: np.ndarray) -> tupl
     inner = [xxhash.xxh3_64_intdigest(memoryview(data)[a:b]) for a, b in zip(at.tolist(), np.where(asked, core, at).tolist())]
     strings = digests(data, first, np.where(asked, last + length, first))
     same = np.zeros(len(ok), bool)
-    same[1:] = asked[1:] & asked[:-1] & (np.diff(ok) == 1) & (np.diff(at - first) == 0)
-    same[1:] &= np.array([a == b for a, b in zip(strings[1:], strings)], bool)
-    keep, known = np.ones(len(ok), bool), []
+    same[1:] = asked[1:] & asked[:-1] & (np.diff(ok) == 1) & (np.diff(at - first) == 0) & (strings[1:] == strings[:-1]).all(axis=1)
+    keep, known = more, []
     for a, b in runs_of(same):
         known.append((int(first[a - 1]), int(last[b])))
         keep[a - 1 + ends : max(a - 1 + ends, b - ends)] = False
-    inner = np.array(inner, U64).view(np.int64)
-    return [(int(ok[i]), int(first[i]), int(last[i]), int(phrase[i]), int(inner[i]), strings[i]) for i in np.flatnonzero(keep)], known
+    columns = [ok, first, last, phrase, ahead, np.array(inner, U64).view(np.int64), strings[:, 0], strings[:, 1]]
+    return dict(zip(ANCHOR, [c[keep] for c in columns])), known
 
 
 def counted_frames(arrays: Iterator[np.ndarray], most: int = 200_000) -> Iterator[pd.DataFrame]:
@@ -152,18 +162,6 @@ def open_strings(data: bytes, parts: list, length: int) -> Iterator[tuple[np.nda
         i = j
 
 
-def frames(rows: Iterator[tuple], names: list[str], most: int = 20_000) -> Iterator[pd.DataFrame]:
-    """Frames of about ``most`` rows."""
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) >= most:
-            yield pd.DataFrame(held, columns=names)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=names)
-
-
 def ranked(rows: DataFrame, first: str, *more: str) -> DataFrame:
     """first, more and rank for each pair (or single value) that occurs twice or more: ascending in the sorted order, not dense."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -180,8 +178,8 @@ def with_ahead(rows: DataFrame, offset: int) -> DataFrame:
 
 
 def doubled(rows: DataFrame, run: int) -> DataFrame:
-    """node, ord, rank, ahead of the anchors that are tied in all rounds but the last, with the pair for that one; from node, ord, rank."""
-    now, offset = saved(with_ahead(rows, 1).where("ahead is not null"), "pairs"), 1
+    """node, ord, rank, ahead of the anchors that are tied in all rounds but the last, with the pair for that one; from those of offset 1."""
+    now, offset = saved(rows, "pairs"), 1
     while 2 * offset < run and not now.isEmpty():
         offset *= 2
         before, ranks = now.withColumnRenamed("rank", "here"), ranked(now, "rank", "ahead")
@@ -216,28 +214,37 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400, run:
     repeated = lambda rows: spark.sparkContext.broadcast(bit_set(rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "key"))
     shared = repeated(source.mapInPandas(lambda it: counted_frames(phrases(it)), "key long, n long"))
 
-    def tied(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    def tied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for node, data in texts_of(batches):
             rows, known = tied_anchors(data, length, run, shared.value)
-            for a, b in known:
-                yield node, -1 - a, a, b, None, None, None
-            for r in rows:
-                yield node, *r
-
-    names = ["node", "ord", "first", "last", "rank", "core", "strings"]
-    made = source.mapInPandas(lambda it: frames(tied(it), names), "node binary, ord int, first int, last int, rank long, core long, strings binary")
-    # copies of a text in different tasks count once; a text's anchors stay together for the first round
-    made = saved(made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").dropDuplicates(["node", "ord"]), "anchors")
+            if known:
+                a, b = np.array(known).T
+                held.append(pd.DataFrame({"node": node, "ord": -1 - a, "first": a, "last": b} | dict.fromkeys(ANCHOR[3:], 0)))
+            if rows:
+                held.append(pd.DataFrame({"node": node} | rows))
+            size += len(known) + len(rows.get("ord", ()))
+            if size >= 20_000:
+                yield pd.concat(held)
+                held, size = [], 0
+        if size:
+            yield pd.concat(held)
+
+    made = source.mapInPandas(tied, "node binary, ord int, first int, last int, " + ", ".join(f"{c} long" for c in ANCHOR[3:]))
+    # copies of a text in different tasks count once; a text's anchors stay together for the rounds
+    made = made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").dropDuplicates(["node", "ord"])
+    made = saved(made.withColumn("id", F.monotonically_increasing_id()), "anchors")
     known = made.where("ord < 0").select("node", "first", "last")
-    pairs = doubled(made.where("ord >= 0").select("node", "ord", "rank"), run)
-    said = made.where("ord >= 0 and last >= first").select("node", "ord", "first", "last", "core", "strings")
+    pairs = doubled(made.where("ord >= 0").select("node", "ord", "rank", "ahead"), run)
+    said = made.where("ord >= 0 and last >= first").select("node", "ord", "first", "last", "core", "s0", "s1", "id")
     tied_rows = saved(pairs.join(said, ["node", "ord"]).drop("ord"), "tied")
     forget(pairs)
-    last_pair = ("rank", "ahead", "core")
-    kinds = saved(tied_rows.groupBy(*last_pair, "strings").agg(F.count("*").alias("n"), F.min(F.struct("node", "first", "last")).alias("one")), "kinds")
+    last_pair, strings_of = ["rank", "ahead", "core"], ["s0", "s1"]
+    kinds = saved(tied_rows.groupBy(*last_pair, *strings_of).agg(F.count("*").alias("n"), F.min("id").alias("id")), "kinds")
     mixed = kinds.groupBy(*last_pair).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*last_pair)
-    equal = tied_rows.join(kinds.where("n > 1").select("strings"), "strings", "left_semi").select("node", "first", "last")
-    open_ = kinds.join(mixed, list(last_pair), "left_semi").select("one.node", "one.first", "one.last", (F.col("n") == 1).alias("asked"))
+    equal = tied_rows.join(kinds.where("n > 1").select(*strings_of), strings_of, "left_semi").select("node", "first", "last")
+    one = kinds.join(mixed, last_pair, "left_semi").select("id", (F.col("n") == 1).alias("asked"))
+    open_ = tied_rows.join(one, "id").select("node", "first", "last", "asked")
     open_ = saved(open_.groupBy("node").agg(F.collect_list(F.struct("first", "last", "asked")).alias("parts")), "open")  # at most a text's own anchors
     wanted = spark.sparkContext.broadcast(bit_set(open_.select(F.xxhash64("node").alias("h")), "h", 23))
 
@@ -257,17 +264,19 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400, run:
                 for _, h, _ in open_strings(data, parts, length):
                     yield h
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for node, data, parts in zip(b["node"], b["data"], b["parts"]):
                 for s, h, asked in open_strings(data, parts, length):
                     ok = in_set(likely.value, h)
-                    yield from zip([node] * int(ok.sum()), digests(data, s[ok], s[ok] + length), s[ok].tolist(), asked[ok].tolist())
+                    if ok.any():
+                        two = digests(data, s[ok], s[ok] + length)
+                        yield pd.DataFrame({"node": node, "s0": two[:, 0], "s1": two[:, 1], "first": s[ok], "asked": asked[ok]})
 
     likely = repeated(texts.mapInPandas(lambda it: counted_frames(hashes(it)), "key long, n long"))
-    found = texts.mapInPandas(lambda it: frames(strings(it), ["node", "string", "first", "asked"]), "node binary, string binary, first int, asked boolean")
-    found = saved(found, "strings")
-    some = found.where("asked").join(ranked(found, "string").select(F.col("first").alias("string")), "string").select("node", "first", F.col("first").alias("last"))
+    found = saved(texts.mapInPandas(strings, "node binary, s0 long, s1 long, first int, asked boolean"), "strings")
+    ranks = ranked(found, *strings_of).select(F.col("first").alias("s0"), "s1")
+    some = found.where("asked").join(ranks, strings_of).select("node", "first", F.col("first").alias("last"))
     return nodes, known.union(equal).union(some)
 
 

@@ -231,7 +231,7 @@ def test_anchors_lose_no_string(parts, chunk, run):
     assert all(len(x) == 1 for x in of.values())
     want = repeated_starts(data, length)
     assert {s for a, b in known for s in range(a, b + 1)} <= want
-    ranked = {s for r in rows for s in range(r[1], r[2] + 1)} | {s for a, b in known for s in range(a, b + 1)}
+    ranked = {s for a, b in zip(rows.get("first", ()), rows.get("last", ())) for s in range(a, b + 1)} | {s for a, b in known for s in range(a, b + 1)}
     assert want <= ranked
 
 
