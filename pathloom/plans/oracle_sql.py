@@ -184,7 +184,7 @@ ORACLE_SQL = {
     "lineitem_sessions": f"""WITH log AS (SELECT o_custkey AS user_id, l_partkey AS item_id, CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END AS is_correct,
         CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS timestamp, l_orderkey * 100 + l_linenumber AS row_id, l_partkey % 10 AS node_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         {sessions_of('log')} SELECT * REPLACE (round(avg_score, 6) AS avg_score) FROM sessions""",
-    "streamed_sessions": f"WITH {SESSIONS} SELECT * REPLACE (round(avg_score, 6) AS avg_score) FROM sessions s WHERE session_id < (SELECT max(session_id) FROM sessions t WHERE t.user_id = s.user_id)",
+    "streamed_sessions": f"WITH {SESSIONS} SELECT * REPLACE (round(avg_score, 6) AS avg_score), 0::BIGINT AS n_late FROM sessions",
     "sample_history_len": f"WITH {SESSIONS} SELECT s.user_id, s.session_id, s.node_id AS target_node, count(h.session_id) AS history_len FROM sessions s LEFT JOIN sessions h ON h.user_id = s.user_id AND h.session_id < s.session_id GROUP BY ALL",
     "history_latest_features": f"WITH {SESSIONS} SELECT s.user_id, s.session_id, h.node_id, round(max_by(h.avg_score, h.session_id), 6) AS latest_score FROM sessions s JOIN sessions h ON h.user_id = s.user_id AND h.session_id < s.session_id GROUP BY ALL",
     "few_shot_k": f"WITH {SESSIONS} SELECT * FROM (SELECT node_id AS target_node, user_id, session_id, round(avg_score, 6) AS label, row_number() OVER (PARTITION BY node_id ORDER BY user_id, session_id) AS shot FROM sessions) WHERE shot <= 5",
@@ -253,4 +253,6 @@ ORACLE_SQL = {
     "dense_dataset": f"""WITH {WORLD}, features AS (SELECT s.user_id, s.session_id, h.node_id AS u, max_by(h.avg_score, h.session_id) AS score FROM sessions s JOIN sessions h ON h.user_id = s.user_id AND h.session_id < s.session_id GROUP BY ALL)
         SELECT s.user_id, s.session_id, t.idx AS target_idx, round(s.avg_score, 6) AS label, string_agg(CASE WHEN score IS NULL THEN '0' ELSE '1' END, ',' ORDER BY n.idx) AS mask, string_agg(CAST(CAST(round(coalesce(score, 0) * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY n.idx) AS score
         FROM sessions s JOIN nodes t ON t.node_id = s.node_id CROSS JOIN nodes n LEFT JOIN features f ON f.user_id = s.user_id AND f.session_id = s.session_id AND f.u = n.node_id GROUP BY s.user_id, s.session_id, t.idx, s.avg_score""",
+    "epoch_monotonicity": f"WITH {WORLD}, n AS (SELECT count(*) AS n FROM nodes), u AS (SELECT count(DISTINCT user_id) AS u FROM mastered) SELECT epoch, n * u AS n_pairs, 0::BIGINT AS n_falls FROM n, u, range(2) e(epoch)",
+    "observed_counts": f"WITH {SESSIONS} SELECT (SELECT count(*) FROM log) AS n_rows, (SELECT count(*) FROM mapped) AS n_kept, (SELECT sum(is_correct)::BIGINT FROM mapped) AS n_correct, count(DISTINCT user_id) AS n_users, count(*) AS n_sessions FROM sessions",
 }

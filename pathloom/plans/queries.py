@@ -6,11 +6,10 @@ estimator's queries take weights by a formula, so that SQL can follow them, exce
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.scalars import collect_bits, has_bit, n_words, relu, sigmoid, softplus, step_cost
@@ -18,7 +17,7 @@ from pathloom.functions.store import saved, scratch_path, sized
 from pathloom.operators import checks, frequency, graph, monotone, planner, sessions
 from pathloom.plans import experiments
 from pathloom.sources import tables as src
-from pathloom.streaming.sessions import closed_sessions
+from pathloom.streaming.sessions import STORE, closed_sessions
 
 #: Settings of the estimator's queries; the SQL has the same.
 PASSES, DROPOUT, HIDDEN = 4, 0.3, 4
@@ -235,16 +234,25 @@ def q_quality(spark, d):
 
 
 def q_streamed_sessions(spark, d):
-    """Sessions that have ended, from the log read as a stream of one batch."""
-    rows = saved(mapped(spark, d))
-    if not (files := rows.inputFiles()):
-        return rounded(sessions.sessions(rows), "avg_score")  # nothing was written
-    path = files[0].rsplit("/", 1)[0]
-    name = f"closed_{uuid.uuid4().hex}"
-    stream = closed_sessions(spark.readStream.schema(rows.schema).parquet(path))
-    run = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-{name}-state").option("path", f"{path}-{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return rounded(spark.read.schema(stream.schema).parquet(f"{path}-{name}"), "avg_score")
+    """All sessions, from the log arriving in three parts and an end marker, which moves the stream's time on so that the last sessions close."""
+    rows, path = saved(mapped(spark, d), "arriving"), scratch_path(spark, "stream")
+    first, last, *cuts = rows.agg(F.min("timestamp"), F.max("timestamp"), *[F.percentile_approx("timestamp", x) for x in (0.33, 0.67)]).first()
+    if first is None:
+        return rounded(sessions.sessions(rows), "avg_score").withColumn("n_late", F.lit(0).cast("bigint"))
+    span = last - first + 1
+    part = F.when(F.col("timestamp") <= cuts[0], 0).when(F.col("timestamp") <= cuts[1], 1).otherwise(2)
+    marker = spark.range(1).select(*[F.lit(last + 2 * span if c == "timestamp" else -1).cast(t).alias(c) for c, t in rows.dtypes])
+    rows.limit(0).write.parquet(f"{path}/in")
+    stream = closed_sessions(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), idle_ms=span * 3_600_000)
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    try:
+        for arrived in (rows.where(part == 0), rows.where(part == 1), rows.where(part == 2), marker):
+            arrived.write.mode("append").parquet(f"{path}/in")
+            stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    return rounded(spark.read.schema(stream.schema).parquet(f"{path}/out"), "avg_score")
 
 
 def q_log_csv(spark, d):
@@ -360,17 +368,45 @@ def q_dense(spark, d):
     return rows.select("user_id", "session_id", "target_idx", F.round("label", 6).alias("label"), text("mask", 1).alias("mask"), text("score", 10_000).alias("score"))
 
 
+def state_pairs(w: World, n_nodes: int) -> DataFrame:
+    """user_id, state, more, idx: each node with what a user first mastered, and with all the user mastered in the end."""
+    words = n_words(n_nodes)
+    had = sessions.mastered_nodes(w.found, RUNS, LEAST).join(w.nodes, "node_id")
+    first = F.min("since").over(Window.partitionBy("user_id"))
+    early = had.withColumn("first", first).groupBy("user_id").agg(collect_bits(F.when(F.col("since") == F.col("first"), F.col("idx")), words).alias("state"), collect_bits(F.col("idx"), words).alias("more"))
+    return early.select("user_id", "state", "more", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_nodes - 1).cast("bigint"))).alias("idx"))
+
+
 def q_monotonicity(spark, d):
     """Chances of each user's nodes with what they first mastered and with all they mastered in the end: none may fall."""
     w = World(spark, d)
-    words = n_words(w.nodes.count())
-    had = sessions.mastered_nodes(w.found, RUNS, LEAST).join(w.nodes, "node_id")
-    first = F.min("since").alias("first")
-    early = had.groupBy("user_id").agg(first).join(had, "user_id").groupBy("user_id").agg(collect_bits(F.when(F.col("since") == F.col("first"), F.col("idx")), words).alias("state"), collect_bits(F.col("idx"), words).alias("more"))
-    pairs = early.select("state", "more", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(w.nodes.count() - 1).cast("bigint"))).alias("idx"))
+    pairs = state_pairs(w, w.nodes.count())
     return monotone.falls(saved(pairs, "pairs"), w.weights(), w.nodes, saved(monotone.indexed(w.nodes, w.normalized()), "links"))
 
 
+def q_falls(spark, d):
+    """Falls of a small model after each of two epochs, over the states that users went through: epoch, n_pairs, n_falls."""
+    w = World(spark, d)
+    n, edges, data = w.nodes.count(), monotone.links(w.nodes, w.normalized()), saved(sessions.featured(w.found, w.nodes), "data")
+    pairs, links, found = saved(state_pairs(w, n), "pairs"), saved(monotone.indexed(w.nodes, w.normalized()), "links"), []
+
+    def after(epoch: int, wt: monotone.Weights) -> None:
+        found.append(monotone.falls(pairs, wt, w.nodes, links).select(F.lit(epoch).cast("bigint").alias("epoch"), "n_pairs", "n_falls"))
+
+    monotone.train(data, monotone.init(n, HIDDEN), edges, epochs=2, batch_size=max(1, -(-data.count() // 2)), rate=0.01, dropout=DROPOUT, after_epoch=after)
+    return found[0].union(found[1])
+
+
+def q_observed(spark, d):
+    """Log counts taken on the pass that makes the sessions: no scan of their own."""
+    before, kept = Observation("before"), Observation("kept")
+    rows = log(spark, d).observe(before, F.count("*").alias("n_rows"))
+    known = sessions.with_nodes(rows, src.events_items(spark, d)).observe(kept, F.count("*").alias("n_kept"), F.sum("is_correct").alias("n_correct"))
+    done = saved(sessions.sessions(known), "sessions")
+    users = done.agg(F.count_distinct("user_id").alias("n_users"), F.count("*").alias("n_sessions"))
+    return users.select(F.lit(before.get["n_rows"]).cast("bigint").alias("n_rows"), F.lit(kept.get["n_kept"]).cast("bigint").alias("n_kept"), F.lit(kept.get["n_correct"]).cast("bigint").alias("n_correct"), "n_users", "n_sessions")
+
+
 def q_activations(spark, d):
     x = (F.col("value") - 35) / 10
     rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", sigmoid(x).alias("sigmoid"), relu(x).alias("relu"), softplus(x).alias("softplus"))
@@ -454,6 +490,8 @@ QUERIES = {
     "few_shot_dataset": q_dataset,
     "dense_dataset": q_dense,
     "monotonicity_check": q_monotonicity,
+    "epoch_monotonicity": q_falls,
+    "observed_counts": q_observed,
     "activations": q_activations,
     "monotone_trained": q_trained,
     "quality_violations": q_quality,

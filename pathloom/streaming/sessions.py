@@ -1,31 +1,70 @@
-"""Extension: the run-length sessionizer over a stream, with one open session for each user as state."""
+"""Extension: the run-length sessionizer over a stream, with one open session for each user as state.
+
+A session is emitted when the user's next node begins, or when the watermark passes the user's last row by ``idle``, so that the last session of each user comes too
+once the stream's time has moved on. Rows of a user that come after later ones of the same user were read can't be put in their place any more: they are
+counted in ``n_late`` of the session then open, so that none goes missing unseen.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+OUT = "user_id long, session_id long, node_id long, avg_score double, timestamp long, n_items long, n_late long"
+STATE = "session_id long, node_id long, total double, n long, first long, last long, n_late long"
+NAMES = [f.split()[0] for f in OUT.split(", ")]
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Sessions(StatefulProcessor):
+    def __init__(self, idle_ms: int, unit_ms: int):
+        self.idle_ms, self.unit_ms = idle_ms, unit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getValueState("open", STATE)
+
+    @staticmethod
+    def _row(user: int, s: tuple) -> tuple:
+        session, node, total, n, first, _, late = s
+        return user, session, node, total / n, first, n, late
 
-OUT = "user_id long, session_id long, node_id long, avg_score double, timestamp long, n_items long"
-STATE = "session_id long, node_id long, total double, n long, first long"
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["timestamp", "item_id", "row_id"])
+        at = self.open.get() if self.open.exists() else (-1, None, 0.0, 0, 0, None, 0)
+        session, node, total, n, first, last, late = at
+        known, out = last, []
+        for node_now, score, time in zip(new["node_id"].tolist(), new["is_correct"].tolist(), new["timestamp"].tolist()):
+            if known is not None and time < known:
+                late += 1
+            elif n and node_now == node:
+                total, n, last = total + score, n + 1, time
+            else:
+                if n:
+                    out.append(self._row(key[0], (session, node, total, n, first, last, late)))
+                session, node, total, n, first, last, late = session + 1, node_now, float(score), 1, time, time, late if not n else 0
+        self.open.update((session, node, total, n, first, last, late))
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        if n:
+            self.handle.registerTimer(int(last) * self.unit_ms + self.idle_ms)
+        yield pd.DataFrame(out, columns=NAMES)
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        session, node, total, n, first, last, late = self.open.get()
+        # the next row starts a new session, also of the same node
+        self.open.update((session, None, 0.0, 0, first, last, 0))
+        yield pd.DataFrame([self._row(key[0], (session, node, total, n, first, last, late))] if n else [], columns=NAMES)
 
-def closed_sessions(mapped: DataFrame) -> DataFrame:
-    """A row for each session once the user's next node begins; rows of a user must arrive in order of time between batches."""
+    def close(self) -> None:
+        pass
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, node, total, n, first = state.get if state.exists else (-1, None, 0.0, 0, 0)
-        rows, out = pd.concat(list(batches)).sort_values(["timestamp", "item_id", "row_id"]), []
-        for r in rows.itertuples(index=False):
-            if n and r.node_id == node:
-                total, n = total + r.is_correct, n + 1
-                continue
-            if n:
-                out.append((key[0], session, node, total / n, first, n))
-            session, node, total, n, first = session + 1, int(r.node_id), float(r.is_correct), 1, int(r.timestamp)
-        state.update((session, node, total, n, first))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in OUT.split(", ")])
 
-    return mapped.groupBy("user_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def closed_sessions(mapped: DataFrame, *, idle_ms: int, delay: str = "0 seconds", unit_ms: int = 3_600_000) -> DataFrame:
+    """A row for each session of a stream of mapped rows whose ``timestamp`` counts ``unit_ms`` milliseconds. Needs the RocksDB state store (STORE)."""
+    timed = mapped.withColumn("at", F.timestamp_millis(F.col("timestamp") * unit_ms)).withWatermark("at", delay)
+    return timed.groupBy("user_id").transformWithStateInPandas(Sessions(idle_ms, unit_ms), OUT, "Append", "EventTime")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from pathloom.operators import frequency, graph, sessions
 from pathloom.operators.checks import violations
 from pathloom.sources import tables as src
@@ -82,11 +84,18 @@ def test_config(tmp_path):
 
 
 def test_streaming(spark, tmp_path):
-    from pathloom.streaming.sessions import closed_sessions
-
-    rows = sessions.with_nodes(src.toy_log(spark), src.item_map(spark, toy=True))
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = closed_sessions(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    stream.writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    got = {(r.user_id, r.session_id, r.node_id, r.avg_score, r.timestamp, r.n_items) for r in spark.table("closed").collect()}
-    assert got == {(u, *s) for u, all_ in TOY_SESSIONS.items() for s in all_[:-1]}
+    """Sessions of a log that comes in parts, a late row, and the end of the stream."""
+    from pathloom.streaming.sessions import STORE, closed_sessions
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    rows, hour = sessions.with_nodes(src.toy_log(spark), src.item_map(spark, toy=True)).cache(), 3_600_000
+    of_user = lambda user, time: rows.limit(1).select(*[F.lit({"user_id": user, "timestamp": time}.get(c, 0)).cast(t).alias(c) for c, t in rows.dtypes])
+    rows.limit(0).write.parquet(str(tmp_path / "in"))
+    stream = closed_sessions(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), idle_ms=20 * hour, delay="10 hours")
+    late = of_user(2, 1)  # user 2 has been read up to 4
+    for part in (rows.where("timestamp <= 2"), rows.where("timestamp between 3 and 4"), late, rows.where("timestamp > 4"), of_user(-1, 1000)):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.user_id, r.session_id, r.node_id, r.avg_score, r.timestamp, r.n_items) for r in got} == {(u, *s) for u, all_ in TOY_SESSIONS.items() for s in all_}
+    assert [(r.user_id, r.session_id, r.n_late) for r in got if r.n_late] == [(2, 1, 1)]
