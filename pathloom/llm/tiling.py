@@ -2,19 +2,21 @@
 
 Words of benchmark items and documents are hashed; runs of ``k`` words are seeds (Karp-Rabin hashes over prefix sums). A
 document's seeds are joined with the items' seeds, as narrow rows, and counted for each (document, item) pair. A tile of L words has
-L - k + 1 seeds, so ``threshold`` of an item's words takes at least that share of its words divided by k in seed places; pairs with fewer are out
-before any words are moved. The others are tiled: matches of k or more words are marked longest first, never overlapping one another in either text, until none is left. An item's coverage is
+L - k + 1 seeds, so ``threshold`` of an item's words takes at least that share of its words divided by k in seed places, ``least``; pairs with fewer are out
+before any words are moved. A pair with ``least`` places shares one of any places but ``least`` - 1; so each item leaves its most common seeds, of ``least`` - 1 places
+together, out of the join, and they are counted for the pairs only that its other seeds found. The pairs with enough are tiled: matches of k or more words are marked longest first, never overlapping one another in either text, until none is left. An item's coverage is
 the share of its words under tiles; since tiles may stand in any order, reordered passages are caught too. A document with
 coverage >= ``threshold`` of any item is contaminated.
 
 Before the join, documents drop seeds that miss a Bloom filter of the items' seeds; its size is fixed, and it only spares work.
 
-A very common seed is no task's load alone, since its rows are narrow and Spark splits skewed partitions of that join. Matches of texts that repeat
+A seed that many documents and many items hold is left out of the join by all items that have rarer ones; where an item has none, its rows are narrow
+and Spark splits skewed partitions of that join. Matches of texts that repeat
 themselves are followed place by place, so that memory grows as the texts, not as their product.
 
 Defined results: null texts count as empty and never match; items of fewer than k words are too short to tell from ordinary
-text and never match; repeated rows on either side give repeated rows; rows with a null key take part; very long
-texts are tiled whole; empty tables give no rows. Only key and text are read of either table, so other columns may have any name, and keys any type
+text and never match; repeated rows on either side give repeated rows; rows with a null key take part; matches of equal length are marked in the order of their
+starts in the item, then in the document; very long texts are tiled whole; empty tables give no rows. Only key and text are read of either table, so other columns may have any name, and keys any type
 that a string can be cast to.
 """
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, gram_hashes, saved, text_hash, without, word_hashes
@@ -138,8 +140,16 @@ def coverage(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: st
     source = docs.select(F.col(key).cast("string").alias("key"), text_hash(text).alias("text_hash"), body.alias("text"))  # a null key stays one in pandas
     cand = source.mapInPandas(scan, "key string, text_hash long, words binary, seeds array<bigint>")
     cand = saved(cand.withColumn("row", F.monotonically_increasing_id()), "candidates")
-    met = cand.select("row", F.explode("seeds").alias("seed")).join(item_seeds, "seed").groupBy("row", "ref").agg(F.sum("places").alias("places"), F.first("least").alias("least"))
-    pairs = met.where("places >= least").select("row", "ref")
+    held = cand.select("row", F.explode("seeds").alias("seed"))
+    common = held.groupBy("seed").agg(F.count("*").alias("n"))
+    first = Window.partitionBy("ref").orderBy(F.desc("n"), "seed").rowsBetween(Window.unboundedPreceding, 0)  # an item's own seeds
+    ranked = item_seeds.join(common, "seed").withColumn("left_out", F.sum("places").over(first) < F.col("least"))
+    ranked = saved(ranked.drop("n"), "seeds")
+    met = held.join(ranked.where("not left_out"), "seed").groupBy("row", "ref").agg(F.sum("places").alias("places"), F.first("least").alias("least"))
+    met = saved(met, "met")
+    more = met.where("places < least").select("row", "ref").join(ranked.where("left_out").select("ref", "seed", "places"), "ref").join(held, ["row", "seed"])
+    more = more.groupBy("row", "ref").agg(F.sum("places").alias("more"))
+    pairs = met.join(more, ["row", "ref"], "left").where(F.col("places") + F.coalesce("more", F.lit(0)) >= F.col("least")).select("row", "ref")
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

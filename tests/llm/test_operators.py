@@ -171,6 +171,33 @@ def test_suffix_rounds(docs, monkeypatch, run, offsets):
     assert tied == sorted(tied, reverse=True) and all(tied)
 
 
+@pytest.mark.parametrize("hot", [0, 12])
+def test_tiling_against_all_pairs(spark, hot):
+    """Every pair tiled without any candidate step; ``hot`` words that all documents and items share, reordered and edited copies, short items."""
+    r = random.Random(hot)
+    shared = words(r, hot, "hot")
+    items = [(i, f"{shared} {words(r, r.choice([3, 8, 20, 40]))}") for i in range(12)] + [(50, None), (51, ""), (51, "a b c d e"), (None, words(r, 15))]
+    docs = []
+    for d in range(60):
+        w = r.choice(items[:12])[1].split()
+        cut = r.randrange(len(w) + 1)
+        some = w[cut:] + w[:cut] if d % 3 else w[: len(w) // 2 + d % 5]
+        if d % 4 == 0:
+            some[r.randrange(len(some))] = "changed"
+        docs.append((d, f"{words(r, r.randrange(20))} {shared} {' '.join(some)} {words(r, 5)}"))
+    docs += [(60, None), (61, ""), (None, docs[0][1]), (5, docs[5][1]), (62, shared * 50)]
+    want = []
+    for d, t in docs:
+        for i, x in items:
+            a, b = common.word_hashes(x or ""), common.word_hashes(t or "")
+            found = tiling.tiles(a, b, 5)
+            if len(a) and sum(n for *_, n in found) / len(a) >= 0.5:
+                want.append((str(d), str(i), len(a), sum(n for *_, n in found), len(found), max(n for *_, n in found)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH})
+    got = tiling.coverage(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((str(x.doc_id), str(x.item_id), x.item_words, x.covered, x.n_tiles, x.longest) for x in got) == sorted(want) and want
+
+
 def test_tiling(spark, docs):
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
     five = rows[5].split()
