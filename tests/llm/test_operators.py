@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -234,21 +235,80 @@ def test_packing(docs):
     assert max(r.offset + r.length for r in odd) <= 301
 
 
+def plain_imatch(spark, texts, low, high, least):
+    """Parts of each text by sets and loops, with Spark's own hash functions for terms, masks and parts."""
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    words = {t: sorted({w for w in re.split(r"[^\w]|_", t.lower()) if w}) for t in set(texts)}
+    terms = sorted({w for ws in words.values() for w in ws})
+    seeds = 3 + 2 * (imatch.LEVELS - 1)
+    rows = spark.createDataFrame([(w,) for w in terms], "w string").select("w", F.xxhash64("w").alias("t")).select("w", "t", F.array(*[F.xxhash64("t", F.lit(i)) for i in range(seeds)]).alias("m")).collect()
+    hashed, masks = {r.w: r.t for r in rows}, {r.t: r.m for r in rows}
+    docs_with = Counter(hashed[w] for t in texts for w in words[t])
+    inside = {t for t, n in docs_with.items() if max(least, int(low * len(texts))) <= n <= max(least, int(high * len(texts)))}
+    bits = min(imatch.MOST_BITS, max(10, len(inside).bit_length() + imatch.ROOM))
+    at = lambda t: [(t & (1 << 64) - 1) >> 32 * p & (1 << bits) - 1 for p in range(imatch.PROBES)]
+    flags = {x for t in inside for x in at(t)}
+    asked, out = [], {}
+    for text, ws in words.items():
+        found = sorted(hashed[w] for w in ws if all(x in flags for x in at(hashed[w])))
+        assert all(hashed[w] in found for w in ws if hashed[w] in inside)
+        sets = [found]
+        for level in range(imatch.LEVELS):
+            for chain in range(imatch.CHAINS):
+                sets.append([t for t in found if all(masks[t][i] >> chain & 1 for i in range(3 + 2 * level))])
+        out[text] = sets
+        asked += [(text, i, s) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(asked, "text string, i int, s array<bigint>")
+    part = F.when(F.size("s") > 0, F.when(F.col("i") == 0, F.hash("s")).otherwise(F.hash(F.col("i") - 1 + imatch.CHAINS, "s"))).when(F.col("i") == 0, F.hash("text")).otherwise(0)
+    parts = {text: [0] * (1 + imatch.CHAINS * imatch.LEVELS) for text in words}
+    for r in df.select("text", "i", part.alias("p")).collect():
+        parts[r.text][r.i] = r.p
+    return parts
+
+
+def plain_likeness(a, b):
+    same = 0
+    for c in range(imatch.CHAINS):
+        levels = [i for i in (1 + level * imatch.CHAINS + c for level in range(imatch.LEVELS)) if a[i] or b[i]]
+        i = levels[-1] if levels else 0
+        same += a[i] == b[i]
+    return same / imatch.CHAINS
+
+
 def test_imatch(spark, docs):
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
-    got = imatch.compare(docs).collect()
-    want = []
+    """Neighbours, edited texts, fingerprints and both likenesses against plain loops."""
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    hashes = {r.t: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("t")).distinct().select("t", F.xxhash64("t").alias("h")).collect()}
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]), reverse=True)
+    got = imatch.compare(docs, low=0.1, high=0.6, least=2).collect()
+    pairs = []
     for i, (k, t) in enumerate(rows):
-        nxt = rows[(i + 1) % len(rows)][1]
-        half = len(t) // 2
-        want.append((str(k), len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()))
-    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+        nxt, half = rows[(i + 1) % len(rows)][1], len(t) // 2
+        pairs.append((k, t, t[: len(t) - half] + nxt[:half], nxt))
+    parts = plain_imatch(spark, [t for _, t in rows], 0.1, 0.6, 2)
+    lexicon_of = lambda t: parts[t]
+    text = lambda p: "-".join(f"{x & 0xFFFFFFFF:x}" for x in p)
+    want = sorted((str(k), len(t), hashlib.sha256(e.encode()).hexdigest(), text(lexicon_of(t)), plain_likeness(parts[t], parts[n])) for k, t, e, n in pairs)
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.near_next) for r in got) == want
+    edited = {(str(k), e): t for k, t, e, _ in pairs}
+    by_edit = {(str(r.doc_id), r.edited_sha256): r for r in got}
+    unchanged = [(k, e) for (k, e), t in edited.items() if e == t]
+    assert unchanged and all(by_edit[k, hashlib.sha256(e.encode()).hexdigest()].near_edited == 1.0 for k, e in unchanged)
+    unhex = lambda s: [int(x, 16) for x in s.split("-")]
+    assert all(abs(r.near_edited - plain_likeness(unhex(r.fingerprint), unhex(r.edited_fingerprint))) < 1e-12 for r in got)
     one = {r.doc_id: r for r in got}
     assert one[1].fingerprint == one[2].fingerprint == one[13].fingerprint and one[1].fingerprint != one[9].fingerprint
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got) and one[2].near_next == 1.0
     assert imatch.compare(docs.limit(0)).count() == 0
-    single = imatch.compare(docs.where("doc_id = 1")).first()
-    assert single.near_next == 1.0
+    assert imatch.compare(docs.where("doc_id = 1")).first().near_next == 1.0
+    named = docs.select(F.concat(F.lit("id"), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("doc_id"), "text")
+    assert sorted(r.edited_sha256 for r in imatch.compare(named).collect()) == sorted(r.edited_sha256 for r in got)
+
+
+def test_imatch_half_edited(spark):
+    """Texts of which half stays are nearer to their edited texts than to the next document."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars > 200")
+    got = imatch.compare(docs).select("near_edited", "near_next").toPandas()
+    assert got["near_edited"].mean() > 0.2 and (got["near_edited"] == 0).mean() < 0.05 and got["near_next"].mean() < 0.15
 
 
 def test_warc(spark):
