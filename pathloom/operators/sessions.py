@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.numbering import numbered
+from pathloom.functions.numbering import numbered, range_of
 
 USER_TIME = ("timestamp", "item_id", "row_id")
 
@@ -29,8 +29,7 @@ def ordered(log: DataFrame) -> DataFrame:
     ranges = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = log.groupBy("user_id").agg(F.count("*").alias("n"))
     quantiles = counts.agg(F.percentile_approx("user_id", [i / ranges for i in range(1, ranges)] or [0.5], 10000).alias("q")).first()["q"] or []
-    place = F.size(F.filter(F.array(*map(F.lit, quantiles)), lambda q: q <= F.col("user_id"))) if quantiles else F.lit(0)
-    counts = counts.withColumn("range", place)
+    counts = counts.withColumn("range", range_of(F.col("user_id"), quantiles))
     by_range = counts.groupBy("range").agg(F.sum("n").alias("n"))  # at most ``ranges`` + 1 rows
     start = by_range.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("start"))
     inside = F.sum("n").over(Window.partitionBy("range").orderBy("user_id")) - F.col("n")
