@@ -9,7 +9,7 @@ from .common import saved
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """u -> the least of u and its neighbours. The minimum is combined before the shuffle, so a hot node is no load."""
+    """u -> the least of u and its neighbours. The minimum is combined before the shuffle; the join that follows sends a hub's own links through one key, which Spark splits."""
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 

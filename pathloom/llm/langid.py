@@ -135,7 +135,8 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str
     """Fit on a hashed sample of at most about ``max_docs`` rows where ``learn`` holds, shared out over the labels.
 
     The driver gets the buckets of each whole text, 2**bits at most and some thousands mostly, so its memory has a fixed bound.
-    All labels are learned; more than ``max_labels`` are an error.
+    Each label's share of the sample is equal, so with nearly as many labels as ``max_docs`` some get no row and are not learned, and every fifth row of the sample
+    goes to calibration alone; more than ``max_labels`` labels are an error.
     """
     rows = docs.where((F.lit(True) if learn is None else learn) & F.col(label).isNotNull() & F.col(key).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("string")).count().limit(max_labels + 1).collect()}
