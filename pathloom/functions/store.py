@@ -46,10 +46,10 @@ def forget(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def saved(df: DataFrame, name: str = "level") -> DataFrame:
-    """Write to the shared folder and read again, so that a lost executor costs no recomputation."""
+def saved(df: DataFrame, name: str = "level", hashes: bool = False) -> DataFrame:
+    """Write to the shared folder and read again, so that a lost executor costs no recomputation. A table of hashes is written without dictionaries, which don't help it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
