@@ -93,6 +93,17 @@ def digests(data: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), end.tolist())]), np.int64).reshape(-1, 2)
 
 
+def shared_hash(data: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans with ascending starts, by prefix sums over pieces of the text."""
+    out = np.zeros(len(first), np.int64)
+    for a in range(int(first[0]), len(data), CHUNK):
+        here = slice(*np.searchsorted(first, [a, a + CHUNK]))
+        if here.start < here.stop:
+            prefix = prefix_hash(np.frombuffer(data[a : int(end[here].max())], np.uint8).astype(U64) + U64(1))
+            out[here] = mix(span_hash(prefix, first[here] - a, end[here] - a)).view(np.int64)
+    return out
+
+
 def runs_of(flag: np.ndarray) -> list[tuple[int, int]]:
     """First and last place of each run of true."""
     edge = np.diff(np.r_[0, flag.astype(np.int8), 0])
@@ -120,7 +131,7 @@ def tied_anchors(data: bytes, length: int, run: int, shared: np.ndarray) -> tupl
     core = at - width_for(length, run) + 1 + length
     ends = 2 * run  # anchors at each end of a periodic stretch that are ranked: those that reach into it or out of it
     asked = last >= first
-    inner = [xxhash.xxh3_64_intdigest(memoryview(data)[a:b]) for a, b in zip(at.tolist(), np.where(asked, core, at).tolist())]
+    inner = shared_hash(data, at, np.where(asked, core, at))
     strings = digests(data, first, np.where(asked, last + length, first))
     same = np.zeros(len(ok), bool)
     same[1:] = asked[1:] & asked[:-1] & (np.diff(ok) == 1) & (np.diff(at - first) == 0) & (strings[1:] == strings[:-1]).all(axis=1)
@@ -128,7 +139,7 @@ def tied_anchors(data: bytes, length: int, run: int, shared: np.ndarray) -> tupl
     for a, b in runs_of(same):
         known.append((int(first[a - 1]), int(last[b])))
         keep[a - 1 + ends : max(a - 1 + ends, b - ends)] = False
-    columns = [ok, first, last, phrase, ahead, np.array(inner, U64).view(np.int64), strings[:, 0], strings[:, 1]]
+    columns = [ok, first, last, phrase, ahead, inner, strings[:, 0], strings[:, 1]]
     return dict(zip(ANCHOR, [c[keep] for c in columns])), known
 
 
@@ -168,7 +179,7 @@ def ranked(rows: DataFrame, first: str, *more: str) -> DataFrame:
     by = ["first", *more]
     tied = rows.groupBy(F.col(first).alias("first"), *more).agg(F.count("*").alias("n")).where("n > 1").select(*by)
     order = tied.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    return saved(order.withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    return saved(order.withColumn("rank", F.monotonically_increasing_id()), "ranks", hashes=True)
 
 
 def with_ahead(rows: DataFrame, offset: int) -> DataFrame:
@@ -178,16 +189,17 @@ def with_ahead(rows: DataFrame, offset: int) -> DataFrame:
 
 
 def doubled(rows: DataFrame, run: int) -> DataFrame:
-    """node, ord, rank, ahead of the anchors that are tied in all rounds but the last, with the pair for that one; from those of offset 1."""
-    now, offset = saved(rows, "pairs"), 1
+    """node, ord, id, rank, ahead of the anchors that are tied in all rounds but the last, with the pair for that one; from those of offset 1."""
+    now, offset = rows, 1
     while 2 * offset < run and not now.isEmpty():
         offset *= 2
         before, ranks = now.withColumnRenamed("rank", "here"), ranked(now, "rank", "ahead")
         here = ranks.select(F.col("rank").alias("new"), F.col("first").alias("here"), "ahead")
-        tied = before.join(here, ["here", "ahead"]).select("node", "ord", F.col("new").alias("rank"))
-        then = saved(with_ahead(tied, offset).where("ahead is not null"), "pairs")
+        tied = before.join(here, ["here", "ahead"]).select("node", "ord", "id", F.col("new").alias("rank"))
+        then = saved(with_ahead(tied, offset).where("ahead is not null"), "pairs", hashes=True)
         forget(ranks)
-        forget(now)
+        if now is not rows:
+            forget(now)
         now = then
     return now
 
@@ -220,25 +232,31 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400, run:
             rows, known = tied_anchors(data, length, run, shared.value)
             if known:
                 a, b = np.array(known).T
-                held.append(pd.DataFrame({"node": node, "ord": -1 - a, "first": a, "last": b} | dict.fromkeys(ANCHOR[3:], 0)))
+                held.append((node, [-1 - a, a, b, *[np.zeros(len(a), np.int64)] * (len(ANCHOR) - 3)]))
             if rows:
-                held.append(pd.DataFrame({"node": node} | rows))
+                held.append((node, list(rows.values())))
             size += len(known) + len(rows.get("ord", ()))
-            if size >= 20_000:
-                yield pd.concat(held)
+            if size >= 50_000:
+                yield anchor_frame(held)
                 held, size = [], 0
         if size:
-            yield pd.concat(held)
+            yield anchor_frame(held)
+
+    def anchor_frame(held: list[tuple]) -> pd.DataFrame:
+        nodes, columns = zip(*held)
+        return pd.DataFrame({"node": np.repeat(np.array(nodes, object), [len(c[0]) for c in columns])} | dict(zip(ANCHOR, map(np.concatenate, zip(*columns)))))
 
     made = source.mapInPandas(tied, "node binary, ord int, first int, last int, " + ", ".join(f"{c} long" for c in ANCHOR[3:]))
     # copies of a text in different tasks count once; a text's anchors stay together for the rounds
     made = made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").dropDuplicates(["node", "ord"])
-    made = saved(made.withColumn("id", F.monotonically_increasing_id()), "anchors")
+    made = saved(made.withColumn("id", F.monotonically_increasing_id()), "anchors", hashes=True)
     known = made.where("ord < 0").select("node", "first", "last")
-    pairs = doubled(made.where("ord >= 0").select("node", "ord", "rank", "ahead"), run)
-    said = made.where("ord >= 0 and last >= first").select("node", "ord", "first", "last", "core", "s0", "s1", "id")
-    tied_rows = saved(pairs.join(said, ["node", "ord"]).drop("ord"), "tied")
-    forget(pairs)
+    begin = made.where("ord >= 0").select("node", "ord", "id", "rank", "ahead")
+    pairs = doubled(begin, run)
+    said = made.where("ord >= 0 and last >= first").select("id", "node", "first", "last", "core", "s0", "s1")
+    tied_rows = saved(pairs.select("id", "rank", "ahead").join(said, "id"), "tied", hashes=True)
+    if pairs is not begin:
+        forget(pairs)
     last_pair, strings_of = ["rank", "ahead", "core"], ["s0", "s1"]
     kinds = saved(tied_rows.groupBy(*last_pair, *strings_of).agg(F.count("*").alias("n"), F.min("id").alias("id")), "kinds")
     mixed = kinds.groupBy(*last_pair).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*last_pair)
@@ -265,13 +283,24 @@ def removed_runs(docs: DataFrame, *, text: str = "text", length: int = 400, run:
                     yield h
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for b in batches:
             for node, data, parts in zip(b["node"], b["data"], b["parts"]):
                 for s, h, asked in open_strings(data, parts, length):
                     ok = in_set(likely.value, h)
                     if ok.any():
-                        two = digests(data, s[ok], s[ok] + length)
-                        yield pd.DataFrame({"node": node, "s0": two[:, 0], "s1": two[:, 1], "first": s[ok], "asked": asked[ok]})
+                        held.append((node, digests(data, s[ok], s[ok] + length), s[ok], asked[ok]))
+                        size += int(ok.sum())
+                    if size >= 50_000:
+                        yield found_frame(held)
+                        held, size = [], 0
+        if held:
+            yield found_frame(held)
+
+    def found_frame(held: list[tuple]) -> pd.DataFrame:
+        nodes, two, s, asked = zip(*held)
+        two = np.concatenate(two)
+        return pd.DataFrame({"node": np.repeat(np.array(nodes, object), list(map(len, s))), "s0": two[:, 0], "s1": two[:, 1], "first": np.concatenate(s), "asked": np.concatenate(asked)})
 
     likely = repeated(texts.mapInPandas(lambda it: counted_frames(hashes(it)), "key long, n long"))
     found = saved(texts.mapInPandas(strings, "node binary, s0 long, s1 long, first int, asked boolean"), "strings")
