@@ -170,7 +170,7 @@ def user_walk(cost: str, source: str, order: str, allowed: str = "true") -> str:
 
 
 PARTS = """links AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-    WHERE a.l_returnflag = 'R' AND a.l_linestatus = 'O' AND b.l_returnflag = 'R' AND b.l_linestatus = 'O'), reach AS (SELECT src AS a, dst AS b FROM links UNION SELECT a, dst FROM reach JOIN links ON src = b)"""
+    WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R'), reach AS (SELECT src AS a, dst AS b FROM links UNION SELECT a, dst FROM reach JOIN links ON src = b)"""
 
 ORACLE_SQL = {
     "filter_known_items": f"WITH {LOG}, {ITEMS} SELECT * FROM log WHERE item_id IN (SELECT item_id FROM items)",
