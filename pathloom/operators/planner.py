@@ -153,15 +153,15 @@ def direct_plans(plans: DataFrame, graph: Graph, estimator: Estimator, *, t_pena
     return saved(rows.select("plan_id", cost.alias("total_cost"), F.when(F.col("whole"), F.col("path")).otherwise(_nothing()).alias("path")), "direct")
 
 
-def dp_plans(plans: DataFrame, graph: Graph, estimator: Estimator, *, t_penalty: float = 300.0, risk: float = 0.0) -> DataFrame:
+def dp_plans(plans: DataFrame, graph: Graph, estimator: Estimator, *, t_penalty: float = 300.0, risk: float = 0.0, closure: DataFrame | None = None) -> DataFrame:
     """plan_id, total_cost, path of least expected cost; ties go to the lexicographically least path, unreachable is (inf, []).
 
     A level holds the best (cost, path) of each state that a plan can reach in so many steps; costs are compared when rounded, so that sums in different
     orders tie. A state is given up when its cost and the least that the nodes still needed can cost are more than the direct plan's cost. For
-    an estimator that does not look at the state the direct plan is the best.
+    an estimator that does not look at the state the direct plan is the best. ``closure``: that of the plans, where it is known.
     """
     plans = saved(plans.select("plan_id", "state", "goal"), "plans")
-    closure = closures(plans, graph)
+    closure = closures(plans, graph) if closure is None else closure
     direct = direct_plans(plans, graph, estimator, t_penalty=t_penalty, risk=risk, closure=closure)
     if estimator.state_free:
         return direct

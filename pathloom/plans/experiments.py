@@ -29,10 +29,11 @@ def trajectories(chosen: list[Strategy], targets: DataFrame, nodes: DataFrame, e
     """target_node, strategy_name, path, expected_total_cost, path_length, bottleneck_node for every pair, from nothing mastered."""
     graph = planner.prepare(nodes, edges)
     plans = saved(planner.plans_for(targets, graph), "plans")
+    closure = planner.closures(plans, graph)
 
     def one(s: Strategy) -> DataFrame:
-        solve = planner.greedy_plans if s.greedy else planner.dp_plans
-        planned = saved(solve(plans, graph, s.estimator, t_penalty=t_penalty, risk=s.risk), "planned")
+        how = {"t_penalty": t_penalty, "risk": s.risk}
+        planned = saved(planner.greedy_plans(plans, graph, s.estimator, **how) if s.greedy else planner.dp_plans(plans, graph, s.estimator, closure=closure, **how), "planned")
         worst = planner.bottlenecks(planned, plans, graph, s.estimator)
         worst = worst.select("plan_id", F.struct("node_id", F.round("p_succ", 6).alias("p_succ")).alias("bottleneck_node"))
         return planned.join(worst, "plan_id").select(F.col("plan_id").alias("target_node"), F.lit(s.name).alias("strategy_name"), "path", F.col("total_cost").alias("expected_total_cost"), F.size("path").cast("bigint").alias("path_length"), "bottleneck_node")
