@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from pathloom.operators import frequency, graph, sessions
@@ -99,3 +101,21 @@ def test_streaming(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {(r.user_id, r.session_id, r.node_id, r.avg_score, r.timestamp, r.n_items) for r in got} == {(u, *s) for u, all_ in TOY_SESSIONS.items() for s in all_}
     assert [(r.user_id, r.session_id, r.n_late) for r in got if r.n_late] == [(2, 1, 1)]
+
+
+def test_features_in_a_stream(spark):
+    """The features of the stream are those of the joins, whatever fits a step, for users over several batches, and for null users and unknown nodes."""
+    r = random.Random(3)
+    rows = [(u, s, r.randrange(6), r.choice([None, 0.0, 0.25, 1.0])) for u in (1, 2, 3, None) for s in range(30)]
+    found = spark.createDataFrame(rows, "user_id long, session_id long, node_id long, avg_score double")
+    nodes = spark.createDataFrame([(n, n + 10) for n in range(5)], "node_id long, idx long")
+    want = {}
+    for x in sessions.latest_scores(found).where("user_id is not null").join(nodes, "node_id").collect():
+        want.setdefault((x.user_id, x.session_id), []).append((x.idx, x.latest_score))
+    data = sessions.featured(found, nodes)
+    got = {(x.user_id, x.session_id): [tuple(f) for f in x.features] for x in data.collect()}
+    assert len(got) == len(rows) and got == {k: sorted(want.get(k, [])) for k in got}
+    assert data.where("target_idx is null").count() == sum(n == 5 for _, _, n, _ in rows)
+    flat = spark.createDataFrame([(u, s, n, n + 10 if n < 5 else None, v) for u, s, n, v in rows], "user_id long, session_id long, target_node long, target_idx long, label double")
+    one = flat.repartition(1).sortWithinPartitions("user_id", "session_id").mapInArrow(lambda b: sessions.with_latest(b, 7), data.schema)
+    assert {(x.user_id, x.session_id): [tuple(f) for f in x.features] for x in one.collect()} == got
