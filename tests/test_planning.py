@@ -307,6 +307,26 @@ def test_training_against_one_process(spark, learned):
     assert np.allclose(monotone.flat(trained), monotone.flat(now), atol=2e-3)
 
 
+def test_batch_in_many_tasks(spark):
+    """A large batch lies in as many files as there are cores, many small ones share folders, and none loses a row."""
+    rows = spark.range(60_000).select(F.lit(1).alias("user_id"), F.col("id").alias("session_id"))
+    for size, least in ((30_000, 4), (100, 1)):
+        dealt, shards = monotone.shared_out(rows.withColumn("batch", F.floor(F.col("session_id") / size)), 60_000, size, 5000)
+        n = -(-60_000 // size)
+        found = dealt.withColumn("file", F.input_file_name()).groupBy("batch").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"), F.min("shard").alias("a"), F.max("shard").alias("b")).collect()
+        assert len(found) == n and shards == min(n, 4)
+        assert all(r.n == size and r.files >= least and r.a == r.b == r.batch * shards // n for r in found)
+
+
+def test_nodes_drawn_once(learned, monkeypatch):
+    """The dropouts of a batch are drawn for its nodes, not for its rows."""
+    nodes, norm, _, _, _, _, wt = learned
+    s, drawn, mask = monotone.Sparse(monotone.links(nodes, norm), [[{"idx": 1, "score": 0.5}]] * 500, np.full(500, 2)), [], monotone.masks
+    monkeypatch.setattr(monotone, "masks", lambda at, idx, *a: drawn.append(len(idx)) or mask(at, idx, *a))
+    d1, d2 = monotone.drawn(wt, s, 1, 0.3)
+    assert max(drawn) <= 9 and (d1 == mask(1, s.part_node, 6, 0, 0.3)).all() and (d2 == mask(1, s.row_node, 6, 1, 0.3)).all()
+
+
 def test_checkpoint(spark, learned, tmp_path):
     nodes, norm, data, _, _, _, wt = learned
     monotone.save_model(str(tmp_path / "m"), wt, nodes, dropout=0.3)
