@@ -119,3 +119,12 @@ def test_features_in_a_stream(spark):
     flat = spark.createDataFrame([(u, s, n, n + 10 if n < 5 else None, v) for u, s, n, v in rows], "user_id long, session_id long, target_node long, target_idx long, label double")
     one = flat.repartition(1).sortWithinPartitions("user_id", "session_id").mapInArrow(lambda b: sessions.with_latest(b, 7), data.schema)
     assert {(x.user_id, x.session_id): [tuple(f) for f in x.features] for x in one.collect()} == got
+
+
+def test_users_dealt_to_tasks(spark):
+    """Sessions of a large log come from as many tasks as its rows ask for."""
+    log, items = src.toy_log(spark), src.item_map(spark, toy=True)
+    mapped = sessions.with_nodes(log, items)
+    assert src.tasks_for(log, 2) == 11 and src.tasks_for(log) == spark.sparkContext.defaultParallelism
+    dealt = sessions.sessions(mapped, 11)
+    assert dealt.rdd.getNumPartitions() == 11 and sorted(map(tuple, dealt.collect())) == sorted(map(tuple, sessions.sessions(mapped).collect()))
