@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pathloom.operators import frequency, graph, sessions
@@ -103,6 +104,31 @@ def test_streaming(spark, tmp_path):
     assert [(r.user_id, r.session_id, r.n_late) for r in got if r.n_late] == [(2, 1, 1)]
 
 
+def test_stream_takes_users_in_groups(spark, tmp_path):
+    """All new users of a group are taken in one call, with one timer; null users and null nodes have sessions too."""
+    from pathloom.streaming.sessions import STORE, advanced, closed_sessions
+
+    r, hour = random.Random(5), 3_600_000
+    log = [(u, i % 3, u is None or i % 2, 10 + 2 * i + part, 1000 * i + part, r.choice([1, 2, 2, None])) for part in (0, 1) for u in [*range(60), None] for i in range(4)]
+    rows = spark.createDataFrame([(u, a, int(b), t, n, node) for u, a, b, t, n, node in log], "user_id long, item_id long, is_correct int, timestamp long, row_id long, node_id long").cache()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    rows.limit(0).write.parquet(str(tmp_path / "in"))
+    stream = closed_sessions(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), idle_ms=20 * hour, groups=3)
+    marker = rows.limit(1).select(*[F.lit({"user_id": -1, "timestamp": 1000}.get(c, 0)).cast(t).alias(c) for c, t in rows.dtypes])
+    keys = []
+    for part in (rows.where("timestamp < 14"), rows.where("timestamp >= 14"), marker):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        keys.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress))
+    got = spark.read.parquet(str(tmp_path / "out")).drop("n_late")
+    assert sorted(map(str, got.collect())) == sorted(map(str, sessions.sessions(rows).collect()))
+    assert max(keys) <= 4 * 3  # of four groups a value, and a timer in two orders; not of each user
+    held = pd.DataFrame({"user_id": [], "session_id": [], "node_id": [], "total": [], "n": [], "first": [], "last": [], "n_late": []}).astype("int64")
+    closed, held = advanced(held, pd.DataFrame({"user_id": [1, 1, 2], "timestamp": [3, 4, 5], "item_id": 0, "row_id": 0, "node_id": [7, 8, 9], "is_correct": 1}))
+    assert closed[["user_id", "node_id"]].values.tolist() == [[1, 7]] and held[["user_id", "node_id", "session_id"]].values.tolist() == [[1, 8, 1], [2, 9, 0]]
+
+
 def test_features_in_a_stream(spark):
     """The features of the stream are those of the joins, whatever fits a step, for users over several batches, and for null users and unknown nodes."""
     r = random.Random(3)
