@@ -157,6 +157,20 @@ def test_suffix_dedup(docs, length):
     assert suffix_dedup.report(docs.limit(0)).count() == 0
 
 
+def test_suffix_python_workers(spark, docs, request):
+    """No task of the last stage needs two Python workers: the rows that lose nothing don't pass the cut."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table that is too large
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    for made in (suffix_dedup.cleaned(docs), suffix_dedup.report(docs)):
+        most, above = 0, []  # (depth in the plan, Python steps in the task so far)
+        for line in made._jdf.queryExecution().executedPlan().toString().splitlines():
+            depth, name = (m := re.match(r"([ :+-]*)(?:\*\(\d+\) )?(\w*)", line)).end(1), m[2]
+            above = [x for x in above if x[0] < depth]
+            above.append((depth, 0 if "Exchange" in name else (above[-1][1] if above else 0) + bool(re.match("ArrowEvalPython|MapInPandas", name))))
+            most = max(most, above[-1][1])
+        assert most == 1
+
+
 @pytest.mark.parametrize("run,offsets", [(2, [1]), (4, [1, 2]), (8, [1, 2, 4])])
 def test_suffix_rounds(docs, monkeypatch, run, offsets):
     """Prefix doubling takes the offsets 1, 2, 4; each but the last gives ranks to pairs; fewer anchors are tied after each; the result is the same."""
