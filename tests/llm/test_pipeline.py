@@ -30,6 +30,12 @@ def test_stages(spark):
     assert docs.select("doc_id").distinct().count() == before.count()
 
 
+def test_texts_are_cut_once(spark):
+    """The filter on what is left of a text isn't moved below the cut, which would then run twice in a task."""
+    made = corpus_pipeline.repeated_strings(spark, table(spark, SF, "documents"), SF)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [kept(") == 1
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Given documents with null and empty texts, one of 40,000 words, repeats, null ids and languages, and columns named like those the operators use."""
